@@ -61,3 +61,14 @@ def byte_ranks(path: str) -> dict[bytes, int]:
 
 def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
+
+
+def chunks(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """The text in parts that end at white space, so that word lists stay short whatever the text's length."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + limit)
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
