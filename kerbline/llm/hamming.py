@@ -91,7 +91,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
     entries = materialise(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "hamming-entries")
     shards = max(1, -(-entries.count() // SHARD_CODES))
     index = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "ids")
-    asked = coded.where("asks").select("code").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint").alias("shard"), "code")
+    asked = coded.where("asks").select("code").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"), "code")
     # A block of queries keeps a task's share bounded; the shard's index is dealt to each block.
     blocks = 8
     asked = asked.withColumn("block", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)))
