@@ -66,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_CODE = "list_reduce(list_transform(range(1, 65), i -> CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END), (a, b) -> a | b)"
+_CODE = "list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END), lambda a, b: a | b)"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_hamming_top_k": f"""
