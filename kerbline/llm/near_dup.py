@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets collapse to one representative. The MinHash samples of a representative form bands and are also
 folded into a parity bitmap: the population count of two bitmaps' XOR estimates how many samples differ and discards hopeless
-candidates. The others are compared on their full sets. A bucket never lists all of its pairs: in each round it has one
-pivot, the smallest unresolved member, which is compared with members of other components only; members that
-join the pivot's component are resolved, and the rest go on. A bucket of n near copies thus costs about n comparisons.
+candidates. The others are compared on their full sets. A bucket never lists all of its pairs: in the first round it has one
+pivot, the smallest member; members that join a pivot's component are resolved, and the rest go on. Later rounds take
+``GROWTH`` times as many pivots as the one before from the unresolved and compare them with members of other components only.
+A bucket of n near copies thus costs about n comparisons.
 
 Null and empty texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole
 sequence is the one shingle. Rows of one id are one document. Rows with a null id are kept as they are, with a null component. An empty table
@@ -17,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix, words
 from kerbline.operators.graph import connected_components
 from kerbline.runtime import materialise
 
-BANDS, ROWS, BITS, MAX_ODD = 32, 4, 512, 110
+BANDS, ROWS, BITS, MAX_ODD, GROWTH = 32, 4, 512, 110, 8
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -125,10 +126,16 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     live, tested = members.select("band", "value", "rep", "odd"), None
     # Equal ids with different texts, and exact copies, are edges from the start.
     own = usable.select("h1", "h2", "n", F.col("doc_id").alias("src")).join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("src", F.col("rep").alias("dst"))
-    edges, parts = None, None
+    edges, parts, count = None, None, 1
     while not live.isEmpty():
-        pivots = live.groupBy("band", "value").agg(F.min_by(F.struct("rep", "odd"), "rep").alias("p"))
-        pivots = pivots.select("band", "value", F.col("p.rep").alias("pivot"), F.col("p.odd").alias("pivot_odd"))
+        if count == 1:
+            pivots = live.groupBy("band", "value").agg(F.min_by(F.struct("rep", "odd"), "rep").alias("p"))
+            pivots = pivots.select("band", "value", F.col("p.rep").alias("pivot"), F.col("p.odd").alias("pivot_odd"))
+        else:
+            order = Window.partitionBy("band", "value").orderBy("rep")
+            pivots = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+            pivots = pivots.select("band", "value", F.col("rep").alias("pivot"), F.col("odd").alias("pivot_odd"))
+        pivots = materialise(pivots, "near-pivots")
         met = members.join(pivots, ["band", "value"]).where("rep != pivot")
         differing = F.aggregate(F.zip_with("odd", "pivot_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         met = met.where(differing <= MAX_ODD)
@@ -142,9 +149,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         found = materialise(_confirm(pairs, texts, size, percent), "near-links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         edges = found if edges is None else edges.union(found)
         parts = connected_components(edges)
-        rest = live.join(pivots.select("band", "value", "pivot"), ["band", "value"]).where("rep != pivot")
-        rest = _labelled(_labelled(rest, parts, "rep", "c1"), parts, "pivot", "c2").where("c1 != c2")
-        live = materialise(rest.select("band", "value", "rep", "odd"), "near-live")
+        done = _labelled(pivots.select("band", "value", "pivot"), parts, "pivot", "c").select("band", "value", "c").distinct()
+        rest = _labelled(live, parts, "rep", "c").join(done, ["band", "value", "c"], "left_anti")
+        live, count = materialise(rest.select("band", "value", "rep", "odd"), "near-live"), count * GROWTH
     final = connected_components(own if edges is None else own.union(edges))
     out = _labelled(drawn.select("doc_id", F.col("n").alias("n_shingles")), final, "doc_id", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
