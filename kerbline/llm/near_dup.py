@@ -25,7 +25,7 @@ from kerbline.llm.common import mix, words
 from kerbline.operators.graph import connected_components
 from kerbline.runtime import materialise
 
-BANDS, ROWS, BITS, MAX_ODD, GROWTH = 32, 4, 512, 110, 8
+BANDS, ROWS, BITS, MAX_ODD, GROWTH = 32, 4, 512, 110, 2
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
