@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix
-from kerbline.llm.vocab import chunks, trim
+from kerbline.llm.vocab import CACHE_WORDS, groups
 
 WINDOW, SHARE, RUN, MAX_BROADCAST, MIN_LITERALS = 5, 0.8, 13, 2_000_000, 2
 UNITS = frozenset("mm cm m km in ft mi mile miles g kg mg lb lbs oz ml l s sec seconds min minute minutes h hour hours day days week weeks month months year years $ € £ usd eur dollar dollars euro euros cent cents percent %".split())
@@ -50,39 +50,79 @@ def classify(word: str) -> tuple[int, int, bool, bool]:
     return _LITERAL, _code(core.lower()), core[0].isupper() and not core.isupper(), ends
 
 
-def windows(text: str | None, cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Template hash and slot-pattern hash of each window of a text; windows of placeholders mostly are left out."""
-    found = []
-    for part in chunks(text or ""):
-        for word in part.split():
-            if (got := cache.get(word)) is None:
-                got = cache[word] = classify(word)
-            found.append(got)
-    trim(cache)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = np.array([f[0] for f in found], np.int8)
-    value = np.array([f[1] for f in found], np.uint64)
-    capital, ends = (np.array([f[i] for f in found], bool) for i in (2, 3))
-    kind[capital & ~np.append(True, ends[:-1]) & (kind == _LITERAL)] = _NAME
-    kind, value = kind[kind >= 0], value[kind >= 0]
-    width = min(WINDOW, len(kind))
-    if not width:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = len(kind) - width + 1
-    token = np.where(kind == _LITERAL, value, kind.astype(np.uint64))
-    template, pattern, literals = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+class WordTable:
+    """What :func:`classify` says of the words met so far, as arrays."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.columns = [np.zeros(0, t) for t in (np.int8, np.uint64, bool, bool)]
+
+    def look_up(self, words: list[str]) -> list[np.ndarray]:
+        """(kind, value, capitalised, ends a sentence) of each word."""
+        new = list({w for w in words if w not in self.place})
+        if len(self.place) + len(new) > CACHE_WORDS:
+            self.__init__()
+            new = list(set(words))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        if new:
+            found = zip(*map(classify, new))
+            self.columns = [np.append(c, np.array(f, c.dtype)) for c, f in zip(self.columns, found)]
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return [c[at] for c in self.columns]
+
+
+def _patterns(kind: np.ndarray, value: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Slot pattern of the windows at ``start``: each slot names the first slot of the same value."""
+    pattern = np.zeros(len(start), np.int64)
     for k in range(width):
-        template = mix(template * _STEP + token[k : k + n])
-        slot = kind[k : k + n] != _LITERAL
-        literals += ~slot
-        # Each slot names the first slot of the same value.
-        same = np.full(n, k)
+        same = np.full(len(start), k)
         for j in range(k - 1, -1, -1):
-            same = np.where((kind[j : j + n] == kind[k : k + n]) & (value[j : j + n] == value[k : k + n]), j, same)
-        pattern = pattern * 8 + np.where(slot, same + 1, 0)
-    use = literals >= min(MIN_LITERALS, width)
-    return template[use].view(np.int64), pattern[use]
+            same = np.where((kind[start + j] == kind[start + k]) & (value[start + j] == value[start + k]), j, same)
+        pattern = pattern * 8 + np.where(kind[start + k] != _LITERAL, same + 1, 0)
+    return pattern
+
+
+def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, template hash, slot pattern) of the distinct windows of each text; windows of placeholders mostly are left out.
+
+    ``only`` is a sorted array of the templates to keep.
+    """
+    words, size = [], np.zeros(len(texts), np.int64)
+    for at, text in enumerate(texts):
+        before = len(words)
+        words += (text or "").split()
+        size[at] = len(words) - before
+    kind, value, capital, ends = table.look_up(words)
+    doc = np.repeat(np.arange(len(texts)), size)
+    opens = np.append(True, doc[1:] != doc[:-1])[: len(doc)] | np.append(True, ends[:-1])[: len(doc)]
+    kind[capital & ~opens & (kind == _LITERAL)] = _NAME
+    doc, value, kind = doc[kind >= 0], value[kind >= 0], kind[kind >= 0]
+    count = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(count) - count
+    token = np.where(kind == _LITERAL, value, kind.astype(np.uint64))
+    out = []
+    for width in np.unique(np.minimum(count, WINDOW)):
+        if not width:
+            continue
+        if width == WINDOW:
+            start = np.arange(len(doc) - width + 1)
+            start = start[doc[start] == doc[start + width - 1]]
+        else:
+            start = first[count == width]
+        template, literals = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+        for k in range(width):
+            template = mix(template * _STEP + token[start + k])
+            literals += kind[start + k] == _LITERAL
+        template = template.view(np.int64)
+        use = literals >= min(MIN_LITERALS, width)
+        if only is not None:
+            use &= only[np.minimum(np.searchsorted(only, template), len(only) - 1)] == template if len(only) else False
+        start, template = start[use], template[use]
+        out.append(np.stack([doc[start], template, _patterns(kind, value, start, width)]))
+    rows = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))[: rows.shape[1]]
+    return rows[0, new], rows[1, new], rows[2, new]
 
 
 def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
@@ -90,17 +130,13 @@ def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None) -> Dat
     shared = None if only is None else df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid, cache = TaskContext.get().partitionId() << 40, {}
+        uid, table = TaskContext.get().partitionId() << 40, WordTable()
         for batch in batches:
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                template, pattern = windows(text, cache)
-                if shared is not None:
-                    met = np.isin(template, shared.value)
-                    template, pattern = template[met], pattern[met]
-                if len(template):
-                    pairs = np.unique(np.stack([template, pattern], 1), axis=0)
-                    keys = batch.column(0).take(pa.array(np.full(len(pairs), at)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), uid + at)), keys, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["uid", key, "template", "pattern"])
+            texts = batch.column(1).to_pylist()
+            for start, end in groups(texts):
+                at, template, pattern = windows(texts[start:end], table, None if shared is None else shared.value)
+                keys = batch.column(0).take(pa.array(start + at))
+                yield pa.RecordBatch.from_arrays([pa.array(uid + start + at), keys, pa.array(template), pa.array(pattern)], ["uid", key, "template", "pattern"])
             uid += batch.num_rows
 
     return df.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"uid bigint, {key} bigint, template bigint, pattern bigint")
