@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix, words
 from kerbline.operators.graph import connected_components
 from kerbline.runtime import materialise
 
-BANDS, ROWS, BITS, MAX_ODD, GROWTH = 32, 4, 512, 110, 8
+BANDS, ROWS, BITS, MAX_ODD, GROWTH, PACK = 32, 4, 512, 110, 8, 64
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -111,6 +111,42 @@ def _labelled(rows: DataFrame, parts: DataFrame, node: str, out: str) -> DataFra
     return rows.join(named, node, "left").withColumn(out, F.coalesce("_component", node)).drop("_component")
 
 
+def _packs(live: DataFrame, count: int) -> DataFrame:
+    """(band, value, pack): up to ``count`` pivots of each bucket, in arrays of at most ``PACK``."""
+    one = F.struct(F.col("rep").alias("pivot"), "odd", "c")
+    if count == 1:
+        packs = live.groupBy("band", "value").agg(F.array(F.min_by(one, "rep")).alias("pack"))
+    else:
+        order = Window.partitionBy("band", "value").orderBy("rep")
+        placed = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+        packs = placed.groupBy("band", "value", F.floor((F.col("place") - 1) / PACK).alias("n")).agg(F.collect_list(one).alias("pack")).drop("n")
+    return materialise(packs, "near-pivots")
+
+
+def _candidates(members: DataFrame, packs: DataFrame) -> DataFrame:
+    """Distinct (a, b) of members and pivots of one bucket that lie in different components and whose bitmaps are close.
+
+    A member meets a whole pack in one row, so only pairs that pass both tests become rows.
+    """
+
+    def close(p: Column) -> Column:
+        differing = F.aggregate(F.zip_with("odd", p["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return (p["c"] != F.col("c")) & (differing <= MAX_ODD)
+
+    met = members.join(packs, ["band", "value"]).select("rep", F.explode(F.transform(F.filter("pack", close), lambda p: p["pivot"])).alias("pivot"))
+    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _unresolved(members: DataFrame, packs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the buckets that still have a live one: a member is resolved once it shares a component with a pivot of its bucket."""
+    named = _labelled(members.drop("c"), parts, "rep", "c")
+    pivots = packs.select("band", "value", F.explode(F.transform("pack", lambda p: p["pivot"])).alias("pivot"))
+    done = _labelled(pivots, parts, "pivot", "c").select("band", "value", "c").distinct().withColumn("done", F.lit(True))
+    named = named.join(done, ["band", "value", "c"], "left").withColumn("live", F.col("live") & F.col("done").isNull())
+    named = materialise(named.select("band", "value", "rep", "odd", "c", "live"), "near-named")
+    return named.join(named.where("live").select("band", "value").distinct(), ["band", "value"], "left_semi")
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links are Jaccard similarities of ``percent`` or more."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -123,35 +159,21 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = materialise(rows.join(sizes, ["band", "value"]), "near-members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "near-texts", "zstd")
-    live, tested = members.select("band", "value", "rep", "odd"), None
+    members = members.select("band", "value", "rep", "odd", F.col("rep").alias("c"), F.lit(True).alias("live"))
     # Equal ids with different texts, and exact copies, are edges from the start.
     own = usable.select("h1", "h2", "n", F.col("doc_id").alias("src")).join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("src", F.col("rep").alias("dst"))
-    edges, parts, count = None, None, 1
-    while not live.isEmpty():
-        if count == 1:
-            pivots = live.groupBy("band", "value").agg(F.min_by(F.struct("rep", "odd"), "rep").alias("p"))
-            pivots = pivots.select("band", "value", F.col("p.rep").alias("pivot"), F.col("p.odd").alias("pivot_odd"))
-        else:
-            order = Window.partitionBy("band", "value").orderBy("rep")
-            pivots = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
-            pivots = pivots.select("band", "value", F.col("rep").alias("pivot"), F.col("odd").alias("pivot_odd"))
-        pivots = materialise(pivots, "near-pivots")
-        met = members.join(pivots, ["band", "value"]).where("rep != pivot")
-        differing = F.aggregate(F.zip_with("odd", "pivot_odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        met = met.where(differing <= MAX_ODD)
-        if parts is not None:
-            met = _labelled(_labelled(met, parts, "rep", "c1"), parts, "pivot", "c2").where("c1 != c2")
-        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    edges, tested, count = None, None, 1
+    while count == 1 or not members.isEmpty():
+        packs = _packs(members.where("live"), count)
+        pairs = _candidates(members, packs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = materialise(_confirm(pairs, texts, size, percent), "near-links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         edges = found if edges is None else edges.union(found)
-        parts = connected_components(edges)
-        done = _labelled(pivots.select("band", "value", "pivot"), parts, "pivot", "c").select("band", "value", "c").distinct()
-        rest = _labelled(live, parts, "rep", "c").join(done, ["band", "value", "c"], "left_anti")
-        live, count = materialise(rest.select("band", "value", "rep", "odd"), "near-live"), count * GROWTH
+        members = materialise(_unresolved(members, packs, connected_components(edges)), "near-members")
+        count *= GROWTH
     final = connected_components(own if edges is None else own.union(edges))
     out = _labelled(drawn.select("doc_id", F.col("n").alias("n_shingles")), final, "doc_id", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
