@@ -46,22 +46,50 @@ class Merger:
         tokenizer = word_tokenizer(path)
         self.normalise, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
 
-    def symbols(self, piece: str) -> list[int]:
-        """Start symbols of a pre-token; characters outside the vocabulary have none."""
-        ends = [*piece[:-1], piece[-1] + self.suffix]
-        return [self.vocab[c] for c in ends if c in self.vocab]
+    def symbols(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start symbols of pre-tokens one after another, and how many each has; characters outside the vocabulary have none."""
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array(list(map(len, pieces)), np.int64)
+        known, place = np.unique(chars, return_inverse=True)
+        inner, last = (np.array([self.vocab.get(chr(c) + end, -1) for c in known], np.int64)[place] for end in ("", self.suffix))
+        stop = np.cumsum(size)[size > 0] - 1
+        inner[stop] = last[stop]
+        owner = np.repeat(np.arange(len(pieces)), size)[inner >= 0]
+        return inner[inner >= 0], np.bincount(owner, minlength=len(pieces))
 
     def pre_tokens(self, word: str) -> tuple[int, list[str]]:
         """Number of special tokens in ``word`` and the pre-tokens of what lies between them."""
         parts = self.special.split(word) if self.special else [word]
         return len(parts) - 1, [p for part in parts if part for p, _ in self.cut(self.normalise(part))]
 
-    def survivors(self, sequences: list[list[int]]) -> np.ndarray:
-        """Number of symbols left of each sequence."""
-        size = np.array([len(s) for s in sequences], np.int64)
-        left = size.copy()
-        symbol = np.array([x for s in sequences for x in s], np.int64)
-        owner = np.repeat(np.arange(len(sequences)), size)
+    def cut_words(self, words: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Special tokens in each word, and the pre-tokens of all words with the word each comes from.
+
+        Plain words go through the normaliser and pre-tokeniser in one call with blanks between them, as no pre-token crosses a
+        blank; words with special tokens or with other white space inside are cut one by one.
+        """
+        special, pieces, owner = np.zeros(len(words), np.int64), [], []
+        plain = [at for at, w in enumerate(words) if w.split() == [w] and not (self.special and self.special.search(w))]
+        row = self.normalise(" ".join([words[at] for at in plain])).split(" ") if plain else []
+        if len(row) != len(plain):
+            plain, row = [], []
+        if row:
+            start = np.cumsum([0, *(len(w) + 1 for w in row[:-1])])
+            found = self.cut(" ".join(row))
+            pieces = [p for p, _ in found]
+            place = np.searchsorted(start, np.array([s for _, (s, _) in found], np.int64), "right") - 1
+            owner = np.array(plain, np.int64)[place].tolist()
+        whole = set(plain)
+        for at, word in enumerate(words):
+            if at not in whole:
+                special[at], parts = self.pre_tokens(word)
+                pieces += parts
+                owner += [at] * len(parts)
+        return special, pieces, np.array(owner, np.int64)
+
+    def survivors(self, symbol: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Number of symbols left of each of the sequences of ``size`` symbols."""
+        left, owner = size.copy(), np.repeat(np.arange(len(size)), size)
         while len(symbol) > 1:
             key = symbol[:-1] << 32 | symbol[1:]
             place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
@@ -88,13 +116,8 @@ class Merger:
 
     def count(self, words: list[str]) -> list[int]:
         """Token counts of distinct words."""
-        totals, pieces, owner = np.zeros(len(words), np.int64), [], []
-        for at, word in enumerate(words):
-            special, found = self.pre_tokens(word)
-            totals[at] = special
-            pieces += [self.symbols(p) for p in found]
-            owner += [at] * len(found)
-        np.add.at(totals, np.array(owner, np.int64), self.survivors(pieces))
+        totals, pieces, owner = self.cut_words(words)
+        np.add.at(totals, owner, self.survivors(*self.symbols(pieces)))
         return totals.tolist()
 
 
