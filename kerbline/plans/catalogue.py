@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.calendar import previous_week, week_end, week_start
-from kerbline.operators import balance, panel, sampling
+from kerbline.operators import balance, panel, ranking, sampling
 
 FLAGSHIP = "agg06_dense_panel"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,43 @@ def rnd01_seeded_draw(spark, sf_dir):
 """)
 def rnd02_treatment_arms(spark, sf_dir):
     return sampling.arms(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "7")
+
+
+@_query(_PANEL + "SELECT unit, week_start, y, r, lag(y) OVER w AS y_lag, lag(r) OVER w AS r_lag FROM panel WINDOW w AS (PARTITION BY unit ORDER BY week_start)")
+def win01_lagged_panel(spark, sf_dir):
+    return ranking.lagged(_panel(spark, sf_dir).select("unit", "week_start", "y", "r"), "unit", "week_start", "y", "r")
+
+
+@_query("SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS lowest, first(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS highest FROM orders GROUP BY 1")
+def win02_extremes(spark, sf_dir):
+    return ranking.extremes(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@_query("SELECT c_custkey, round(cume, 6) AS cume FROM (SELECT c_custkey, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS cume FROM customer)")
+def win04_empirical_cdf(spark, sf_dir):
+    w = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.round(F.cume_dist().over(w), 6).alias("cume"))
+
+
+@_query("""
+    SELECT o_custkey, o_orderkey, fits FROM (SELECT *, o_orderstatus = 'F' AS fits FROM orders)
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY fits DESC, o_totalprice, o_orderkey) = 1
+""")
+def win06_ranked_fallback(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+    return ranking.fallback(orders, "o_custkey", F.col("o_orderstatus") == "F", F.col("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "fits")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def srt02_top_k(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@_query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set02_never_served(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey").subtract(_t(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@_query("SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) = 1")
+def set03_keep_first(spark, sf_dir):
+    return ranking.first_per_group(_t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", F.col("o_orderkey"))
