@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets collapse to one representative. The MinHash samples of a representative form bands and are also
 folded into a parity bitmap: the population count of two bitmaps' XOR estimates how many samples differ and discards hopeless
-candidates. The others are compared on their full sets. A bucket never lists all of its pairs: in the first round it has one
-pivot, the smallest member; members that join a pivot's component are resolved, and the rest go on. Later rounds take
-``GROWTH`` times as many pivots as the one before from the unresolved and compare them with members of other components only.
-A bucket of n near copies thus costs about n comparisons.
+candidates. The others are compared on their full sets. A bucket doesn't list its pairs at once: in the first round it has one
+pivot, the smallest member, and later rounds take ``GROWTH`` times as many as the one before, from each component in turn. Pivots are
+compared with all members of other components and then leave the bucket. The bucket is done when the members left in it lie in one
+component: each of its pairs has then been compared or is joined up. A bucket of n near copies of one text thus costs about n comparisons.
 
 Null and empty texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole
 sequence is the one shingle. Rows of one id are one document. Rows with a null id are kept as they are, with a null component. An empty table
@@ -117,8 +117,11 @@ def _packs(live: DataFrame, count: int) -> DataFrame:
     if count == 1:
         packs = live.groupBy("band", "value").agg(F.array(F.min_by(one, "rep")).alias("pack"))
     else:
-        order = Window.partitionBy("band", "value").orderBy("rep")
-        placed = live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
+        # Components take turns, so a large one doesn't keep the others waiting.
+        own = Window.partitionBy("band", "value", "c").orderBy("rep")
+        order = Window.partitionBy("band", "value").orderBy("turn", "rep")
+        placed = live.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= count)
+        placed = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
         packs = placed.groupBy("band", "value", F.floor((F.col("place") - 1) / PACK).alias("n")).agg(F.collect_list(one).alias("pack")).drop("n")
     return materialise(packs, "near-pivots")
 
@@ -138,13 +141,12 @@ def _candidates(members: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 def _unresolved(members: DataFrame, packs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the buckets that still have a live one: a member is resolved once it shares a component with a pivot of its bucket."""
-    named = _labelled(members.drop("c"), parts, "rep", "c")
-    pivots = packs.select("band", "value", F.explode(F.transform("pack", lambda p: p["pivot"])).alias("pivot"))
-    done = _labelled(pivots, parts, "pivot", "c").select("band", "value", "c").distinct().withColumn("done", F.lit(True))
-    named = named.join(done, ["band", "value", "c"], "left").withColumn("live", F.col("live") & F.col("done").isNull())
-    named = materialise(named.select("band", "value", "rep", "odd", "c", "live"), "near-named")
-    return named.join(named.where("live").select("band", "value").distinct(), ["band", "value"], "left_semi")
+    """Members that have not been pivots, of the buckets where such members lie in more than one component."""
+    pivots = packs.select("band", "value", F.explode(F.transform("pack", lambda p: p["pivot"])).alias("rep"))
+    named = _labelled(members.drop("c").join(pivots, ["band", "value", "rep"], "left_anti"), parts, "rep", "c")
+    named = materialise(named.select("band", "value", "rep", "odd", "c"), "near-named")
+    split = named.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
+    return named.join(split.select("band", "value"), ["band", "value"], "left_semi")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -159,12 +161,12 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = materialise(rows.join(sizes, ["band", "value"]), "near-members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(involved, "doc_id", "left_semi"), "near-texts", "zstd")
-    members = members.select("band", "value", "rep", "odd", F.col("rep").alias("c"), F.lit(True).alias("live"))
+    members = members.select("band", "value", "rep", "odd", F.col("rep").alias("c"))
     # Equal ids with different texts, and exact copies, are edges from the start.
     own = usable.select("h1", "h2", "n", F.col("doc_id").alias("src")).join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("src", F.col("rep").alias("dst"))
     edges, tested, count = None, None, 1
     while count == 1 or not members.isEmpty():
-        packs = _packs(members.where("live"), count)
+        packs = _packs(members, count)
         pairs = _candidates(members, packs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

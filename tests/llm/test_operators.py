@@ -173,6 +173,17 @@ def test_near_duplicates(docs, none, texts, size):
     assert near_dup.components(none, size).count() == 0
 
 
+def test_near_duplicates_of_two_versions(spark):
+    """Two versions of a text with 40 near copies each; the one cross pair that reaches 80 percent has the largest ids."""
+    core, rng = [f"w{i}" for i in range(180)], random.Random(8)
+    versions = [core + [f"{v}{i}" for i in range(20)] for v in "ab"]
+    rows = [(i, " ".join(versions[i // 40] + [f"own{i}x{k}" for k in range(rng.randint(6, 10))])) for i in range(80)]
+    rows += [(80 + v, " ".join(versions[v])) for v in range(2)]
+    ship(spark)
+    got = by_id(near_dup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), size=1))
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
 def test_decontamination(spark, none):
     item = "If a train travels 60 km in 2 hours then how far does Anna travel in 5 hours at that speed"
     moved = "well: " + item.replace("60", "75").replace("Anna", "Bert").replace("5", "9") + " okay"
