@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become literals (lower-cased, without edge punctuation) or typed placeholders: numbers, units and names (capitalised words inside a
-sentence). Windows of ``WINDOW`` template words are hashed and joined with the benchmark's. A matched window counts only if its slots
-are filled consistently: places that hold one value in the benchmark hold one value in the document, and
+sentence). A capitalised word also has the reading as a literal, and one that opens a sentence that as a name, so each window has all
+readings of its capitalised words. Windows of ``WINDOW`` template words are hashed and joined with the benchmark's; a benchmark window is matched
+if one of its readings is. A matched window counts only if its slots are filled consistently: places that hold one value in the benchmark hold one value in the document, and
 different values stay different. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's distinct windows, or
 if ``RUN`` of them lie in the document; so re-parameterised questions are caught and common phrases are not.
 
@@ -30,6 +31,8 @@ UNITS = frozenset("mm cm m km in ft mi mile miles g kg mg lb lbs oz ml l s sec s
 _EDGE = "\"'()[]{}.,;:!?«»“”„…*#&%$-–—_/\\|<>=+~`^"
 _LITERAL, _NUMBER, _UNIT, _NAME = range(4)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_KINDS = mix(np.arange(1, 5, dtype=np.uint64) * _STEP)
+_PLACES = mix(np.arange(11, 11 + WINDOW, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 def _code(text: str) -> int:
@@ -71,21 +74,31 @@ class WordTable:
         return [c[at] for c in self.columns]
 
 
-def _patterns(kind: np.ndarray, value: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Slot pattern of the windows at ``start``: each slot names the first slot of the same value."""
-    pattern = np.zeros(len(start), np.int64)
-    for k in range(width):
-        same = np.full(len(start), k)
+def _patterns(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Slot pattern of the windows in the rows of ``kind`` and ``value``: each slot names the first slot of the same value."""
+    pattern = np.zeros(len(kind), np.int64)
+    for k in range(kind.shape[1]):
+        same = np.full(len(kind), k)
         for j in range(k - 1, -1, -1):
-            same = np.where((kind[start + j] == kind[start + k]) & (value[start + j] == value[start + k]), j, same)
-        pattern = pattern * 8 + np.where(kind[start + k] != _LITERAL, same + 1, 0)
+            same = np.where((kind[:, j] == kind[:, k]) & (value[:, j] == value[:, k]), j, same)
+        pattern = pattern * 8 + np.where(kind[:, k] != _LITERAL, same + 1, 0)
     return pattern
 
 
-def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, template hash, slot pattern) of the distinct windows of each text; windows of placeholders mostly are left out.
+def _rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """Bits of ``values`` from each place on, the first one lowest."""
+    n = len(values) - width + 1
+    out = np.zeros(n, np.uint8)
+    for k in range(width):
+        out |= values[k : n + k].astype(np.uint8) << np.uint8(k)
+    return out
+
+
+def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, window, template hash, slot pattern) of the distinct readings of each text's windows; windows of placeholders mostly are left out.
 
-    ``only`` is a sorted array of the templates to keep.
+    A reading takes some of the window's capitalised words as literals and the others as names. Windows are told apart by the
+    reading that takes those that open a sentence as literals. ``only`` is a sorted array of the templates to keep.
     """
     words, size = [], np.zeros(len(texts), np.int64)
     for at, text in enumerate(texts):
@@ -95,38 +108,56 @@ def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None =
     kind, value, capital, ends = table.look_up(words)
     doc = np.repeat(np.arange(len(texts)), size)
     opens = np.append(True, doc[1:] != doc[:-1])[: len(doc)] | np.append(True, ends[:-1])[: len(doc)]
-    kind[capital & ~opens & (kind == _LITERAL)] = _NAME
-    doc, value, kind = doc[kind >= 0], value[kind >= 0], kind[kind >= 0]
+    full = kind >= 0
+    doc, value, kind, capital, opens = doc[full], value[full], kind[full], capital[full], opens[full]
+    kind[capital] = _NAME
     count = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(count) - count
-    token = np.where(kind == _LITERAL, value, kind.astype(np.uint64))
+    literal = mix(value)
+    token = np.where(kind == _LITERAL, literal, _KINDS[kind])
+    shift = literal - _KINDS[_NAME]
     out = []
-    for width in np.unique(np.minimum(count, WINDOW)):
+    for width in np.unique(np.minimum(count, WINDOW)).tolist():
         if not width:
             continue
-        if width == WINDOW:
-            start = np.arange(len(doc) - width + 1)
-            start = start[doc[start] == doc[start + width - 1]]
-        else:
-            start = first[count == width]
-        template, literals = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+        n = len(doc) - width + 1
+        start = np.flatnonzero(doc[:n] == doc[width - 1 :]) if width == WINDOW else first[count == width]
+        base = np.zeros(n, np.uint64)
         for k in range(width):
-            template = mix(template * _STEP + token[start + k])
-            literals += kind[start + k] == _LITERAL
-        template = template.view(np.int64)
-        use = literals >= min(MIN_LITERALS, width)
-        if only is not None:
-            use &= only[np.minimum(np.searchsorted(only, template), len(only) - 1)] == template if len(only) else False
-        start, template = start[use], template[use]
-        out.append(np.stack([doc[start], template, _patterns(kind, value, start, width)]))
-    rows = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+            base += token[k : n + k] * _PLACES[k]
+        base, names, opening = base[start], _rolled(capital, width)[start], _rolled(capital & opens, width)[start]
+        literals = np.bitwise_count(_rolled(kind == _LITERAL, width)[start])
+        least = min(MIN_LITERALS, width)
+        counted = literals + np.bitwise_count(opening) >= least
+        named = np.flatnonzero(names)
+        for reading in range(1 << width):
+            read = [k for k in range(width) if reading >> k & 1]
+            at = named[names[named] & reading == reading] if reading else np.arange(len(start))
+            at = at[counted[at] & (literals[at] + len(read) >= least)]
+            template = base[at]
+            for k in read:
+                template = template + shift[start[at] + k] * _PLACES[k]
+            template = template.view(np.int64)
+            if only is not None:
+                kept = only[np.minimum(np.searchsorted(only, template), len(only) - 1)] == template if len(only) else np.zeros(len(at), bool)
+                at, template = at[kept], template[kept]
+            if not len(at):
+                continue
+            spot = start[at][:, None] + np.arange(width)
+            kinds, values = kind[spot], value[spot]
+            usual = np.where((opening[at][:, None] >> np.arange(width)) & 1, _LITERAL, kinds)
+            window = np.where(usual == _LITERAL, literal[spot], _KINDS[usual]) * _PLACES[:width]
+            window = mix(window.sum(axis=1, dtype=np.uint64) + _patterns(usual, values).view(np.uint64) * _STEP)
+            kinds[:, read] = _LITERAL
+            out.append(np.stack([doc[start[at]], window.view(np.int64), template, _patterns(kinds, values)]))
+    rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
     rows = rows[:, np.lexsort(rows[::-1])]
     new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))[: rows.shape[1]]
-    return rows[0, new], rows[1, new], rows[2, new]
+    return tuple(rows[:, new])
 
 
 def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
-    """(uid, key, template, pattern) of the distinct windows of every row."""
+    """(uid, key, window, template, pattern) of the distinct readings of every row's windows."""
     shared = None if only is None else df.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,22 +165,23 @@ def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None) -> Dat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in groups(texts):
-                at, template, pattern = windows(texts[start:end], table, None if shared is None else shared.value)
+                at, *columns = windows(texts[start:end], table, None if shared is None else shared.value)
                 keys = batch.column(0).take(pa.array(start + at))
-                yield pa.RecordBatch.from_arrays([pa.array(uid + start + at), keys, pa.array(template), pa.array(pattern)], ["uid", key, "template", "pattern"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid + start + at), keys, *map(pa.array, columns)], ["uid", key, "window", "template", "pattern"])
             uid += batch.num_rows
 
-    return df.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"uid bigint, {key} bigint, template bigint, pattern bigint")
+    return df.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"uid bigint, {key} bigint, window bigint, template bigint, pattern bigint")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows) of documents and the items that contaminate them."""
     items = _window_rows(benchmark, "item_id").withColumnRenamed("uid", "item")
-    sizes = items.groupBy("item", "item_id").agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy("item", "item_id").agg(F.count_distinct("window").alias("n_windows"))
     grams = items.select("template").distinct()
     small = grams.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     only = np.sort(grams.toPandas()["template"].to_numpy(np.int64)) if small else None
-    found = _window_rows(docs, "doc_id", only).join(items.drop("item_id"), ["template", "pattern"])
+    found = _window_rows(docs, "doc_id", only).drop("window").join(items.drop("item_id"), ["template", "pattern"])
+    found = found.select("uid", "doc_id", "item", "window").distinct()
     per = found.groupBy("uid", "doc_id", "item").agg(F.count("*").alias("n_matched")).join(sizes, "item")
     return per.where((F.col("n_matched") >= F.lit(SHARE) * F.col("n_windows")) | (F.col("n_matched") >= RUN)).select("doc_id", "item_id", "n_matched", "n_windows")
 

@@ -198,6 +198,17 @@ def test_decontamination(spark, none):
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.where("false")).count() == 7
 
 
+def test_decontamination_reads_capitals_both_ways(spark):
+    item = "Anna has 5 apples. Anna buys 3 more. How many apples does Anna have?"
+    prose = "Later the old survey of the street by Carla was paved over and then read"
+    texts = [item, item.replace("Anna", "Bert"), "so " + item.replace("Anna", "Bert"), item.lower(), "so " + prose, prose.lower(), "Anna has many apples. How does Bert buy more?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (8, prose)], "item_id bigint, text string")
+    ship(spark)
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(i, 7): (10, 10) for i in range(4)} | {(i, 8): (11, 11) for i in (4, 5)}
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(200, 64))
