@@ -4,11 +4,13 @@ Words become literals (lower-cased, without edge punctuation) or typed placehold
 sentence). A capitalised word also has the reading as a literal, and one that opens a sentence that as a name, so each window has all
 readings of its capitalised words. Windows of ``WINDOW`` template words are hashed and joined with the benchmark's; a benchmark window is matched
 if one of its readings is. A matched window counts only if its slots are filled consistently: places that hold one value in the benchmark hold one value in the document, and
-different values stay different. A document is contaminated by an item if consistent windows cover ``SHARE`` of the item's distinct windows, or
-if ``RUN`` of them lie in the document; so re-parameterised questions are caught and common phrases are not.
+different values stay different. Windows of fewer than ``MIN_LITERALS`` literals are matched on their exact words. A document is contaminated
+by an item if consistent windows cover ``SHARE`` of the item's distinct windows, with or without the exact ones, or if ``RUN`` of them lie in the
+document; so re-parameterised questions are caught and common phrases are not.
 
 The benchmark's window hashes are broadcast as a filter only up to ``MAX_BROADCAST`` of them; beyond it all windows go through the join.
-Null and empty texts have no windows and are clean; a text shorter than a window is one window. Items without words match nothing.
+Null and empty texts have no windows and are clean; an item shorter than a window is one window,
+and documents have windows of all widths that items have. Items without words match nothing.
 Rows of one id are judged together; a row with a null id stays. Empty tables give clean or empty results.
 """
 
@@ -32,6 +34,7 @@ _EDGE = "\"'()[]{}.,;:!?«»“”„…*#&%$-–—_/\\|<>=+~`^"
 _LITERAL, _NUMBER, _UNIT, _NAME = range(4)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _KINDS = mix(np.arange(1, 5, dtype=np.uint64) * _STEP)
+_EXACT = np.uint64(0xA24BAED4963EE407)
 _PLACES = mix(np.arange(11, 11 + WINDOW, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
@@ -94,11 +97,13 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, window, template hash, slot pattern) of the distinct readings of each text's windows; windows of placeholders mostly are left out.
+def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None = None, widths: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """(text number, width, exact, window, template hash, slot pattern) of the distinct readings of each text's windows.
 
     A reading takes some of the window's capitalised words as literals and the others as names. Windows are told apart by the
-    reading that takes those that open a sentence as literals. ``only`` is a sorted array of the templates to keep.
+    reading that takes those that open a sentence as literals; ``exact`` is 1 where that has too few literals, and such windows
+    are told apart by their words. ``only`` is a sorted array of the templates to keep. A text has windows of each of
+    ``widths``, by default of ``WINDOW`` words or one of all its words.
     """
     words, size = [], np.zeros(len(texts), np.int64)
     for at, text in enumerate(texts):
@@ -117,11 +122,11 @@ def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None =
     token = np.where(kind == _LITERAL, literal, _KINDS[kind])
     shift = literal - _KINDS[_NAME]
     out = []
-    for width in np.unique(np.minimum(count, WINDOW)).tolist():
-        if not width:
-            continue
+    for width in np.unique(np.minimum(count, WINDOW)).tolist() if widths is None else widths:
         n = len(doc) - width + 1
-        start = np.flatnonzero(doc[:n] == doc[width - 1 :]) if width == WINDOW else first[count == width]
+        if not width or n < 1:
+            continue
+        start = np.flatnonzero(doc[:n] == doc[width - 1 :]) if width == WINDOW or widths is not None else first[count == width]
         base = np.zeros(n, np.uint64)
         for k in range(width):
             base += token[k : n + k] * _PLACES[k]
@@ -130,13 +135,21 @@ def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None =
         least = min(MIN_LITERALS, width)
         counted = literals + np.bitwise_count(opening) >= least
         named = np.flatnonzero(names)
-        for reading in range(1 << width):
-            read = [k for k in range(width) if reading >> k & 1]
-            at = named[names[named] & reading == reading] if reading else np.arange(len(start))
-            at = at[counted[at] & (literals[at] + len(read) >= least)]
-            template = base[at]
-            for k in read:
-                template = template + shift[start[at] + k] * _PLACES[k]
+        bare = literals + np.bitwise_count(names) < least
+        for reading in [*range(1 << width), None]:
+            read = range(width) if reading is None else [k for k in range(width) if reading >> k & 1]
+            if reading is None:
+                # No reading has enough literals: the words themselves.
+                at = np.flatnonzero(bare)
+                template = np.full(len(at), _EXACT)
+                for k in read:
+                    template = template + literal[start[at] + k] * _PLACES[k]
+            else:
+                at = named[names[named] & reading == reading] if reading else np.arange(len(start))
+                at = at[literals[at] + len(read) >= least]
+                template = base[at]
+                for k in read:
+                    template = template + shift[start[at] + k] * _PLACES[k]
             template = template.view(np.int64)
             if only is not None:
                 kept = only[np.minimum(np.searchsorted(only, template), len(only) - 1)] == template if len(only) else np.zeros(len(at), bool)
@@ -145,45 +158,55 @@ def windows(texts: list[str | None], table: WordTable, only: np.ndarray | None =
                 continue
             spot = start[at][:, None] + np.arange(width)
             kinds, values = kind[spot], value[spot]
+            exact = ~counted[at]
             usual = np.where((opening[at][:, None] >> np.arange(width)) & 1, _LITERAL, kinds)
+            usual[exact] = _LITERAL
             window = np.where(usual == _LITERAL, literal[spot], _KINDS[usual]) * _PLACES[:width]
             window = mix(window.sum(axis=1, dtype=np.uint64) + _patterns(usual, values).view(np.uint64) * _STEP)
             kinds[:, read] = _LITERAL
-            out.append(np.stack([doc[start[at]], window.view(np.int64), template, _patterns(kinds, values)]))
-    rows = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+            out.append(np.stack([doc[start[at]], np.full(len(at), width), exact, window.view(np.int64), template, _patterns(kinds, values)]))
+    rows = np.concatenate(out, axis=1) if out else np.zeros((6, 0), np.int64)
     rows = rows[:, np.lexsort(rows[::-1])]
     new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))[: rows.shape[1]]
     return tuple(rows[:, new])
 
 
-def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
-    """(uid, key, window, template, pattern) of the distinct readings of every row's windows."""
+def _window_rows(df: DataFrame, key: str, only: np.ndarray | None = None, widths: list[int] | None = None) -> DataFrame:
+    """(uid, key, width, exact, window, template, pattern) of the distinct readings of every row's windows."""
     shared = None if only is None else df.sparkSession.sparkContext.broadcast(only)
+    names = ["uid", key, "width", "exact", "window", "template", "pattern"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, table = TaskContext.get().partitionId() << 40, WordTable()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in groups(texts):
-                at, *columns = windows(texts[start:end], table, None if shared is None else shared.value)
+                at, *columns = windows(texts[start:end], table, None if shared is None else shared.value, widths)
                 keys = batch.column(0).take(pa.array(start + at))
-                yield pa.RecordBatch.from_arrays([pa.array(uid + start + at), keys, *map(pa.array, columns)], ["uid", key, "window", "template", "pattern"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid + start + at), keys, *map(pa.array, columns)], names)
             uid += batch.num_rows
 
-    return df.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, f"uid bigint, {key} bigint, window bigint, template bigint, pattern bigint")
+    return df.select(F.col(key).cast("bigint").alias(key), "text").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows) of documents and the items that contaminate them."""
+    """(doc_id, item_id, n_matched, n_windows) of documents and the items that contaminate them.
+
+    Exact windows are left out of both numbers where the others alone reach ``SHARE``.
+    """
     items = _window_rows(benchmark, "item_id").withColumnRenamed("uid", "item")
-    sizes = items.groupBy("item", "item_id").agg(F.count_distinct("window").alias("n_windows"))
+    distinct = items.select("item", "item_id", "exact", "window").distinct()
+    sizes = distinct.groupBy("item", "item_id").agg(F.count("*").alias("n_all"), F.count_if(F.col("exact") == 0).alias("n_loose"))
     grams = items.select("template").distinct()
     small = grams.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     only = np.sort(grams.toPandas()["template"].to_numpy(np.int64)) if small else None
-    found = _window_rows(docs, "doc_id", only).drop("window").join(items.drop("item_id"), ["template", "pattern"])
-    found = found.select("uid", "doc_id", "item", "window").distinct()
-    per = found.groupBy("uid", "doc_id", "item").agg(F.count("*").alias("n_matched")).join(sizes, "item")
-    return per.where((F.col("n_matched") >= F.lit(SHARE) * F.col("n_windows")) | (F.col("n_matched") >= RUN)).select("doc_id", "item_id", "n_matched", "n_windows")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+    found = _window_rows(docs, "doc_id", only, widths).select("uid", "doc_id", "template", "pattern").join(items.drop("item_id"), ["template", "pattern"])
+    found = found.select("uid", "doc_id", "item", "exact", "window").distinct()
+    per = found.groupBy("uid", "doc_id", "item").agg(F.count("*").alias("all"), F.count_if(F.col("exact") == 0).alias("loose")).join(sizes, "item")
+    by_loose = (F.col("n_loose") > 0) & (F.col("loose") >= F.lit(SHARE) * F.col("n_loose"))
+    hit = per.where(by_loose | (F.col("all") >= F.lit(SHARE) * F.col("n_all")) | (F.col("all") >= RUN))
+    return hit.select("doc_id", "item_id", F.when(by_loose, F.col("loose")).otherwise(F.col("all")).alias("n_matched"), F.when(by_loose, F.col("n_loose")).otherwise(F.col("n_all")).alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

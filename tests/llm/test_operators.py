@@ -209,6 +209,16 @@ def test_decontamination_reads_capitals_both_ways(spark):
     assert got == {(i, 7): (10, 10) for i in range(4)} | {(i, 8): (11, 11) for i in (4, 5)}
 
 
+def test_decontamination_of_numbers_and_short_items(spark):
+    sums, short = "Compute 3 + 4 * 12 - 7", "Name the river"
+    mixed = "What is the sum of 1 2 3 4 5 6 7 8 9"
+    texts = ["He said: compute 3 + 4 * 12 - 7 now", "Compute 3 + 5 * 12 - 8", "please name the river that flows here", "name the long river", mixed.replace("1 2 3 4", "21 22 23 24"), "other 1 2 3 4 5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, sums), (8, short), (9, mixed), (10, "Kelvin")], "item_id bigint, text string")
+    ship(spark)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(0, 7), (2, 8), (4, 9)}
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(200, 64))
