@@ -3,7 +3,8 @@
 A page is read into text nodes, each with its root-to-leaf path of tags (and class names). Text length, punctuation and link text are summed
 per path and fused into one ratio; a path's ratio is smoothed with that of its container, so that a short heading or line shares in
 its article. Paths at or above a share of the page's best ratio are content. Paths through menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments never are; paths through an article or main element get its container's ratio in full.
+adverts, forms, scripts, styles or reader comments never are. A path through an article or main element has ``MAIN`` times the ratio of that
+whole element, and stands against the share like any other.
 
 Null and empty pages, and pages without content, give an empty text. Repeated rows give repeated results, an empty table an empty one;
 columns other than the id, the address and the html are not read.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SHARE = 0.25
+SHARE, MAIN = 0.25, 2
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*?)(/?)>\Z", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -122,10 +123,9 @@ def extract(page: str | None) -> str:
     for path, value in ratio.items():
         box = _container(path)
         main = next((box[: i + 1] for i, (n, _) in enumerate(box) if n in {"article", "main"}), None)
-        fused[path] = float("inf") if main else (value + whole[box]) / 2
-    top = max((v for v in fused.values() if v != float("inf")), default=0.0)
-    has_main = any(v == float("inf") for v in fused.values())
-    content = {p for p, v in fused.items() if v == float("inf") or not has_main and v >= SHARE * top}
+        fused[path] = MAIN * whole[main] if main else (value + whole[box]) / 2
+    top = max(fused.values())
+    content = {p for p, v in fused.items() if v >= SHARE * top}
     blocks: dict[int, list[str]] = {}
     for path, block, text in found:
         if path in content:

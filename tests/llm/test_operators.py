@@ -149,6 +149,13 @@ def test_main_text(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+def test_main_text_ratios_decide_beside_an_article():
+    body = "".join(f"<p>Sentence {i} of the body, which stands in a plain element.</p>" for i in range(12))
+    text = main_text.extract(f"<body><div class=story><h1>Title</h1>{body}</div><div><article class=card><p>A teaser.</p></article></div></body>")
+    assert text.split("\n") == ["Title"] + [f"Sentence {i} of the body, which stands in a plain element." for i in range(12)]
+    assert main_text.extract(f"<body><div>Some note, short.</div><main><h1>Title</h1>{body}</main></body>").split("\n") == text.split("\n")
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(docs, none, texts, size):
     sets = []
