@@ -25,6 +25,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(.*?)(/?)>\Z", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = frozenset("script style textarea title noscript template svg iframe object math".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead tfoot ul ol dl table blockquote pre figure figcaption".split())
@@ -41,13 +42,10 @@ _SPACE = re.compile(r"\s+")
 def nodes(page: str) -> Iterator[tuple[tuple, int, str]]:
     """(path, block number, decoded text) of each text node; a path holds (tag, names) pairs."""
     stack: list[tuple[str, str]] = []
-    block, raw = 0, None
-    for match in _TOKEN.finditer(page):
-        token = match.group()
-        if raw is not None:
-            if token.lower().startswith("</" + raw) and not token[len(raw) + 2 : len(raw) + 3].isalnum():
-                raw = None
-            continue
+    block, at = 0, 0
+    while at < len(page):
+        match = _TOKEN.match(page, at)
+        token, at = match.group(), match.end()
         tag = _TAG.match(token) if token[0] == "<" and len(token) > 1 and token[1] not in "!?" else None
         if tag is None:
             if token[:9] == "<![CDATA[":
@@ -62,22 +60,24 @@ def nodes(page: str) -> Iterator[tuple[tuple, int, str]]:
         if closing:
             names = [n for n, _ in stack]
             if name in names:
-                at = len(names) - 1 - names[::-1].index(name)
+                last = len(names) - 1 - names[::-1].index(name)
                 # An end tag of an inner element doesn't reach across its container.
-                if name in _BOUND or not any(n in _BOUND for n in names[at + 1 :]):
-                    del stack[at:]
+                if name in _BOUND or not any(n in _BOUND for n in names[last + 1 :]):
+                    del stack[last:]
             continue
         if name in _CLOSES_P or name in {"li", "dd", "dt", "td", "th", "tr", "option"}:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == "p" and name in _CLOSES_P or stack[at][0] == name and name not in _CLOSES_P:
-                    del stack[at:]
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == "p" and name in _CLOSES_P or stack[i][0] == name and name not in _CLOSES_P:
+                    del stack[i:]
                     break
-                if stack[at][0] in _BOUND:
+                if stack[i][0] in _BOUND:
                     break
         if name in _VOID or tag.group(4) and name not in _RAW:
             continue
         if name in _RAW:
-            raw = name
+            # What stands in a raw element isn't markup, only its own end tag is looked for.
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
             continue
         found = " ".join(x for m in _NAMES.finditer(tag.group(3)) for x in m.groups() if x)
         stack.append((name, found))

@@ -149,6 +149,11 @@ def test_main_text(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+def test_main_text_after_raw_elements():
+    for script in ("for(i=0;i<n;i++)f(i)", "if(a<b)s='it'", "x<y // it's", "'</scripted>'+a<b"):
+        assert main_text.extract(f"<p>Before.</p><SCRIPT async>{script}</Script\n><p>Body</p><style>a<b{{}}</style><p>End</p>") == "Before.\nBody\nEnd"
+
+
 def test_main_text_ratios_decide_beside_an_article():
     body = "".join(f"<p>Sentence {i} of the body, which stands in a plain element.</p>" for i in range(12))
     text = main_text.extract(f"<body><div class=story><h1>Title</h1>{body}</div><div><article class=card><p>A teaser.</p></article></div></body>")
