@@ -183,15 +183,20 @@ def _based(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, target: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, read back from the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, read back from the shards through their index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data in zip(batch.column(0), batch.column(1)):
                 shard = Shard(data.as_py())
-                n = np.diff(shard.bounds)
-                crc = [zlib.crc32(shard.doc(i).tobytes()) for i in range(shard.n_docs)]
-                columns = [pa.array(shard.keys(), pa.int64()), pa.array(first.as_py() + shard.bounds[:-1]), pa.array(n), pa.array(crc, pa.int64())]
+                names = np.unique(shard.known).tolist()
+                found = [(k, i) for k, docs in zip(names, shard.find(names)) for i in docs]
+                at = [*range(shard.nulls), *(i for _, i in found)]
+                if at != list(range(shard.n_docs)):
+                    raise ValueError("the shard's index doesn't lead to each of its documents")
+                crc = [zlib.crc32(shard.doc(i).tobytes()) for i in at]
+                keys = [None] * shard.nulls + [k for k, _ in found]
+                columns = [pa.array(keys, pa.int64()), pa.array(first.as_py() + shard.bounds[at]), pa.array(np.diff(shard.bounds)[at]), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     based = _based(spark, target).select("start", "shard")

@@ -99,6 +99,19 @@ def test_token_store(spark, docs, none, texts):
     assert token_store.read_digests(spark, empty).count() == 0
 
 
+def test_token_store_reads_through_the_index(spark, docs):
+    target, turned = scratch(spark, "tokens"), scratch(spark, "tokens")
+    token_store.write_tokens(docs, target)
+    stored = spark.read.parquet(target)
+    rows = [r.asDict() | {"shard": bytearray(r["shard"])} for r in stored.collect()]
+    for row in rows:
+        table = token_store.Shard(row["shard"]).table
+        table[1] = np.roll(table[1], 1)
+    spark.createDataFrame([tuple(r[c] for c in stored.columns) for r in rows], stored.schema).write.parquet(turned)
+    with pytest.raises(Exception, match="doesn't lead to"):
+        token_store.read_digests(spark, turned).collect()
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
     assert sorted(token_store.PerfectHash.build(keys).slot(keys)) == list(range(len(keys)))
