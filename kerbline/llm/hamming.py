@@ -1,8 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-An embedding's code has one sign bit per dimension, ``SEGMENTS`` segments per code. Within a shard of the distinct codes each segment
+An embedding's code has one sign bit per dimension, in words of ``WORD`` bits and segments of ``BITS``. Within a shard of the distinct codes each segment
 has its own index; a query's segment search radius grows step by step until the k-th verified Hamming distance is
-provably covered: after all segments are searched to radius r, every code within SEGMENTS * (r + 1) - 1 bits has been seen.
+provably covered: after all segments are searched to radius r, every code within (r + 1) bits for each segment, less one, has been seen.
 Exact shard results merge to the exact result.
 
 Equal codes are one index entry that holds its k + 1 smallest ids, which is enough for any exact answer, so a hot code costs no more
@@ -23,14 +23,17 @@ from pyspark.sql import functions as F
 
 from kerbline.runtime import materialise
 
-SEGMENTS, BITS, SHARD_CODES = 4, 16, 50_000
-WORDS = SEGMENTS * BITS
+WORD, BITS, SHARD_CODES = 64, 16, 50_000
 
 
-def code_column(vector: str = "embedding") -> Column:
-    """The sign bits of the first 64 dimensions as one long; a positive value sets the bit."""
-    bits = F.transform(F.slice(F.col(vector), 1, WORDS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+def code_column(width: int, vector: str = "embedding") -> Column:
+    """The sign bits of all ``width`` dimensions as an array of longs; a positive value sets the bit."""
+
+    def word(at: int) -> Column:
+        bits = F.transform(F.slice(F.col(vector), at + 1, WORD), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+
+    return F.array(*[word(at) for at in range(0, width, WORD)])
 
 
 @lru_cache(maxsize=BITS + 1)
@@ -40,38 +43,39 @@ def masks(radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Segment tables of one shard of distinct codes with their numbers of ids."""
+    """Segment tables of one shard of distinct codes, one row of words each, with their numbers of ids."""
 
-    def __init__(self, codes: np.ndarray, weight: np.ndarray):
-        self.codes, self.weight = codes.view(np.uint64), weight
+    def __init__(self, codes: np.ndarray, weight: np.ndarray, width: int):
+        self.codes, self.weight, self.width = codes.view(np.uint64), weight, width
         self.tables = []
-        for s in range(SEGMENTS):
+        for s in range(-(-width // BITS)):
             value = self._segment(self.codes, s)
             order = np.argsort(value, kind="stable")
             self.tables.append((order, np.searchsorted(value[order], np.arange((1 << BITS) + 1))))
 
     @staticmethod
     def _segment(codes, s: int):
-        return (codes >> np.uint64(BITS * s)).astype(np.int64) & ((1 << BITS) - 1)
+        word, at = divmod(BITS * s, WORD)
+        return (codes[..., word] >> np.uint64(at)).astype(np.int64) & ((1 << BITS) - 1)
 
-    def search(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and distances of all codes up to the distance that covers k ids."""
-        q = np.array([query], np.int64).view(np.uint64)
+        q = query.view(np.uint64)
         seen, dist = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for radius in range(BITS + 1):
             fresh = []
             for s, (order, start) in enumerate(self.tables):
-                value = masks(radius) ^ self._segment(q, s)[0]
+                value = masks(radius) ^ self._segment(q, s)
                 lo, hi = start[value], start[value + 1]
                 n = hi - lo
                 fresh.append(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
             new = np.setdiff1d(np.concatenate(fresh), seen)
             seen = np.append(seen, new)
-            dist = np.append(dist, np.bitwise_count(self.codes[new] ^ q[0]).astype(np.int64))
-            covered = SEGMENTS * (radius + 1) - 1
+            dist = np.append(dist, np.bitwise_count(self.codes[new] ^ q).sum(axis=1, dtype=np.int64))
+            covered = len(self.tables) * (radius + 1) - 1
             if self.weight[seen[dist <= covered]].sum() >= k or len(seen) == len(self.codes):
                 break
-        per = np.bincount(dist, self.weight[seen], minlength=WORDS + 1)
+        per = np.bincount(dist, self.weight[seen], minlength=self.width + 1)
         bound = int(np.searchsorted(np.cumsum(per), k))
         near = dist <= bound
         return seen[near], dist[near]
@@ -81,8 +85,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
     """(query_id, rank, neighbour_id, distance) of each query row against all rows."""
     sized = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sized = sized.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    width = sized.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    coded = sized.where(F.size("v") == (width["w"] if width else 0)).select("id", "asks", code_column("v").alias("code"))
+    common = sized.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width = common["w"] if common else 1
+    coded = sized.where(F.size("v") == width).select("id", "asks", code_column(width, "v").alias("code"))
     coded = materialise(coded.groupBy("id").agg(F.max("asks").alias("asks"), F.min("code").alias("code")), "hamming-codes")
     # The smallest ids of a code, found in two steps so that no task holds all ids of a hot code.
     salted = coded.select("code", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
@@ -99,20 +104,21 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
 
     def find(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(held):
-            return pd.DataFrame({"code": [], "distance": [], "id": []}).astype("int64")
+            return pd.DataFrame({"code": [], "distance": [], "id": []}).astype({"code": object, "distance": "int64", "id": "int64"})
         ids = held["ids"].to_numpy()
-        tables = MultiIndex(held["code"].to_numpy(np.int64), np.array([len(x) for x in ids]))
-        out = []
-        for q in wanted["code"].to_numpy(np.int64):
-            at, dist = tables.search(int(q), k + 1)
+        tables = MultiIndex(np.stack(held["code"].to_list()).astype(np.int64), np.array([len(x) for x in ids]), width)
+        codes, out = [], []
+        for q in wanted["code"]:
+            at, dist = tables.search(np.asarray(q, np.int64), k + 1)
             n = tables.weight[at]
             found = np.stack([np.repeat(dist, n), np.concatenate([ids[i] for i in at])])
             found = found[:, np.lexsort((found[1], found[0]))[: k + 1]]
-            out.append(np.vstack([np.full(found.shape[1], q), found]))
-        code, distance, found_id = np.concatenate(out, 1)
-        return pd.DataFrame({"code": code, "distance": distance, "id": found_id})
+            codes += [q] * found.shape[1]
+            out.append(found)
+        distance, found_id = np.concatenate(out, 1)
+        return pd.DataFrame({"code": codes, "distance": distance, "id": found_id})
 
-    local = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(find, "code bigint, distance bigint, id bigint")
+    local = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(find, "code array<bigint>, distance bigint, id bigint")
     best = local.selectExpr("code", "distance", "id", "row_number() over (partition by code order by distance, id) as n").where(F.col("n") <= k + 1).drop("n")
     answers = coded.where("asks").select(F.col("id").alias("query_id"), "code").join(best, "code").where("id != query_id")
     ranked = answers.selectExpr("query_id", "row_number() over (partition by query_id order by distance, id) as rank", "id as neighbour_id", "distance")

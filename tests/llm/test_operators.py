@@ -262,6 +262,20 @@ def test_hamming(spark):
     assert hamming.top_k(frame.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 150])
+def test_hamming_of_other_widths(spark, width):
+    vectors = np.random.default_rng(9).normal(size=(120, width))
+    vectors[30:60, :64] = vectors[30, :64]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    bits, want = vectors > 0, []
+    for q in range(0, 120, 30):
+        best = sorted((int(n), i) for i, n in enumerate((bits != bits[q]).sum(1)) if i != q)[:10]
+        want += [(q, r + 1, i, n) for r, (n, i) in enumerate(best)]
+    ship(spark)
+    got = sorted(tuple(r) for r in hamming.top_k(frame, F.col("vec_id") % 30 == 0).select("query_id", "rank", "neighbour_id", "distance").collect())
+    assert got == want
+
+
 def test_katz(docs, none, texts):
     tokens = [WORD.findall(lower(t or "")) + [None] for t in texts]
     train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
