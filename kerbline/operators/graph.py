@@ -11,6 +11,32 @@ from pyspark.sql import functions as F
 from kerbline.runtime import materialise
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as stars: connected as before, with at most one edge for each vertex that the partition holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+        pairs = [(x, top) for x in parent if (top := find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["src", "dst"])
+
+    return edges.mapInArrow(run, "src bigint, dst bigint")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     low = both.groupBy("src").agg(F.min("dst").alias("m")).withColumn("m", F.least("m", "src"))
@@ -18,9 +44,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    low = down.groupBy("src").agg(F.min("dst").alias("m"))
-    moved = down.join(low, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    low = edges.groupBy("src").agg(F.min("dst").alias("m"))
+    moved = edges.join(low, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return moved.union(low.select("src", F.col("m").alias("dst"))).distinct()
 
 
@@ -29,49 +54,22 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-#: Edge sets of at most this many rows (16 MB) are joined up by one task; larger ones go through the star rewrites.
-ONE_TASK_EDGES = 1_000_000
-
-
-def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            low, high = sorted((find(a), find(b)))
-            parent[high] = low
-    yield pa.RecordBatch.from_arrays([pa.array(parent, pa.int64()), pa.array(map(find, parent), pa.int64())], ["node", "component"])
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Label each vertex of ``edges(src, dst)`` with the smallest vertex of its component.
+    """(node, component): each vertex of ``edges(src, dst)`` with the smallest vertex of its component.
 
-    Alternates the large-star and small-star rewrites until the edge set is a forest of stars, so no
-    vertex list or component is ever gathered in one place and the number of rounds grows with the
-    logarithm of the longest path. Each round is written to the shared scratch folder.
-    Self loops and null ends are ignored; vertices without an edge do not occur in the result.
+    A round contracts the edges inside each partition and then applies the large-star and small-star rewrites, until the edge
+    set is a forest of stars. No vertex list or component is ever gathered in one place, and the number of rounds grows with the
+    logarithm of the longest path between partitions. Each round is written to the shared scratch folder.
+    Self loops and edges with a null end are ignored; vertices without an edge do not occur in the result.
     """
-    cur = materialise(edges.where("src is not null and dst is not null and src != dst").select("src", "dst").distinct(), "cc")
-    seen = _state(cur)
-    if seen[0] <= ONE_TASK_EDGES:
-        joined = cur.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).repartition(1)
-        return materialise(joined.mapInArrow(_union_find, "node bigint, component bigint"), "cc")
+    cur = edges.select(F.greatest("src", "dst").cast("bigint").alias("src"), F.least("src", "dst").cast("bigint").alias("dst"))
+    cur = cur.where(edges["src"].isNotNull() & edges["dst"].isNotNull()).where("src != dst").distinct()
+    seen = None
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        cur = materialise(_small_star(_large_star(cur)), "cc")
+        # Small-star wants the larger end first, as contraction and large-star leave it.
+        cur = materialise(_small_star(_large_star(_contract(cur))), "components")
         now = _state(cur)
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     else:
