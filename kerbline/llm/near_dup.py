@@ -1,15 +1,21 @@
 """Near-duplicate classes by banded MinHash with odd-sketch verification and an exact check on full shingle sets.
 
-Documents with equal shingle sets collapse to one representative. The MinHash samples of a representative form bands and are also
-folded into a parity bitmap: the population count of two bitmaps' XOR estimates how many samples differ and discards hopeless
-candidates. The others are compared on their full sets. A bucket doesn't list its pairs at once: in the first round it has one
-pivot, the smallest member, and later rounds take ``GROWTH`` times as many as the one before, from each component in turn. Pivots are
-compared with all members of other components and then leave the bucket. The bucket is done when the members left in it lie in one
-component: each of its pairs has then been compared or is joined up. A bucket of n near copies of one text thus costs about n comparisons.
+Rows with equal shingle sets are one class. ``BANDS`` bands of ``ROWS`` MinHash samples propose pairs of classes. For the odd sketch the
+shingle hashes fall into ``BINS`` bins by their leading bits; the smallest of each bin is a MinHash sample, and the samples are folded into
+a parity bitmap. The population count of two bitmaps' XOR estimates how many samples differ, for small sets almost exactly. A pair
+whose estimate is ``SPREADS`` standard deviations beyond what the similarity allows is dropped, the others are compared on full sets.
+
+Work follows the links and not the pairs. First each class meets the smallest class of its buckets; the links found are joined into
+components. Then only buckets that still hold several components are gone through, and there only pairs of different components that
+the bucket's largest component doesn't hold both ends of. Such a bucket is cut into blocks; a task compares the bitmaps of two blocks as arrays and
+writes one row per class with its candidates, so pairs never become rows.
+
+Misses: a pair of similarity s shares no bucket with a chance of (1 - s^ROWS)^BANDS, 6e-7 at 0.8; the bitmap drops one with a chance below
+1e-4 at 0.8 and far less above. Equal classes and common shingles are decided on hashes of 128 and 64 bits.
 
 Null and empty texts and texts without words have no shingles and link with nothing; with fewer words than a shingle the whole
-sequence is the one shingle. Rows of one id are one document. Rows with a null id are kept as they are, with a null component. An empty table
-gives an empty result; columns other than id and text are not read.
+sequence is the one shingle. Rows of one id are one document, also with different texts. Rows with a null id get a null component, are kept,
+and join nothing. An empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,18 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix, words
 from kerbline.operators.graph import connected_components
 from kerbline.runtime import materialise
 
-BANDS, ROWS, BITS, MAX_ODD, GROWTH, PACK = 32, 4, 512, 110, 8, 64
+BANDS, ROWS, BINS, BITS, SPREADS = 36, 5, 1024, 1024, 4.0
+#: Rows of a block of a bucket, and shingles that meet in one group of the exact check.
+BLOCK, PACK, GROUP_SHINGLES = 1024, 256, 1 << 20
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_SKETCH = "cid bigint, doc_id bigint, n bigint, h1 bigint, h2 bigint, keys array<bigint>, odd array<bigint>"
 
 
 def shingle_rows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,131 +61,228 @@ def shingle_rows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.n
     return value, np.searchsorted(row, np.arange(len(n) + 1))
 
 
+def odd_sketch(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bitmap words of the sorted sets ``value[at[i]:at[i+1]]``: the first value of each bin is the bin's smallest."""
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    place = (row << 16) + (value >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+    fresh = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
+    row, sample = row[fresh], value[fresh]
+    spot = row * BITS + (mix(sample * _STEP) % np.uint64(BITS)).astype(np.int64)
+    parity = (np.bincount(spot, minlength=rows * BITS) & 1).astype(np.uint8).reshape(rows, BITS)
+    return np.packbits(parity, axis=1).view(np.int64)
+
+
+def most_differing(n_a, n_b, percent: int):
+    """How many bits of two bitmaps may differ if sets of these sizes reach the similarity, ``SPREADS`` standard deviations allowed for."""
+    s = percent / 100
+    filled = lambda n: BINS * -np.expm1(-n / BINS)
+    union = (n_a + n_b) / (1 + s)
+    joint = filled(union)
+    mean = np.maximum(filled(n_a) + filled(n_b) - 2 * s * joint, 0)
+    sampled = 4 * joint * s * (1 - s) * np.maximum(1 - joint / np.maximum(union, 1e-9), 0)
+    folded = np.maximum(BITS / 4 * np.expm1(np.minimum(4 * mean / BITS, 20)) - mean, 0)
+    most = mean + SPREADS * np.sqrt(sampled + folded) + 3
+    return BITS / 2 * -np.expm1(-2 * most / BITS)
+
+
+def _close(odd_a, odd_b, n_a, n_b, percent: int) -> np.ndarray:
+    """Whether the sizes allow the similarity and the bitmaps make it likely; row by row, or one row against many."""
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    differing = np.bitwise_count(odd_a ^ odd_b).sum(axis=-1, dtype=np.int64)
+    return sizes & (differing <= most_differing(n_a, n_b, percent))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix of unsigned words."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64).reshape(-1, width)
+
+
+def _numbers(table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table[n].to_numpy() for n in names]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, h1, h2, bands, odd) of every row."""
+    """(cid, doc_id, n, h1, h2, keys, odd) of every row; ``cid`` numbers the rows, ``keys`` are the bands' bucket names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, end, hashes, first in words(batch.column(1)):
                 value, at = shingle_rows(hashes, first, size)
                 n = np.diff(at)
                 full = np.flatnonzero(n)
-                low = np.zeros((BANDS * ROWS, len(n)), np.uint64)
-                sums = np.zeros((2, len(n)), np.uint64)
+                keys, sums = np.zeros((BANDS, len(n)), np.uint64), np.zeros((2, len(n)), np.uint64)
+                keys += np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
                 if len(full):
                     for k in range(BANDS * ROWS):
-                        low[k, full] = np.minimum.reduceat(value * _MUL[k] + _ADD[k], at[full])
+                        low = np.minimum.reduceat(value * _MUL[k] + _ADD[k], at[full])
+                        keys[k // ROWS, full] = mix(keys[k // ROWS, full] * _STEP + low)
                     for k in range(2):
                         sums[k, full] = np.add.reduceat(mix(value ^ _ADD[k]), at[full])
-                band = np.zeros((BANDS, len(n)), np.uint64)
-                for k in range(BANDS * ROWS):
-                    band[k // ROWS] = mix(band[k // ROWS] * _STEP + low[k])
-                # Sample k has a parity of its own: bitmaps differ only where samples do.
-                spot = (mix(low + np.arange(BANDS * ROWS, dtype=np.uint64)[:, None] * _STEP) % np.uint64(BITS)).astype(np.int64)
-                parity = np.zeros((len(n), BITS), np.uint8)
-                for k in range(BANDS * ROWS):
-                    parity[np.arange(len(n)), spot[k]] ^= 1
-                odd = np.packbits(parity, axis=1).view(np.int64)
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64())) for m in (band.T.copy().view(np.int64), odd)]
-                ids = batch.column(0).slice(row, end - row)
-                columns = [ids, pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "bands", "odd"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>, odd array<bigint>")
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full shingle sets reach the similarity."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, hashes, first in words(column):
-            value, at = shingle_rows(hashes, first, size)
-            yield from np.split(value, at[1:-1])
+                odd = odd_sketch(value, at)
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64())) for m in (keys.T.copy().view(np.int64), odd)]
+                own = [pa.array(uid + np.arange(row, end)), batch.column(0).slice(row, end - row), pa.array(n.astype(np.int64))]
+                columns = [*own, *(pa.array(s.view(np.int64)) for s in sums), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "doc_id", "n", "h1", "h2", "keys", "odd"])
+            uid += batch.num_rows
+
+    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cid, shingles) of the wanted classes, whose documents are read again."""
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(linked, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            for row, end, hashes, first in words(batch.column(1)):
+                value, at = shingle_rows(hashes, first, size)
+                full = np.flatnonzero(np.diff(at))
+                sums = np.zeros((2, end - row), np.uint64)
+                if len(full):
+                    for k in range(2):
+                        sums[k, full] = np.add.reduceat(mix(value ^ _ADD[k]), at[full])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+                columns = [batch.column(0).slice(row, end - row), *(pa.array(s.view(np.int64)) for s in sums), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "shingles"])
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
+    # An id's rows can hold several texts and one text several times: the class is told by its hashes, and one copy is enough.
+    named = rows.join(wanted.select("doc_id", "h1", "h2", "cid"), ["doc_id", "h1", "h2"])
+    return named.groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def _labelled(rows: DataFrame, parts: DataFrame, node: str, out: str) -> DataFrame:
-    named = parts.select(F.col("node").alias(node), F.col("component").alias("_component"))
-    return rows.join(named, node, "left").withColumn(out, F.coalesce("_component", node)).drop("_component")
+def _links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst) of the stars (cid, others array<struct<cid, comp>>): for each component among the others, one of them that the exact check confirms.
 
+    The others' sets meet the star's in groups of about ``GROUP_SHINGLES`` shingles. A star of many others is several rows with the
+    same cid, each in a group of its own.
+    """
+    stars = materialise(stars.withColumn("star", F.xxhash64("cid", "others")), "near-stars")
+    spokes = stars.select("star", F.explode("others").alias("o")).select("star", F.col("o.cid").alias("cid"), F.col("o.comp").alias("comp"))
+    volume = spokes.join(sets.select("cid", F.size("shingles").alias("n")), "cid").agg(F.sum("n")).first()[0] or 0
+    groups = max(1, int(volume // GROUP_SHINGLES))
+    group = F.pmod("star", F.lit(groups)).alias("bin")
+    left = spokes.join(sets, "cid").select(group, "star", "cid", "comp", "shingles")
+    right = stars.select("star", "cid").join(sets, "cid").select(group, "star", "cid", "shingles").toDF("bin", "star", "cid", "shingles")
 
-def _packs(live: DataFrame, count: int) -> DataFrame:
-    """(band, value, pack): up to ``count`` pivots of each bucket, in arrays of at most ``PACK``."""
-    one = F.struct(F.col("rep").alias("pivot"), "odd", "c")
-    if count == 1:
-        packs = live.groupBy("band", "value").agg(F.array(F.min_by(one, "rep")).alias("pack"))
-    else:
-        # Components take turns, so a large one doesn't keep the others waiting.
-        own = Window.partitionBy("band", "value", "c").orderBy("rep")
-        order = Window.partitionBy("band", "value").orderBy("turn", "rep")
-        placed = live.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= count)
-        placed = placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
-        packs = placed.groupBy("band", "value", F.floor((F.col("place") - 1) / PACK).alias("n")).agg(F.collect_list(one).alias("pack")).drop("n")
-    return materialise(packs, "near-pivots")
+    def check(others: pa.Table, centres: pa.Table) -> pa.Table:
+        src, dst = [], []
+        if others.num_rows and centres.num_rows:
+            star, cid, comp = _numbers(others, "star", "cid", "comp")
+            lists = others["shingles"].combine_chunks()
+            bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+            order = np.argsort(star, kind="stable")
+            marks = star[order]
+            for own, centre, shingles in zip(*_numbers(centres, "star", "cid"), centres["shingles"]):
+                mine = order[np.searchsorted(marks, own) : np.searchsorted(marks, own, "right")]
+                x = shingles.values.to_numpy().view(np.uint64)
+                for at in mine[np.argsort(comp[mine], kind="stable")]:
+                    if src and src[-1] == centre and joined == comp[at]:
+                        continue
+                    y = flat[bounds[at] : bounds[at + 1]]
+                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        src.append(centre)
+                        dst.append(cid[at])
+                        joined = comp[at]
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
+    return left.groupBy("bin").cogroup(right.groupBy("bin")).applyInArrow(check, "src bigint, dst bigint")
 
-def _candidates(members: DataFrame, packs: DataFrame) -> DataFrame:
-    """Distinct (a, b) of members and pivots of one bucket that lie in different components and whose bitmaps are close.
 
-    A member meets a whole pack in one row, so only pairs that pass both tests become rows.
-    """
+def _first_stars(members: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Each class with the smallest classes of its buckets, as far as sizes and bitmaps allow a link."""
+    pivots = members.groupBy("key").agg(F.min("cid").alias("pivot"))
+    pairs = members.join(pivots, "key").where("cid != pivot").select("cid", "pivot").distinct()
+    facts = ["n", "odd"]
+    a = drawn.select("cid", *(F.col(c).alias(f"{c}_a") for c in facts))
+    b = drawn.select(F.col("cid").alias("pivot"), *(F.col(c).alias(f"{c}_b") for c in facts))
+    told = pairs.join(a, "cid").join(b, "pivot")
+    words_of_map = BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [_matrix(batch.column(c), words_of_map) for c in ("odd_a", "odd_b")]
+            near = _close(*odd, *_numbers(batch, "n_a", "n_b"), percent)
+            yield batch.select(["cid", "pivot"]).filter(pa.array(near))
+
+    close = told.mapInArrow(run, "cid bigint, pivot bigint")
+    # The class is the star: a pivot of a hot bucket meets each class in the class's own row.
+    other = F.struct(F.col("pivot").alias("cid"), F.col("pivot").alias("comp"))
+    return close.groupBy("cid").agg(F.collect_list(other).alias("others"))
 
-    def close(p: Column) -> Column:
-        differing = F.aggregate(F.zip_with("odd", p["odd"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return (p["c"] != F.col("c")) & (differing <= MAX_ODD)
 
-    met = members.join(packs, ["band", "value"]).select("rep", F.explode(F.transform(F.filter("pack", close), lambda p: p["pivot"])).alias("pivot"))
-    return met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+def _later_stars(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Candidates between different components of a bucket: every class outside the bucket's largest component with the others that may link."""
+    named = members.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    named = materialise(named, "near-named")
+    shares = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    stats = shares.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where("all > top.c")
+    stats = stats.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top.c")) / PACK).alias("packs"))
+    facts = drawn.select("cid", "n", "keys", "odd")
+    live = named.join(stats, "key")
+    spread = lambda n, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = live.select("key", "cid", "comp", spread("blocks", 1).alias("block"), every("packs").alias("pack"))
+    right = live.where("comp != major").select("key", "cid", "comp", spread("packs", 2).alias("pack"), every("blocks").alias("block"))
+    size = live.agg(F.count("*")).first()[0]
+    groups = max(1, size // 4096)
+    unit = F.xxhash64("key", "block", "pack")
+    told = lambda side: side.join(facts, "cid").select(F.pmod(unit, F.lit(groups)).alias("bin"), unit.alias("unit"), "key", "cid", "comp", "n", "keys", "odd")
 
+    def compare(block: pa.Table, pack: pa.Table) -> pa.Table:
+        cids, stars = [], []
+        if block.num_rows and pack.num_rows:
+            unit_l, cid_l, comp_l, n_l = _numbers(block, "unit", "cid", "comp", "n")
+            order = np.argsort(unit_l, kind="stable")
+            marks = unit_l[order]
+            keys_l, odd_l = _matrix(block["keys"], BANDS), _matrix(block["odd"], BITS // 64)
+            keys_r, odd_r = _matrix(pack["keys"], BANDS), _matrix(pack["odd"], BITS // 64)
+            for i, (own, key, cid, comp, n) in enumerate(zip(*_numbers(pack, "unit", "key", "cid", "comp", "n"))):
+                mine = order[np.searchsorted(marks, own) : np.searchsorted(marks, own, "right")]
+                mine = mine[comp_l[mine] != comp]
+                mine = mine[_close(odd_l[mine], odd_r[i], n_l[mine], n, percent)]
+                # A pair is looked at in the first bucket that it shares.
+                same = keys_l[mine] == keys_r[i]
+                mine = mine[keys_r[i][same.argmax(axis=1)].view(np.int64) == key]
+                if len(mine):
+                    cids.append(cid)
+                    stars.append(mine)
+        sizes = np.append(0, np.cumsum([len(m) for m in stars])).astype(np.int32)
+        at = np.concatenate(stars) if stars else np.zeros(0, np.int64)
+        pairs = pa.StructArray.from_arrays([pa.array(cid_l[at] if len(at) else at, pa.int64()), pa.array(comp_l[at] if len(at) else at, pa.int64())], ["cid", "comp"])
+        return pa.table({"cid": pa.array(cids, pa.int64()), "others": pa.ListArray.from_arrays(pa.array(sizes), pairs)})
 
-def _unresolved(members: DataFrame, packs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members that have not been pivots, of the buckets where such members lie in more than one component."""
-    pivots = packs.select("band", "value", F.explode(F.transform("pack", lambda p: p["pivot"])).alias("rep"))
-    named = _labelled(members.drop("c").join(pivots, ["band", "value", "rep"], "left_anti"), parts, "rep", "c")
-    named = materialise(named.select("band", "value", "rep", "odd", "c"), "near-named")
-    split = named.groupBy("band", "value").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high")
-    return named.join(split.select("band", "value"), ["band", "value"], "left_semi")
+    block, pack = told(left), told(right)
+    return block.groupBy("bin").cogroup(pack.toDF(*pack.columns).groupBy("bin")).applyInArrow(compare, "cid bigint, others array<struct<cid:bigint,comp:bigint>>")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links are Jaccard similarities of ``percent`` or more."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    drawn = materialise(sketches(docs, size), "near-sketches")
-    usable = drawn.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "odd"), "doc_id").alias("s"))
-    classes = materialise(classes, "near-classes")
-    rows = classes.select("rep", F.col("s.odd").alias("odd"), F.posexplode("s.bands").alias("band", "value"))
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1").select("band", "value")
-    members = materialise(rows.join(sizes, ["band", "value"]), "near-members")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialise(docs.join(involved, "doc_id", "left_semi"), "near-texts", "zstd")
-    members = members.select("band", "value", "rep", "odd", F.col("rep").alias("c"))
-    # Equal ids with different texts, and exact copies, are edges from the start.
-    own = usable.select("h1", "h2", "n", F.col("doc_id").alias("src")).join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("src", F.col("rep").alias("dst"))
-    edges, tested, count = None, None, 1
-    while count == 1 or not members.isEmpty():
-        packs = _packs(members, count)
-        pairs = _candidates(members, packs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialise(_confirm(pairs, texts, size, percent), "near-links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        edges = found if edges is None else edges.union(found)
-        members = materialise(_unresolved(members, packs, connected_components(edges)), "near-members")
-        count *= GROWTH
-    final = connected_components(own if edges is None else own.union(edges))
-    out = _labelled(drawn.select("doc_id", F.col("n").alias("n_shingles")), final, "doc_id", "component_id")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    every = materialise(sketches(docs, size), "near-sketches")
+    usable = every.where("doc_id is not null and n > 0")
+    classes = materialise(usable.groupBy("h1", "h2", "n").agg(F.min("cid").alias("class")), "near-classes")
+    own = materialise(every.select("cid", "doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("cid", "doc_id", "n", "class"), "near-rows")
+    drawn = materialise(usable.join(classes.select(F.col("class").alias("cid")), "cid", "left_semi"), "near-drawn")
+    rows = drawn.select("cid", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = materialise(rows.join(shared, "key"), "near-members")
+    involved = drawn.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "doc_id", "h1", "h2")
+    sets = materialise(_shingles(docs, involved, size), "near-sets")
+    # Rows of one id are one document: their classes are linked from the start.
+    held = own.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    known = own.join(held.select("doc_id", "low"), "doc_id").select(F.col("class").alias("src"), F.col("low").alias("dst"))
+    edges = materialise(known.union(_links(_first_stars(members, drawn, percent), sets, percent)), "near-links")
+    parts = connected_components(edges)
+    more = _links(_later_stars(members, drawn, parts, percent), sets, percent)
+    parts = materialise(connected_components(edges.union(more)), "near-parts")
+    named = own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = materialise(named.select("doc_id", "n", "component"), "near-labels")
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
