@@ -2,10 +2,10 @@
 
 The distinct pre-tokens of a batch become (word, position, token) rows. A recursive query joins neighbouring rows
 with the merge table and contracts each word's leftmost pair of minimum rank until no pair is left. Decoding joins
-the ids with the vocabulary and aggregates the bytes in order.
+the ids with the vocabulary and aggregates the bytes in order. Both run over blocks of bounded size, whatever the texts.
 
-The recursive query's work grows with the square of a word's length, so pre-tokens above ``LONG_BYTES`` bytes are
-contracted by the same rule with a heap in Python; the result is the same.
+The recursive query's work and rows grow with the square of a word's length: blocks are bounded by the sum of the squares, and
+pre-tokens above ``LONG_BYTES`` bytes are contracted by the same rule with a heap in Python; the result is the same.
 
 Null and empty texts give no ids. Repeated rows give repeated results, an empty table an empty one, and columns other
 than the key and the text are not read.
@@ -27,27 +27,32 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.vocab import BYTE_BPE, byte_ranks, groups, trim, vocabulary
+from kerbline.llm.vocab import BYTE_BPE, CACHE_WORDS, byte_ranks, groups, vocabulary
 
-LONG_BYTES = 200
+#: Longest pre-token of the recursive query; its rows in a block; ids that are decoded at a time.
+LONG_BYTES, BLOCK_ROWS, BLOCK_IDS = 200, 2_000_000, 1 << 20
 
 _CONTRACT = """
 WITH RECURSIVE state AS (
-    SELECT word, pos, tok, 0 AS round FROM start
+    SELECT word * 65536 + pos AS place, tok, 0 AS round FROM start
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = (best & 4294967295) THEN best >> 32 ELSE tok END, round + 1
+    SELECT place, CASE WHEN place = spot THEN made ELSE tok END, round + 1
     FROM (
-        SELECT p.*, min(m.made * 4294967296 + p.pos) OVER (PARTITION BY p.word) AS best
-        FROM (
-            SELECT *, lead(tok) OVER w AS following, lag(pos) OVER w AS before
-            FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.following
+        SELECT s.place, s.tok, s.round, s.before, b.word * 65536 + b.best % 65536 AS spot, b.best // 65536 AS made
+        FROM (SELECT *, lag(place) OVER (ORDER BY place) AS before FROM state) s
+        JOIN (
+            SELECT p.place // 65536 AS word, min(m.made * 65536 + p.place % 65536) AS best
+            FROM (SELECT place, tok, lead(tok) OVER w AS following, lead(place) OVER w AS after FROM state WINDOW w AS (ORDER BY place)) p
+            JOIN merges m ON m.pair = p.tok * 65536 + p.following
+            WHERE p.after // 65536 = p.place // 65536
+            GROUP BY 1
+        ) b ON b.word = s.place // 65536
     )
-    WHERE best IS NOT NULL AND (before IS NULL OR before <> (best & 4294967295))
+    WHERE before IS NULL OR before <> spot
 )
-SELECT word, list(tok ORDER BY pos) AS ids
-FROM state SEMI JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round)
-GROUP BY word
+SELECT place // 65536 AS word, list(tok ORDER BY place) AS ids
+FROM state JOIN (SELECT place // 65536 AS word, max(round) AS round FROM state GROUP BY 1) l ON l.word = place // 65536 AND l.round = state.round
+GROUP BY 1
 """
 _DECODE = "SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab v USING (tok) GROUP BY doc"
 
@@ -59,12 +64,12 @@ class ByteBpe:
         self.ranks, self.pattern = byte_ranks(path), regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = [
-            (self.ranks[t[:i]], self.ranks[t[i:]], made)
+            (self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], made)
             for t, made in self.ranks.items()
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self._table("merges", np.array(rows, np.int64).T, ("a", "b", "made"))
+        self._table("merges", np.array(rows, np.int64).T, ("pair", "made"))
         vocab = pa.table({"tok": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
         self._arrow("vocab", vocab)
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
@@ -103,45 +108,73 @@ class ByteBpe:
             i = end[i]
         return tuple(out)
 
-    def contract(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct pre-tokens."""
-        out, short = {}, []
-        for piece in pieces:
+    def _recursive(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each word) of one block."""
+        size = np.array(list(map(len, raws)))
+        word = np.repeat(np.arange(len(raws)), size)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        self._table("start", (word, pos, np.array(self.single)[np.frombuffer(b"".join(raws), np.uint8)]), ("word", "pos", "tok"))
+        found = self.db.sql(_CONTRACT + "ORDER BY 1").to_arrow_table()
+        lists = found["ids"].combine_chunks()
+        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+    def contract(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of distinct pre-tokens, one after another."""
+        out: list = [None] * len(pieces)
+        short, raws = [], []
+        for at, piece in enumerate(pieces):
             raw = piece.encode("utf-8")
             if raw in self.ranks:
-                out[piece] = (self.ranks[raw],)
+                out[at] = (self.ranks[raw],)
             elif len(raw) > LONG_BYTES:
-                out[piece] = self.heap_contract(raw)
+                out[at] = self.heap_contract(raw)
             else:
-                short.append((piece, raw))
-        if short:
-            size = np.array([len(raw) for _, raw in short])
-            word = np.repeat(np.arange(len(short)), size)
-            pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-            data = np.frombuffer(b"".join(raw for _, raw in short), np.uint8)
-            self._table("start", (word, pos, np.array(self.single)[data]), ("word", "pos", "tok"))
-            for at, ids in self.db.execute(_CONTRACT).fetchall():
-                out[short[at][0]] = tuple(ids)
-        return out
+                short.append(at)
+                raws.append(raw)
+        block = np.cumsum([len(r) ** 2 for r in raws], dtype=np.int64) // BLOCK_ROWS
+        edge = np.searchsorted(block, np.arange(int(block[-1]) + 2)) if raws else []
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a < b:
+                ids, size = self._recursive(raws[a:b])
+                for at, own in zip(short[a:b], np.split(ids, np.cumsum(size)[:-1])):
+                    out[at] = own
+        size = np.array(list(map(len, out)), np.int64)
+        return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32), size
 
     def encode(self, texts: list[str | None], cache: dict) -> list[np.ndarray]:
-        """Ids of whole texts as unsigned 32-bit arrays."""
-        lists = [self.pattern.findall(t) if t else [] for t in texts]
-        new = list({p for pieces in lists for p in pieces if p not in cache})
-        for at in range(0, len(new), 20_000):
-            cache.update(self.contract(new[at : at + 20_000]))
-        return [np.fromiter(chain.from_iterable(map(cache.__getitem__, pieces)), np.uint32) for pieces in lists]
+        """Ids of whole texts as unsigned 32-bit arrays; ``cache`` keeps the pieces met, their ids and where these begin."""
+        if not cache:
+            cache.update(place={}, ids=np.zeros(0, np.uint32), bound=np.zeros(1, np.int64))
+        place, lists = cache["place"], [self.pattern.findall(t) if t else [] for t in texts]
+        new = [p for p in dict.fromkeys(chain.from_iterable(lists)) if p not in place]
+        if new:
+            ids, size = self.contract(new)
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            cache["bound"] = np.append(cache["bound"], cache["bound"][-1] + np.cumsum(size))
+            cache["ids"] = np.append(cache["ids"], ids)
+        n = np.array(list(map(len, lists)), np.int64)
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        first = cache["bound"][at]
+        size = cache["bound"][at + 1] - first
+        before = np.cumsum(size) - size
+        flat = cache["ids"][np.repeat(first - before, size) + np.arange(int(size.sum()))]
+        ends = np.append(0, np.cumsum(size))[np.cumsum(n)]
+        if len(place) > CACHE_WORDS:
+            cache.clear()
+        return np.split(flat, ends[:-1])
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each id array."""
         size = np.array([len(x) for x in ids], np.int64)
         doc = np.repeat(np.arange(len(ids)), size)
-        tok = np.concatenate(ids) if len(ids) else np.zeros(0)
-        self._table("ids", (doc, np.arange(len(doc)), tok.astype(np.int64)), ("doc", "pos", "tok"))
-        out = [b""] * len(ids)
-        for at, text in self.db.execute(_DECODE).fetchall():
-            out[at] = bytes.fromhex(text)
-        return out
+        tok = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for a in range(0, len(tok), BLOCK_IDS):
+            part = slice(a, a + BLOCK_IDS)
+            self._table("ids", (doc[part], np.arange(len(tok[part])), tok[part]), ("doc", "pos", "tok"))
+            for at, text in self.db.execute(_DECODE).fetchall():
+                out[at].append(bytes.fromhex(text))
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +183,7 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
 
 
 def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<bigint>, decoded binary) of every row."""
+    """(key, ids array<int>, decoded binary) of every row."""
     path = path or vocabulary(BYTE_BPE)
     kind = df.schema[key].dataType.simpleString()
 
@@ -161,14 +194,13 @@ def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", t
             for start, end in groups(texts):
                 ids = coder.encode(texts[start:end], cache)
                 data = coder.decode(ids)
-                trim(cache)
                 size = np.append(0, np.cumsum([len(x) for x in ids]))
-                lists = pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(np.concatenate(ids).astype(np.int64)))
+                lists = pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(np.concatenate(ids).view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), lists.cast(pa.list_(pa.int64())), pa.array(data, pa.binary())], [key, "ids", "decoded"]
+                    [batch.column(0).slice(start, end - start), lists.cast(pa.list_(pa.int32())), pa.array(data, pa.binary())], [key, "ids", "decoded"]
                 )
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<bigint>, decoded binary")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
 def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -178,7 +210,7 @@ def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, data = batch.column(1), batch.column(2)
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view("<u4")
             spans = list(zip(bounds[:-1], bounds[1:]))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -1,13 +1,20 @@
 """Katz backoff bigram scores with Good-Turing discounts and exactly normalised backoff weights.
 
-Words and the end token are 64-bit hashes. Seen bigrams of count r up to ``MAX_DISCOUNT`` are discounted by d_r; a discount
-outside (0, 1), as sparse counts of counts give, is replaced by (r - 0.5) / r. A context whose counts are all above that limit
-reserves one count, so that its backoff mass is never zero. The mass a context holds back is dealt out over the
-words it was not seen with, in proportion to (c + 1) / (N + V + 1); the weight divides by exactly their total.
+Words and the end token are 64-bit hashes; the first token's context is a start mark. Seen bigrams of count r up to ``MAX_DISCOUNT`` are
+discounted by d_r; a discount outside (0, 1), as sparse counts of counts give, is replaced by (r - 0.5) / r. A context whose counts are all
+above that limit reserves one count, so that its backoff mass is never zero. The mass a context holds back is dealt out over the words it was
+not seen with, in proportion to (c + 1) / (N + V + 1); the weight divides by exactly their total.
 
-The bigram table, the unigram table and the context table are aggregates with map-side combination, written to the shared
-folder. Scoring resolves each distinct bigram once and then joins the documents' own bigrams with it.
-Only the counts of counts and two totals reach the driver.
+1. Word counts of the training rows: counted per block of tokens, then summed by word.
+2. Documents are read again. A block's distinct (context, word, document) triples are dealt out by context as packed arrays, with the
+   words' counts. A context of more than ``PART_TOKENS`` / 4 tokens is dealt out by context and word, so no part has to hold it whole.
+3. A part adds up its bigrams and evaluates each token: a seen bigram needs only its count, an unseen one goes on to the word's
+   count. The n-grams, the contexts and the documents' shares are written as one table, partitioned by kind. Discounts are not
+   known yet, so a share holds how many tokens met a bigram of count 1, 2 and so on.
+4. With the counts of counts, each share becomes a number; shares of hot contexts are joined with their summed contexts.
+
+Word counts are broadcast up to ``MAX_BROADCAST`` words (16 bytes each); with more of them, blocks are written down and joined with the counts
+of their words. Only the counts of counts and two totals reach the driver beside that.
 
 Null and empty texts are one end token. Each row is scored by itself, also where ids repeat. A null id is a training row.
 An empty table gives an empty result; without training rows N and V are 0 and every score is 0.
@@ -19,45 +26,222 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import remainder, words
-from kerbline.runtime import materialise
+from kerbline.llm.common import mix, remainder, words
+from kerbline.runtime import materialise, scratch
+
+MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, MAX_BROADCAST = 5, 1 << 21, 1 << 22, 8_000_000
+_START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+NGRAM, CONTEXT, SHARE, UNSEEN, SEEN_HOT, FACT, COUNTED = "ngram", "context", "share", "unseen", "seen_hot", "fact", "counted"
+_TABLE = "kind string, uid bigint, doc_id bigint, held_out boolean, w1 bigint, w2 bigint, n bigint, c1 bigint, big bigint, p_seen double, fixed double, m array<bigint>"
+_ARROW = pa.schema(
+    [("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())]
+    + [("c1", pa.int64()), ("big", pa.int64()), ("p_seen", pa.float64()), ("fixed", pa.float64()), ("m", pa.list_(pa.int64()))]
+)
+
+
+class Block:
+    """Tokens of some documents: word numbers of contexts and tokens, and each token's document (its uid)."""
+
+    def __init__(self, dictionary: np.ndarray, context: np.ndarray, token: np.ndarray, doc: np.ndarray):
+        self.dictionary, self.context, self.token, self.doc = dictionary, context, token, doc
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
+    """Blocks of about ``BLOCK_TOKENS`` tokens, with the id and fold of the documents that they begin or continue."""
+    uid = TaskContext.get().partitionId() << 40
+    held: list[tuple] = []
+    facts: dict[int, tuple] = {}
+
+    def flush() -> Iterator[tuple[Block, dict]]:
+        nonlocal held, facts
+        if not held:
+            return
+        hashes, docs = (np.concatenate(x) for x in zip(*held))
+        known, token = np.unique(hashes, return_inverse=True)
+        dictionary = np.append(known, _START)
+        opens = np.append(True, docs[1:] != docs[:-1])
+        context = np.append(len(known), token[:-1])
+        context[opens] = len(known)
+        for at in range(0, len(token), BLOCK_TOKENS):
+            part = slice(at, at + BLOCK_TOKENS)
+            own = docs[part]
+            # A long document runs through several blocks; its facts add up.
+            yield Block(dictionary, context[part], token[part], own), {d: facts[d] for d in np.unique(own).tolist()}
+        held, facts = [], {}
+
+    for batch in batches:
+        ids, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, end, hashes, first in words(batch.column(2)):
+            n = np.diff(first)
+            stop = np.cumsum(n + 1) - 1
+            token = np.full(len(hashes) + len(n), _END)
+            inside = np.ones(len(token), bool)
+            inside[stop] = False
+            token[inside] = hashes
+            facts.update({uid + r: (ids[r], folds[r]) for r in range(row, end)})
+            held.append((token, uid + np.repeat(np.arange(row, end), n + 1)))
+            if sum(len(t) for t, _ in held) >= BLOCK_TOKENS:
+                yield from flush()
+        uid += batch.num_rows
+    yield from flush()
+
+
+def _source(df: DataFrame, folds: int, held: int) -> DataFrame:
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
 
-MAX_DISCOUNT = 5
-_START, _END = np.int64(-7046029254386353131), np.int64(-1442695040888963407)
-_PAIRS = "uid bigint, doc_id bigint, held_out boolean, w1 bigint, w2 bigint, c bigint"
 
+def _trains(block: Block, facts: dict) -> np.ndarray:
+    """Whether each token stands in a training document."""
+    docs = np.array(sorted(facts), np.int64)
+    return ~np.array([facts[d][1] for d in docs.tolist()], bool)[np.searchsorted(docs, block.doc)]
 
-def bigrams(df: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """One row per distinct bigram of each document; ``uid`` tells rows of equal id apart."""
-    source = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
+
+def word_counts(source: DataFrame) -> DataFrame:
+    """(word, c) of the tokens of training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for row, end, hashes, first in words(batch.column(2)):
-                n = np.diff(first)
-                stop = np.cumsum(n + 1) - 1
-                w2 = np.full(len(hashes) + len(n), _END)
-                inside = np.ones(len(w2), bool)
-                inside[stop] = False
-                w2[inside] = hashes.view(np.int64)
-                w1 = np.append(_START, w2[:-1])
-                w1[stop[:-1] + 1] = _START
-                doc = np.repeat(np.arange(row, end), n + 1)
-                order = np.lexsort((w2, w1, doc))
-                doc, w1, w2 = doc[order], w1[order], w2[order]
-                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-                count, at = np.diff(np.append(new, len(doc))), doc[new]
-                index = pa.array(at)
-                columns = [pa.array(at + uid), batch.column(0).take(index), batch.column(1).take(index), pa.array(w1[new]), pa.array(w2[new]), pa.array(count)]
-                yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "w1", "w2", "c"])
-            uid += batch.num_rows
-
-    return source.mapInArrow(run, _PAIRS)
+        for block, facts in _blocks(batches):
+            count = np.bincount(block.token[_trains(block, facts)], minlength=len(block.dictionary))
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(block.dictionary[some].view(np.int64)), pa.array(count[some])], ["word", "c"])
+
+    return source.mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _pack(**arrays: np.ndarray) -> bytes:
+    body = [np.array([len(a) for a in arrays.values()], np.int64), *arrays.values()]
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in body), 1)
+
+
+def _unpack(data: bytes, **kinds: type) -> dict[str, np.ndarray]:
+    raw, out = zstandard.decompress(data), {}
+    at = 8 * len(kinds)
+    for (name, kind), n in zip(kinds.items(), np.frombuffer(raw, np.int64, len(kinds)).tolist()):
+        out[name] = np.frombuffer(raw, kind, n, at)
+        at += out[name].nbytes
+    return out
+
+
+_PART = dict(w1=np.uint64, hot=np.uint8, run=np.uint32, w2=np.uint64, c2=np.int64, token=np.uint32, doc=np.uint32, n=np.uint32)
+_FACT = dict(uid=np.int64, doc_id=np.int64, null=np.uint8, held=np.uint8, n_tokens=np.int64, n_known=np.int64, base=np.float64)
+
+
+def _dealt(block: Block, facts: dict, count: np.ndarray, parts: int, total: float) -> Iterator[tuple[int, int, bytes]]:
+    """(part, first uid, packed triples) of a block, and a part below 0 with its documents' facts; ``count`` is that of each word."""
+    docs = np.array(sorted(facts), np.int64)
+    number = np.searchsorted(docs, block.doc)
+    held = np.array([facts[d][1] for d in docs.tolist()], bool)
+    ids = [facts[d][0] for d in docs.tolist()]
+    base = np.log10((count + 1) / total)
+    c = count[block.token]
+    yield -1 - int(docs[0]), 0, _pack(
+        uid=docs, doc_id=np.array([i or 0 for i in ids], np.int64), null=np.array([i is None for i in ids], np.uint8), held=held.astype(np.uint8),
+        n_tokens=np.bincount(number, minlength=len(docs)), n_known=np.bincount(number, c > 0, minlength=len(docs)).astype(np.int64),
+        base=np.bincount(number, base[block.token], minlength=len(docs)),
+    )
+    context_size = count.copy()
+    context_size[-1] = count[np.searchsorted(block.dictionary[:-1], _END)] if _END in block.dictionary[:-1] else PART_TOKENS
+    hot = context_size >= PART_TOKENS // 4
+    name = mix(block.dictionary)
+    home = name[block.context]
+    spread = hot[block.context]
+    home[spread] = mix(home[spread] * _STEP + name[block.token[spread]])
+    part = (home % np.uint64(parts)).astype(np.int64)
+    size, low = len(block.dictionary), int(docs[0])
+    outer, inner = part * size + block.context, block.token * len(docs) + number
+    order = np.lexsort((inner, outer))
+    outer, inner = outer[order], inner[order]
+    new = np.flatnonzero(np.append(True, (outer[1:] != outer[:-1]) | (inner[1:] != inner[:-1])))
+    n = np.diff(np.append(new, len(outer)))
+    part, context = np.divmod(outer[new], size)
+    token, number = np.divmod(inner[new], len(docs))
+    doc = ((docs[number] - low) * 2 + held[number]).astype(np.uint32)
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
+        begin = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1])) + a
+        own = context[begin]
+        known, place = np.unique(token[a:b], return_inverse=True)
+        yield int(part[a]), low, _pack(
+            w1=block.dictionary[own], hot=hot[own].astype(np.uint8), run=np.diff(np.append(begin, b)).astype(np.uint32),
+            w2=block.dictionary[known], c2=count[known], token=place.astype(np.uint32), doc=doc[a:b], n=n[a:b].astype(np.uint32),
+        )
+
+
+def _rows(kind: str, size: int, **columns) -> pa.RecordBatch:
+    arrays = [pa.array([kind] * size, pa.string()) if f.name == "kind" else columns.get(f.name, pa.nulls(size, f.type)) for f in _ARROW]
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, _ARROW)], schema=_ARROW)
+
+
+def _fives(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.astype(np.int64).ravel()), MAX_DISCOUNT).cast(pa.list_(pa.int64()))
+
+
+def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
+    """N-grams, contexts and shares of one part. ``n_words`` is N + V + 1."""
+    out = []
+    low_part = table["part"][0].as_py() < 0
+    if low_part:
+        for data in table["packed"]:
+            f = _unpack(data.as_py(), **_FACT)
+            ids = pa.array(f["doc_id"], mask=f["null"].astype(bool))
+            out.append(_rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"]))
+        return pa.Table.from_batches(out)
+    pieces = [_unpack(d.as_py(), **_PART) for d in table["packed"]]
+    first = table["first"].to_pylist()
+    join = lambda f: np.concatenate([f(x, low) for x, low in zip(pieces, first)])
+    w1, at1 = np.unique(join(lambda x, _: x["w1"]), return_inverse=True)
+    w2, at2 = np.unique(join(lambda x, _: x["w2"]), return_inverse=True)
+    c2, hot = np.zeros(len(w2), np.int64), np.zeros(len(w1), bool)
+    c2[at2], hot[at1] = join(lambda x, _: x["c2"]), join(lambda x, _: x["hot"]).astype(bool)
+    off2 = np.cumsum([0, *(len(x["w2"]) for x in pieces)])
+    context = np.repeat(at1, join(lambda x, _: x["run"]))
+    word = at2[np.concatenate([x["token"].astype(np.int64) + o for x, o in zip(pieces, off2)])]
+    uid = join(lambda x, low: x["doc"].astype(np.int64) // 2 + low)
+    trains = join(lambda x, _: x["doc"]) % 2 == 0
+    n = join(lambda x, _: x["n"]).astype(np.int64)
+    del pieces
+    key = context * len(w2) + word
+    order = np.argsort(key, kind="stable")
+    context, word, uid, trains, n = (x[order] for x in (context, word, uid, trains, n))
+    key = key[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    r = np.add.reduceat(np.where(trains, n, 0), start)
+    count = np.repeat(r, np.diff(np.append(start, len(key))))
+    # Contexts over the bigrams seen in training.
+    seen = r > 0
+    v, w, r = context[start][seen], word[start][seen], r[seen]
+    p = (c2 + 1) / n_words
+    some = r <= MAX_DISCOUNT
+    per = lambda weight=None, pick=slice(None): np.bincount(v[pick], None if weight is None else weight[pick], minlength=len(w1))
+    c1, big, p_seen = per(r).astype(np.int64), per(np.where(some, 0, r)).astype(np.int64), per(p[w])
+    m = np.stack([per(pick=r == k) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
+    whole = c1 + (big == c1)
+    out.append(_rows(NGRAM, len(v), w1=w1[v].view(np.int64), w2=w2[w].view(np.int64), n=r))
+    held = np.flatnonzero(c1)
+    out.append(_rows(CONTEXT, len(held), w1=w1[held].view(np.int64), c1=c1[held], big=big[held], p_seen=p_seen[held], m=_fives(m[held])))
+    counts = np.bincount(np.minimum(r, MAX_DISCOUNT + 2), minlength=MAX_DISCOUNT + 3)[1 : MAX_DISCOUNT + 2]
+    out.append(_rows(COUNTED, MAX_DISCOUNT + 1, c1=np.arange(1, MAX_DISCOUNT + 2), n=counts))
+    # Tokens: a seen bigram by its count, an unseen one by its word and its context's weight.
+    met = count > 0
+    fixed = np.where(met, np.where(count > MAX_DISCOUNT, np.log10(np.maximum(count, 1)), 0.0) - np.where(hot[context], 0.0, np.log10(np.maximum(whole[context], 1))), np.log10(p[word])) * n
+    docs, doc = np.unique(uid, return_inverse=True)
+    hist = np.stack([np.bincount(doc, np.where(count == k, n, 0), minlength=len(docs)) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
+    out.append(_rows(SHARE, len(docs), uid=docs, fixed=np.bincount(doc, fixed, minlength=len(docs)), m=_fives(hist)))
+    for kind, pick in ((UNSEEN, ~met & (hot[context] | (c1[context] > 0))), (SEEN_HOT, met & hot[context])):
+        pair, n_pair = np.unique(context[pick] * len(docs) + doc[pick], return_inverse=True)
+        total = np.bincount(n_pair, n[pick], minlength=len(pair)).astype(np.int64)
+        x, d = np.divmod(pair, max(1, len(docs)))
+        there = pa.array(hot[x])
+        own = dict(c1=c1[x], big=big[x], p_seen=p_seen[x], m=_fives(m[x]))
+        masked = {k: pa.compute.if_else(there, pa.nulls(len(x), _ARROW.field(k).type), a if isinstance(a, pa.Array) else pa.array(a)) for k, a in own.items()}
+        out.append(_rows(kind, len(x), uid=docs[d], w1=w1[x].view(np.int64), n=total, **masked))
+    return pa.Table.from_batches(out)
 
 
 def discounts(counts: dict[int, int], limit: int = MAX_DISCOUNT) -> list[float]:
@@ -72,37 +256,105 @@ def discounts(counts: dict[int, int], limit: int = MAX_DISCOUNT) -> list[float]:
     return out
 
 
-def model(pairs: DataFrame) -> dict:
-    """The model's tables and totals: every distinct bigram with its training count, words, contexts, N, V, discounts."""
-    count = F.when(~F.col("held_out"), F.col("c")).otherwise(0)
-    bigram = materialise(pairs.groupBy("w1", "w2").agg(F.sum(count).alias("c12")), "katz-bigrams", "zstd")
-    seen = bigram.where("c12 > 0")
-    word = materialise(bigram.groupBy("w2").agg(F.sum("c12").alias("c2")), "katz-words", "zstd")
-    total = word.agg(F.coalesce(F.sum("c2"), F.lit(0)), F.count(F.when(F.col("c2") > 0, 1))).first()
-    counts = {r["c12"]: r["count"] for r in seen.where(F.col("c12") <= MAX_DISCOUNT + 1).groupBy("c12").count().collect()}
+def _packed(source: DataFrame, counts: DataFrame, n_words: int, parts: int, total: float) -> DataFrame:
+    """(part, first, packed): the corpus dealt out by context."""
+    schema = "part bigint, first bigint, packed binary"
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "first", "packed"])
+
+    if n_words <= MAX_BROADCAST:
+        table = counts.toArrow()
+        order = np.argsort(table["word"].to_numpy().view(np.uint64))
+        shared = source.sparkSession.sparkContext.broadcast((table["word"].to_numpy().view(np.uint64)[order], table["c"].to_numpy()[order]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word, c = shared.value
+            for block, facts in _blocks(batches):
+                count = np.zeros(len(block.dictionary), np.int64)
+                if len(word):
+                    at = np.minimum(np.searchsorted(word, block.dictionary), len(word) - 1)
+                    count = np.where(word[at] == block.dictionary, c[at], 0)
+                yield batch_of(list(_dealt(block, facts, count, parts, total)))
+
+        return source.mapInArrow(run, schema)
+
+    fields = dict(dictionary=np.uint64, context=np.int64, token=np.int64, doc=np.int64)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, facts in _blocks(batches):
+            some, place = np.unique(np.concatenate([block.context, block.token]), return_inverse=True)
+            # The start mark keeps its place at the end.
+            some = np.append(some[some != len(block.dictionary) - 1], len(block.dictionary) - 1)
+            at = np.zeros(len(block.dictionary), np.int64)
+            at[some] = np.arange(len(some))
+            packed = _pack(dictionary=block.dictionary[some], context=at[block.context], token=at[block.token], doc=block.doc)
+            docs = sorted(facts)
+            columns = [[int(block.doc[0]) << 1 | int(block.doc[0] == block.doc[-1])], [packed], [docs], [[facts[d][0] for d in docs]], [[facts[d][1] for d in docs]], [block.dictionary[some].view(np.int64)]]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["start", "packed", "uids", "ids", "folds", "words"])
+
+    blocks = source.mapInArrow(write, "start bigint, packed binary, uids array<bigint>, ids array<bigint>, folds array<boolean>, words array<bigint>")
+    blocks = materialise(blocks.withColumn("block", F.xxhash64("start", "packed")), "katz-blocks", "zstd")
+    asked = blocks.select("block", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
+    told = asked.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c")))).alias("told"))
+    joined = blocks.drop("words", "start").join(told.select("block", F.col("told.c").alias("counts")), "block")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                facts = dict(zip(r["uids"], zip(r["ids"], r["folds"])))
+                yield batch_of(list(_dealt(Block(**_unpack(r["packed"], **fields)), facts, np.array(r["counts"], np.int64), parts, total)))
+
+    return joined.select("packed", "uids", "ids", "folds", "counts").mapInArrow(deal, schema)
+
+
+def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2) -> tuple[int, int]:
+    """Write the model's tables and the documents' shares below ``target``, by kind; returns N and V."""
+    source = _source(df, folds, held)
+    counts = materialise(word_counts(source), "katz-words")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(total[0]), int(total[1])
-    table = F.array(*[F.lit(x) for x in discounts(counts)])
-    kept = F.when(F.col("c12") <= MAX_DISCOUNT, F.col("c12") * F.get(table, (F.col("c12") - 1).cast("int"))).otherwise(F.col("c12").cast("double"))
-    resolved = bigram.join(word, "w2").withColumn("kept", F.when(F.col("c12") > 0, kept).otherwise(0.0)).withColumn("p", (F.col("c2") + 1) / F.lit(float(n + v + 1)))
-    hit = F.col("c12") > 0
-    sums = resolved.groupBy("w1").agg(F.sum("c12").alias("c1"), F.sum("kept").alias("mass"), F.sum(F.when(hit, F.col("p")).otherwise(0.0)).alias("p_seen"))
-    sums = sums.withColumn("whole", F.col("c1") + F.when(F.col("mass") >= F.col("c1") - 1e-9, 1.0).otherwise(0.0))
-    context = sums.select("w1", "whole", F.when(F.col("c1") == 0, 1.0).otherwise((1 - F.col("mass") / F.col("whole")) / (1 - F.col("p_seen"))).alias("weight"))
-    logp = F.log10(F.when(hit, F.col("kept") / F.col("whole")).otherwise(F.col("weight") * F.col("p")))
-    base = F.log10((F.col("c2") + 1) / F.lit(float(n + v + 1)))
-    scored = resolved.join(materialise(context, "katz-contexts", "zstd"), "w1").select("w1", "w2", logp.alias("logp"), base.alias("base"), (F.col("c2") > 0).alias("known"))
-    return {"bigrams": scored, "n": n, "v": v, "contexts": context, "words": word}
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 2, -(-n // PART_TOKENS))
+    dealt = _packed(source, counts, v, parts, float(n + v + 1))
+    found = dealt.groupBy("part").applyInArrow(lambda t: _evaluate(t, float(n + v + 1)), _TABLE)
+    found.write.option("compression", "zstd").partitionBy("kind").parquet(target)
+    return n, v
+
+
+def scores(spark: SparkSession, target: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) from the tables below ``target``."""
+    fields = _TABLE.removeprefix("kind string, ")
+    table = spark.read.schema(f"{fields}, kind string").parquet(target)
+    of = lambda kind: table.where(F.col("kind") == kind)
+    counts = {r["c1"]: r["n"] for r in of(COUNTED).groupBy("c1").agg(F.sum("n").alias("n")).collect()}
+    kept = [r * d for r, d in enumerate(discounts(counts), 1)]
+    total = lambda values: sum((F.col("m")[k] * F.lit(float(x)) for k, x in enumerate(values)), F.lit(0.0))
+    mass = F.col("big") + total(kept)
+    whole = F.col("c1") + F.when(F.col("big") == F.col("c1"), 1.0).otherwise(0.0)
+    weight = F.log10((1 - mass / whole) / (1 - F.col("p_seen")))
+    shares = of(SHARE).select("uid", (F.col("fixed") + total(np.log10(kept))).alias("score"))
+    unseen = of(UNSEEN).where("c1 is not null").select("uid", (F.col("n") * weight).alias("score"))
+    # Hot contexts lie in several parts: their sums are joined with what the documents need of them.
+    hot = table.where(F.col("kind").isin(SEEN_HOT, UNSEEN) & F.col("c1").isNull()).select("uid", "w1", "n", (F.col("kind") == UNSEEN).alias("backs"))
+    sums = [F.sum(c).alias(c) for c in ("c1", "big", "p_seen")]
+    each = F.array(*[F.sum(F.col("m")[k]) for k in range(MAX_DISCOUNT)]).alias("m")
+    wanted = of(CONTEXT).join(hot.select("w1").distinct(), "w1", "left_semi").groupBy("w1").agg(*sums, each)
+    told = hot.join(wanted.select("w1", weight.alias("weight"), F.log10(whole).alias("whole")), "w1", "left")
+    told = told.select("uid", F.coalesce(F.col("n") * F.when(F.col("backs"), F.col("weight")).otherwise(-F.col("whole")), F.lit(0.0)).alias("score"))
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = shares.unionAll(unseen).unionAll(told).select("uid", none("bigint").alias("doc_id"), none("boolean").alias("held_out"), none("bigint").alias("n"), none("bigint").alias("c1"), none("double").alias("fixed"), "score")
+    facts = of(FACT).select("uid", "doc_id", "held_out", "n", "c1", "fixed", F.lit(0.0).alias("score"))
+    summed = facts.unionAll(parts).groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("c1").alias("n_known"),
+        F.sum("fixed").alias("base_score"), F.sum("score").alias("score"),
+    )
+    return summed.drop("uid")
 
 
 def katz_scores(df: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    pairs = bigrams(df, folds, held)
-    fitted = model(pairs)
-    joined = pairs.join(fitted["bigrams"], ["w1", "w2"])
-    out = joined.groupBy("uid", "doc_id", "held_out").agg(
-        F.sum("c").alias("n_tokens"),
-        F.sum(F.when(F.col("known"), F.col("c")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("c") * F.col("base")).alias("base_score"),
-        F.sum(F.col("c") * F.col("logp")).alias("score"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    target = scratch(df.sparkSession, "katz")
+    n, _ = fit_and_share(df, target, folds, held)
+    out = scores(df.sparkSession, target).withColumn("train_tokens", F.lit(n).cast("bigint"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

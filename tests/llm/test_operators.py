@@ -80,8 +80,19 @@ def test_heap_equals_recursion():
     coder = byte_bpe.codec(vocab.path("byte_bpe_50k.tiktoken"))
     rng = random.Random(5)
     pieces = ["".join(rng.choice("abethin ") for _ in range(rng.randint(2, 60))) for _ in range(50)]
-    got = coder.contract(pieces)
-    assert all(got[p] == coder.heap_contract(p.encode()) for p in pieces if p.encode() not in coder.ranks)
+    ids, size = coder.contract(pieces)
+    got = np.split(ids, np.cumsum(size)[:-1])
+    assert all(tuple(g) == coder.heap_contract(p.encode()) for p, g in zip(pieces, got) if p.encode() not in coder.ranks)
+
+
+def test_byte_bpe_of_long_words_and_texts():
+    """Many long pre-tokens and a text of more ids than a block decodes, within the codec's memory."""
+    coder, rng = byte_bpe.codec(vocab.path("byte_bpe_50k.tiktoken")), random.Random(6)
+    library = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    words = ["".join(rng.choice("abcdefgh") for _ in range(190)) for _ in range(400)]
+    long = " ".join(words) + " street" * 1_100_000
+    (ids,) = coder.encode([long], {})
+    assert ids.tolist() == library.encode_ordinary(long) and coder.decode([ids]) == [long.encode()]
 
 
 def test_token_store(spark, docs, none, texts):
