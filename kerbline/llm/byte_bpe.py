@@ -120,26 +120,25 @@ class ByteBpe:
 
     def contract(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece) of distinct pre-tokens, one after another."""
-        out: list = [None] * len(pieces)
-        short, raws = [], []
-        for at, piece in enumerate(pieces):
-            raw = piece.encode("utf-8")
-            if raw in self.ranks:
-                out[at] = (self.ranks[raw],)
-            elif len(raw) > LONG_BYTES:
-                out[at] = self.heap_contract(raw)
-            else:
-                short.append(at)
-                raws.append(raw)
-        block = np.cumsum([len(r) ** 2 for r in raws], dtype=np.int64) // BLOCK_ROWS
-        edge = np.searchsorted(block, np.arange(int(block[-1]) + 2)) if raws else []
-        for a, b in zip(edge[:-1], edge[1:]):
-            if a < b:
-                ids, size = self._recursive(raws[a:b])
-                for at, own in zip(short[a:b], np.split(ids, np.cumsum(size)[:-1])):
-                    out[at] = own
-        size = np.array(list(map(len, out)), np.int64)
-        return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32), size
+        raws = [piece.encode("utf-8") for piece in pieces]
+        whole = [self.ranks.get(raw, -1) for raw in raws]
+        size, alone = np.ones(len(pieces), np.int64), np.array(whole, np.int64)
+        short = np.flatnonzero((alone < 0) & (np.array(list(map(len, raws)), np.int64) <= LONG_BYTES))
+        block = np.cumsum([len(raws[i]) ** 2 for i in short], dtype=np.int64) // BLOCK_ROWS
+        edge = np.searchsorted(block, np.arange(int(block[-1]) + 2)) if len(block) else []
+        groups = [(short[a:b], *self._recursive([raws[i] for i in short[a:b]])) for a, b in zip(edge[:-1], edge[1:]) if a < b]
+        for i in np.flatnonzero(alone < 0):
+            if len(raws[i]) > LONG_BYTES:
+                ids = self.heap_contract(raws[i])
+                groups.append((np.array([i]), np.array(ids), np.array([len(ids)])))
+        for at, _, own in groups:
+            size[at] = own
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[start[alone >= 0]] = alone[alone >= 0]
+        for at, ids, own in groups:
+            out[np.repeat(start[at] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return out, size
 
     def encode(self, texts: list[str | None], cache: dict) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit arrays; ``cache`` keeps the pieces met, their ids and where these begin."""

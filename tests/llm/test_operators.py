@@ -314,5 +314,19 @@ def test_katz(docs, none, texts):
     for i, t in enumerate(tokens):
         assert math.isclose(got[i]["score"], sum(math.log10(p(a, b)) for a, b in zip([0] + t[:-1], t)), abs_tol=1e-8)
         assert math.isclose(got[i]["base_score"], sum(math.log10(base(w)) for w in t), abs_tol=1e-8)
-        assert (got[i]["n_tokens"], got[i]["train_tokens"]) == (len(t), n)
+        assert (got[i]["n_tokens"], got[i]["train_tokens"], got[i]["n_known"]) == (len(t), n, sum(uni[w] > 0 for w in t))
+        assert got[i]["held_out"] == (i not in set(train))
     assert katz.katz_scores(none).count() == 0
+    target = scratch(docs.sparkSession, "katz")
+    katz.fit_and_share(docs, target)
+    assert Counter(r["n"] for r in katz.ngrams(docs.sparkSession, target).collect()) == Counter(bi.values())
+
+
+def test_katz_of_hot_contexts_and_small_blocks(docs):
+    """Contexts that are split over parts, documents that run through several blocks, repeated and null ids."""
+    rows = docs.select("doc_id", "text")
+    rows = rows.union(rows.where("doc_id < 12")).union(rows.where("doc_id = 20").selectExpr("cast(null as bigint)", "text"))
+    plain = lambda **limits: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["held_out"], round(r["score"], 7), round(r["base_score"], 7)) for r in katz.katz_scores(rows, **limits).collect())
+    want = plain()
+    assert len(want) == rows.count() and want[-1][0]
+    assert plain(block_tokens=7, part_tokens=200) == want
