@@ -5,16 +5,17 @@ discounted by d_r; a discount outside (0, 1), as sparse counts of counts give, i
 above that limit reserves one count, so that its backoff mass is never zero. The mass a context holds back is dealt out over the words it was
 not seen with, in proportion to (c + 1) / (N + V + 1); the weight divides by exactly their total.
 
-1. Word counts of the training rows: counted per block of tokens, then summed by word.
-2. Documents are read again. A block's distinct (context, word, document) triples are dealt out by context as packed arrays, with the
-   words' counts. A context of more than ``PART_TOKENS`` / 4 tokens is dealt out by context and word, so no part has to hold it whole.
-3. A part adds up its bigrams and evaluates each token: a seen bigram needs only its count, an unseen one goes on to the word's
-   count. The n-grams, the contexts and the documents' shares are written as one table, partitioned by kind. Discounts are not
+1. Documents become blocks of word numbers with a dictionary each, written down once.
+2. The dictionaries are dealt out by word: words get global numbers, small ones for frequent words, and training counts, which go back
+   to the blocks.
+3. A block's distinct (context, word, document) triples are dealt out by context as packed arrays, with the words' counts. A context of more
+   than ``PART_TOKENS`` / 4 tokens is dealt out by context and word, so no part has to hold it whole.
+4. A part adds up its bigrams and evaluates each token: a seen bigram needs only its count, an unseen one goes on to the word's
+   count. The n-grams, the hot contexts' sums and the documents' shares are written as one table, partitioned by kind. Discounts are not
    known yet, so a share holds how many tokens met a bigram of count 1, 2 and so on.
-4. With the counts of counts, each share becomes a number; shares of hot contexts are joined with their summed contexts.
+5. With the counts of counts, each share becomes a number; shares of hot contexts are joined with their summed contexts.
 
-Word counts are broadcast up to ``MAX_BROADCAST`` words (16 bytes each); with more of them, blocks are written down and joined with the counts
-of their words. Only the counts of counts and two totals reach the driver beside that.
+Only the counts of counts and three totals reach the driver, and nothing is broadcast.
 
 Null and empty texts are one end token. Each row is scored by itself, also where ids repeat. A null id is a training row.
 An empty table gives an empty result; without training rows N and V are 0 and every score is 0.
@@ -34,47 +35,78 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import mix, remainder, words
 from kerbline.runtime import materialise, scratch
 
-MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, MAX_BROADCAST = 5, 1 << 21, 1 << 22, 8_000_000
+MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS = 5, 1 << 21, 3 << 20
 _START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 NGRAM, CONTEXT, SHARE, UNSEEN, SEEN_HOT, FACT, COUNTED = "ngram", "context", "share", "unseen", "seen_hot", "fact", "counted"
-_TABLE = "kind string, uid bigint, doc_id bigint, held_out boolean, w1 bigint, w2 bigint, n bigint, c1 bigint, big bigint, p_seen double, fixed double, m array<bigint>"
+_TABLE = "kind string, uid bigint, doc_id bigint, held_out boolean, w1 bigint, w2 bigint, n bigint, c1 bigint, big bigint, p_seen double, fixed double, m array<bigint>, packed binary"
 _ARROW = pa.schema(
     [("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())]
-    + [("c1", pa.int64()), ("big", pa.int64()), ("p_seen", pa.float64()), ("fixed", pa.float64()), ("m", pa.list_(pa.int64()))]
+    + [("c1", pa.int64()), ("big", pa.int64()), ("p_seen", pa.float64()), ("fixed", pa.float64()), ("m", pa.list_(pa.int64())), ("packed", pa.binary())]
 )
 
 
-class Block:
-    """Tokens of some documents: word numbers of contexts and tokens, and each token's document (its uid)."""
+def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers in the fewest bytes that hold their largest one, and of doubles, compressed."""
+    head, body = [], []
+    for a in arrays.values():
+        a = np.asarray(a)
+        if a.dtype.kind != "f":
+            a = a.astype(np.min_scalar_type(int(a.max()))) if len(a) else a.astype(np.uint8)
+        head += [len(a), a.itemsize if a.dtype.kind != "f" else 0]
+        body.append(np.ascontiguousarray(a).tobytes())
+    return zstandard.compress(b"".join([np.array(head, np.int64).tobytes(), *body]), 1)
+
+
+def _unpack(data: bytes, *names: str) -> dict[str, np.ndarray]:
+    """The arrays of :func:`_pack`, whole numbers as 64-bit ones."""
+    raw, out = zstandard.decompress(data), {}
+    at = 16 * len(names)
+    for name, (n, size) in zip(names, np.frombuffer(raw, np.int64, 2 * len(names)).reshape(-1, 2).tolist()):
+        kind = np.dtype(f"u{size}") if size else np.dtype(np.float64)
+        a = np.frombuffer(raw, kind, n, at)
+        at += a.nbytes
+        out[name] = a.astype(np.int64) if 0 < size < 8 else a.view(np.int64) if size else a
+    return out
+
 
-    def __init__(self, dictionary: np.ndarray, context: np.ndarray, token: np.ndarray, doc: np.ndarray):
-        self.dictionary, self.context, self.token, self.doc = dictionary, context, token, doc
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
-    """Blocks of about ``BLOCK_TOKENS`` tokens, with the id and fold of the documents that they begin or continue."""
-    uid = TaskContext.get().partitionId() << 40
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
+    """(block, tokens, uids, ids, folds, packed, words) of at most about ``limit`` tokens each; a long document runs through several blocks.
+
+    ``packed`` holds the tokens' places in the block's dictionary, the tokens of each document and the context of the first token;
+    ``words`` the dictionary with its training counts.
+    """
+    uid, seq = TaskContext.get().partitionId() << 40, 0
     held: list[tuple] = []
     facts: dict[int, tuple] = {}
 
-    def flush() -> Iterator[tuple[Block, dict]]:
-        nonlocal held, facts
+    def flush() -> Iterator[tuple]:
+        nonlocal held, facts, seq
         if not held:
             return
         hashes, docs = (np.concatenate(x) for x in zip(*held))
-        known, token = np.unique(hashes, return_inverse=True)
-        dictionary = np.append(known, _START)
-        opens = np.append(True, docs[1:] != docs[:-1])
-        context = np.append(len(known), token[:-1])
-        context[opens] = len(known)
-        for at in range(0, len(token), BLOCK_TOKENS):
-            part = slice(at, at + BLOCK_TOKENS)
-            own = docs[part]
-            # A long document runs through several blocks; its facts add up.
-            yield Block(dictionary, context[part], token[part], own), {d: facts[d] for d in np.unique(own).tolist()}
+        for at in range(0, len(hashes), limit):
+            own = docs[at : at + limit]
+            begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            run, names = np.diff(np.append(begin, len(own))), own[begin].tolist()
+            goes_on = at > 0 and docs[at - 1] == docs[at]
+            # Each block asks for the end token, whose count is that of the start mark too.
+            known, place = np.unique(np.append(hashes[at : at + limit], [hashes[at - 1] if goes_on else _END, _END]), return_inverse=True)
+            first = place[-2] if goes_on else len(known)
+            folds = [facts[d][1] for d in names]
+            train = np.bincount(place[:-2], np.repeat(~np.array(folds, bool), run), minlength=len(known)).astype(np.int64)
+            packed = _pack(token=place[:-2], run=run, first=np.array([first]))
+            yield uid + seq, len(own), names, [facts[d][0] for d in names], folds, packed, _pack(word=known, c=train)
+            seq += 1
         held, facts = [], {}
 
+    size = 0
+    base = uid
     for batch in batches:
         ids, folds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for row, end, hashes, first in words(batch.column(2)):
@@ -84,11 +116,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
             inside = np.ones(len(token), bool)
             inside[stop] = False
             token[inside] = hashes
-            facts.update({uid + r: (ids[r], folds[r]) for r in range(row, end)})
-            held.append((token, uid + np.repeat(np.arange(row, end), n + 1)))
-            if sum(len(t) for t, _ in held) >= BLOCK_TOKENS:
+            facts.update({base + r: (ids[r], folds[r]) for r in range(row, end)})
+            held.append((token, base + np.repeat(np.arange(row, end), n + 1)))
+            size += len(token)
+            if size >= limit:
                 yield from flush()
-        uid += batch.num_rows
+                size = 0
+        base += batch.num_rows
     yield from flush()
 
 
@@ -96,83 +130,120 @@ def _source(df: DataFrame, folds: int, held: int) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(remainder("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
 
 
-def _trains(block: Block, facts: dict) -> np.ndarray:
-    """Whether each token stands in a training document."""
-    docs = np.array(sorted(facts), np.int64)
-    return ~np.array([facts[d][1] for d in docs.tolist()], bool)[np.searchsorted(docs, block.doc)]
+_BLOCK = dict(block=pa.int64(), tokens=pa.int64(), uids=pa.list_(pa.int64()), ids=pa.list_(pa.int64()), folds=pa.list_(pa.bool_()), packed=pa.binary(), words=pa.binary())
+_BLOCK_SQL = "block bigint, tokens bigint, uids array<bigint>, ids array<bigint>, folds array<boolean>, packed binary, words binary"
+_NUMBERED = dict(block=pa.int64(), home=pa.int64(), packed=pa.binary(), n=pa.int64(), v=pa.int64())
 
 
-def word_counts(source: DataFrame) -> DataFrame:
-    """(word, c) of the tokens of training rows."""
+def corpus_blocks(source: DataFrame, limit: int) -> DataFrame:
+    """The corpus as blocks of word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, facts in _blocks(batches):
-            count = np.bincount(block.token[_trains(block, facts)], minlength=len(block.dictionary))
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(block.dictionary[some].view(np.int64)), pa.array(count[some])], ["word", "c"])
+        for block in _blocks(batches, limit):
+            yield _batch([block], **_BLOCK)
 
-    return source.mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return source.mapInArrow(run, _BLOCK_SQL)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    body = [np.array([len(a) for a in arrays.values()], np.int64), *arrays.values()]
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in body), 1)
+def numbered_words(blocks: DataFrame, homes: int) -> DataFrame:
+    """(block, home, packed, n, v): global numbers and training counts of each block's words that live in ``home``, in dictionary order.
 
+    A home numbers its words by falling count, so that number = place * homes + home + 1 is small for frequent words. One row of each home
+    has its number of training tokens and of distinct words in them.
+    """
 
-def _unpack(data: bytes, **kinds: type) -> dict[str, np.ndarray]:
-    raw, out = zstandard.decompress(data), {}
-    at = 8 * len(kinds)
-    for (name, kind), n in zip(kinds.items(), np.frombuffer(raw, np.int64, len(kinds)).tolist()):
-        out[name] = np.frombuffer(raw, kind, n, at)
-        at += out[name].nbytes
-    return out
-
-
-_PART = dict(w1=np.uint64, hot=np.uint8, run=np.uint32, w2=np.uint64, c2=np.int64, token=np.uint32, doc=np.uint32, n=np.uint32)
-_FACT = dict(uid=np.int64, doc_id=np.int64, null=np.uint8, held=np.uint8, n_tokens=np.int64, n_known=np.int64, base=np.float64)
-
-
-def _dealt(block: Block, facts: dict, count: np.ndarray, parts: int, total: float) -> Iterator[tuple[int, int, bytes]]:
-    """(part, first uid, packed triples) of a block, and a part below 0 with its documents' facts; ``count`` is that of each word."""
-    docs = np.array(sorted(facts), np.int64)
-    number = np.searchsorted(docs, block.doc)
-    held = np.array([facts[d][1] for d in docs.tolist()], bool)
-    ids = [facts[d][0] for d in docs.tolist()]
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                d = _unpack(data.as_py(), "word", "c")
+                home = (mix(d["word"].view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                edge = np.searchsorted(home[order], np.arange(homes + 1))
+                rows = [(block, h, _pack(word=d["word"][order[a:b]], c=d["c"][order[a:b]])) for h, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b]
+                yield _batch(rows, block=pa.int64(), home=pa.int64(), packed=pa.binary())
+
+    def number(table: pa.Table) -> pa.Table:
+        parts = [_unpack(x.as_py(), "word", "c") for x in table["packed"]]
+        known, at = np.unique(np.concatenate([x["word"].view(np.uint64) for x in parts]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([x["c"] for x in parts]), minlength=len(known)).astype(np.int64)
+        home = table["home"][0].as_py()
+        name = np.empty(len(known), np.int64)
+        name[np.lexsort((known, -count))] = np.arange(len(known)) * homes + home + 1
+        rows, start = [], 0
+        for block, x in zip(table["block"].to_pylist(), parts):
+            own = at[start : start + len(x["word"])]
+            start += len(x["word"])
+            first = not rows
+            rows.append((block, home, _pack(name=name[own], c=count[own]), int(count.sum()) if first else 0, int((count > 0).sum()) if first else 0))
+        return pa.Table.from_batches([_batch(rows, **_NUMBERED)])
+
+    asked = blocks.select("block", "words").mapInArrow(ask, "block bigint, home bigint, packed binary")
+    return asked.groupBy("home").applyInArrow(number, "block bigint, home bigint, packed binary, n bigint, v bigint")
+
+
+def _dealt(block: dict, homes: int, parts: int, total: float, hot_from: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, first uid, packed triples) of a block, and a part below 0 with its documents' facts."""
+    d = _unpack(block["words"], "word", "c")
+    home = (mix(d["word"].view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    size = len(home) + 1
+    # The start mark has number 0 and the place after the dictionary; there are as many as end tokens.
+    name, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    order, at = np.argsort(home, kind="stable"), 0
+    for part in sorted(block["told"], key=lambda x: x["home"]):
+        x = _unpack(part["packed"], "name", "c")
+        own = order[at : at + len(x["name"])]
+        name[own], count[own] = x["name"], x["c"]
+        at += len(own)
+    body = _unpack(block["packed"], "token", "run", "first")
+    token, run = body["token"], body["run"]
+    begin = np.cumsum(run) - run
+    context = np.append(0, token[:-1])
+    context[begin] = size - 1
+    context[0] = body["first"][0]
+    docs = np.array(block["uids"], np.int64)
+    number = np.repeat(np.arange(len(docs)), run)
+    held = np.array(block["folds"], bool)
     base = np.log10((count + 1) / total)
-    c = count[block.token]
-    yield -1 - int(docs[0]), 0, _pack(
-        uid=docs, doc_id=np.array([i or 0 for i in ids], np.int64), null=np.array([i is None for i in ids], np.uint8), held=held.astype(np.uint8),
-        n_tokens=np.bincount(number, minlength=len(docs)), n_known=np.bincount(number, c > 0, minlength=len(docs)).astype(np.int64),
-        base=np.bincount(number, base[block.token], minlength=len(docs)),
+    yield -1 - block["block"], 0, _pack(
+        uid=docs, doc_id=np.array([(i or 0) + (1 << 63) for i in block["ids"]], np.uint64), null=np.array([i is None for i in block["ids"]], np.uint8), held=held.astype(np.uint8),
+        n_tokens=run, n_known=np.bincount(number, count[token] > 0, minlength=len(docs)).astype(np.int64), base=np.bincount(number, base[token], minlength=len(docs)),
     )
-    context_size = count.copy()
-    context_size[-1] = count[np.searchsorted(block.dictionary[:-1], _END)] if _END in block.dictionary[:-1] else PART_TOKENS
-    hot = context_size >= PART_TOKENS // 4
-    name = mix(block.dictionary)
-    home = name[block.context]
-    spread = hot[block.context]
-    home[spread] = mix(home[spread] * _STEP + name[block.token[spread]])
-    part = (home % np.uint64(parts)).astype(np.int64)
-    size, low = len(block.dictionary), int(docs[0])
-    outer, inner = part * size + block.context, block.token * len(docs) + number
+    hot = count >= hot_from
+    hot[-1] = hot[np.searchsorted(d["word"].view(np.uint64), _END)]
+    key = mix(name.astype(np.uint64))
+    place = key[context]
+    spread = hot[context]
+    place[spread] = mix(place[spread] * _STEP + key[token[spread]])
+    part = (place % np.uint64(parts)).astype(np.int64)
+    # Words in the order of their numbers, so that the packed lists rise.
+    rank = np.empty(size, np.int64)
+    by_name = np.argsort(name)
+    rank[by_name] = np.arange(size)
+    outer, inner = part * size + rank[context], rank[token] * len(docs) + number
     order = np.lexsort((inner, outer))
     outer, inner = outer[order], inner[order]
     new = np.flatnonzero(np.append(True, (outer[1:] != outer[:-1]) | (inner[1:] != inner[:-1])))
     n = np.diff(np.append(new, len(outer)))
     part, context = np.divmod(outer[new], size)
     token, number = np.divmod(inner[new], len(docs))
-    doc = ((docs[number] - low) * 2 + held[number]).astype(np.uint32)
+    low = int(docs[0])
+    doc = (docs[number] - low) * 2 + held[number]
     edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for a, b in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist()):
         begin = np.flatnonzero(np.append(True, context[a + 1 : b] != context[a : b - 1])) + a
-        own = context[begin]
+        w1 = by_name[context[begin]]
         known, place = np.unique(token[a:b], return_inverse=True)
+        w2 = by_name[known]
         yield int(part[a]), low, _pack(
-            w1=block.dictionary[own], hot=hot[own].astype(np.uint8), run=np.diff(np.append(begin, b)).astype(np.uint32),
-            w2=block.dictionary[known], c2=count[known], token=place.astype(np.uint32), doc=doc[a:b], n=n[a:b].astype(np.uint32),
+            w1=np.diff(name[w1], prepend=0), hot=hot[w1].astype(np.uint8), run=np.diff(np.append(begin, b)),
+            w2=np.diff(name[w2], prepend=0), c2=count[w2], token=place, doc=doc[a:b], n=n[a:b],
         )
 
 
+_PART = ("w1", "hot", "run", "w2", "c2", "token", "doc", "n")
+_FACT = ("uid", "doc_id", "null", "held", "n_tokens", "n_known", "base")
+
+
 def _rows(kind: str, size: int, **columns) -> pa.RecordBatch:
     arrays = [pa.array([kind] * size, pa.string()) if f.name == "kind" else columns.get(f.name, pa.nulls(size, f.type)) for f in _ARROW]
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, _ARROW)], schema=_ARROW)
@@ -185,34 +256,37 @@ def _fives(values: np.ndarray) -> pa.Array:
 def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     """N-grams, contexts and shares of one part. ``n_words`` is N + V + 1."""
     out = []
-    low_part = table["part"][0].as_py() < 0
-    if low_part:
+    part = table["part"][0].as_py()
+    if part < 0:
         for data in table["packed"]:
-            f = _unpack(data.as_py(), **_FACT)
-            ids = pa.array(f["doc_id"], mask=f["null"].astype(bool))
+            f = _unpack(data.as_py(), *_FACT)
+            ids = pa.array((f["doc_id"].view(np.uint64) - np.uint64(1 << 63)).view(np.int64), mask=f["null"].astype(bool))
             out.append(_rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"]))
         return pa.Table.from_batches(out)
-    pieces = [_unpack(d.as_py(), **_PART) for d in table["packed"]]
+    pieces = [_unpack(d.as_py(), *_PART) for d in table["packed"]]
     first = table["first"].to_pylist()
     join = lambda f: np.concatenate([f(x, low) for x, low in zip(pieces, first)])
-    w1, at1 = np.unique(join(lambda x, _: x["w1"]), return_inverse=True)
-    w2, at2 = np.unique(join(lambda x, _: x["w2"]), return_inverse=True)
+    w1, at1 = np.unique(join(lambda x, _: np.cumsum(x["w1"])), return_inverse=True)
+    w2, at2 = np.unique(join(lambda x, _: np.cumsum(x["w2"])), return_inverse=True)
     c2, hot = np.zeros(len(w2), np.int64), np.zeros(len(w1), bool)
     c2[at2], hot[at1] = join(lambda x, _: x["c2"]), join(lambda x, _: x["hot"]).astype(bool)
     off2 = np.cumsum([0, *(len(x["w2"]) for x in pieces)])
-    context = np.repeat(at1, join(lambda x, _: x["run"]))
-    word = at2[np.concatenate([x["token"].astype(np.int64) + o for x, o in zip(pieces, off2)])]
-    uid = join(lambda x, low: x["doc"].astype(np.int64) // 2 + low)
+    context = np.repeat(at1, join(lambda x, _: x["run"])).astype(np.int32)
+    word = at2[np.concatenate([x["token"] + o for x, o in zip(pieces, off2)])].astype(np.int32)
+    docs, doc = np.unique(join(lambda x, low: x["doc"] // 2 + low), return_inverse=True)
+    doc = doc.astype(np.int32)
     trains = join(lambda x, _: x["doc"]) % 2 == 0
-    n = join(lambda x, _: x["n"]).astype(np.int64)
-    del pieces
-    key = context * len(w2) + word
+    n = join(lambda x, _: x["n"]).astype(np.int32)
+    del pieces, at1, at2
+    key = context.astype(np.int64) * len(w2) + word
     order = np.argsort(key, kind="stable")
-    context, word, uid, trains, n = (x[order] for x in (context, word, uid, trains, n))
-    key = key[order]
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    r = np.add.reduceat(np.where(trains, n, 0), start)
-    count = np.repeat(r, np.diff(np.append(start, len(key))))
+    start = key[order]
+    start = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
+    del key
+    context, word, doc, trains, n = (x[order] for x in (context, word, doc, trains, n))
+    del order
+    r = np.add.reduceat(np.where(trains, n, 0), start, dtype=np.int64)
+    count = np.repeat(r, np.diff(np.append(start, len(context))))
     # Contexts over the bigrams seen in training.
     seen = r > 0
     v, w, r = context[start][seen], word[start][seen], r[seen]
@@ -222,25 +296,27 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     c1, big, p_seen = per(r).astype(np.int64), per(np.where(some, 0, r)).astype(np.int64), per(p[w])
     m = np.stack([per(pick=r == k) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
     whole = c1 + (big == c1)
-    out.append(_rows(NGRAM, len(v), w1=w1[v].view(np.int64), w2=w2[w].view(np.int64), n=r))
-    held = np.flatnonzero(c1)
-    out.append(_rows(CONTEXT, len(held), w1=w1[held].view(np.int64), c1=c1[held], big=big[held], p_seen=p_seen[held], m=_fives(m[held])))
+    # The part's n-gram table: contexts, how many words each was seen with, the words and the counts.
+    held, run = np.unique(v, return_counts=True)
+    packed = _pack(w1=np.diff(w1[held], prepend=0), run=run, w2=w2[w], r=r)
+    out.append(_rows(NGRAM, 1, n=np.array([len(r)]), packed=pa.array([packed], pa.binary())))
+    held = held[hot[held]]
+    out.append(_rows(CONTEXT, len(held), w1=w1[held], c1=c1[held], big=big[held], p_seen=p_seen[held], m=_fives(m[held])))
     counts = np.bincount(np.minimum(r, MAX_DISCOUNT + 2), minlength=MAX_DISCOUNT + 3)[1 : MAX_DISCOUNT + 2]
     out.append(_rows(COUNTED, MAX_DISCOUNT + 1, c1=np.arange(1, MAX_DISCOUNT + 2), n=counts))
     # Tokens: a seen bigram by its count, an unseen one by its word and its context's weight.
     met = count > 0
     fixed = np.where(met, np.where(count > MAX_DISCOUNT, np.log10(np.maximum(count, 1)), 0.0) - np.where(hot[context], 0.0, np.log10(np.maximum(whole[context], 1))), np.log10(p[word])) * n
-    docs, doc = np.unique(uid, return_inverse=True)
     hist = np.stack([np.bincount(doc, np.where(count == k, n, 0), minlength=len(docs)) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
     out.append(_rows(SHARE, len(docs), uid=docs, fixed=np.bincount(doc, fixed, minlength=len(docs)), m=_fives(hist)))
     for kind, pick in ((UNSEEN, ~met & (hot[context] | (c1[context] > 0))), (SEEN_HOT, met & hot[context])):
-        pair, n_pair = np.unique(context[pick] * len(docs) + doc[pick], return_inverse=True)
+        pair, n_pair = np.unique(context[pick].astype(np.int64) * len(docs) + doc[pick], return_inverse=True)
         total = np.bincount(n_pair, n[pick], minlength=len(pair)).astype(np.int64)
         x, d = np.divmod(pair, max(1, len(docs)))
         there = pa.array(hot[x])
         own = dict(c1=c1[x], big=big[x], p_seen=p_seen[x], m=_fives(m[x]))
         masked = {k: pa.compute.if_else(there, pa.nulls(len(x), _ARROW.field(k).type), a if isinstance(a, pa.Array) else pa.array(a)) for k, a in own.items()}
-        out.append(_rows(kind, len(x), uid=docs[d], w1=w1[x].view(np.int64), n=total, **masked))
+        out.append(_rows(kind, len(x), uid=docs[d], w1=w1[x], n=total, **masked))
     return pa.Table.from_batches(out)
 
 
@@ -256,72 +332,41 @@ def discounts(counts: dict[int, int], limit: int = MAX_DISCOUNT) -> list[float]:
     return out
 
 
-def _packed(source: DataFrame, counts: DataFrame, n_words: int, parts: int, total: float) -> DataFrame:
-    """(part, first, packed): the corpus dealt out by context."""
-    schema = "part bigint, first bigint, packed binary"
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["part", "first", "packed"])
-
-    if n_words <= MAX_BROADCAST:
-        table = counts.toArrow()
-        order = np.argsort(table["word"].to_numpy().view(np.uint64))
-        shared = source.sparkSession.sparkContext.broadcast((table["word"].to_numpy().view(np.uint64)[order], table["c"].to_numpy()[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            word, c = shared.value
-            for block, facts in _blocks(batches):
-                count = np.zeros(len(block.dictionary), np.int64)
-                if len(word):
-                    at = np.minimum(np.searchsorted(word, block.dictionary), len(word) - 1)
-                    count = np.where(word[at] == block.dictionary, c[at], 0)
-                yield batch_of(list(_dealt(block, facts, count, parts, total)))
-
-        return source.mapInArrow(run, schema)
-
-    fields = dict(dictionary=np.uint64, context=np.int64, token=np.int64, doc=np.int64)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, facts in _blocks(batches):
-            some, place = np.unique(np.concatenate([block.context, block.token]), return_inverse=True)
-            # The start mark keeps its place at the end.
-            some = np.append(some[some != len(block.dictionary) - 1], len(block.dictionary) - 1)
-            at = np.zeros(len(block.dictionary), np.int64)
-            at[some] = np.arange(len(some))
-            packed = _pack(dictionary=block.dictionary[some], context=at[block.context], token=at[block.token], doc=block.doc)
-            docs = sorted(facts)
-            columns = [[int(block.doc[0]) << 1 | int(block.doc[0] == block.doc[-1])], [packed], [docs], [[facts[d][0] for d in docs]], [[facts[d][1] for d in docs]], [block.dictionary[some].view(np.int64)]]
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["start", "packed", "uids", "ids", "folds", "words"])
-
-    blocks = source.mapInArrow(write, "start bigint, packed binary, uids array<bigint>, ids array<bigint>, folds array<boolean>, words array<bigint>")
-    blocks = materialise(blocks.withColumn("block", F.xxhash64("start", "packed")), "katz-blocks", "zstd")
-    asked = blocks.select("block", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-    told = asked.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("c", F.lit(0)).alias("c")))).alias("told"))
-    joined = blocks.drop("words", "start").join(told.select("block", F.col("told.c").alias("counts")), "block")
+def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> tuple[int, int]:
+    """Write the model's tables and the documents' shares below ``target``, by kind; returns N and V."""
+    blocks = materialise(corpus_blocks(_source(df, folds, held), block_tokens), "katz-blocks")
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 2, -(-tokens // part_tokens))
+    numbered = materialise(numbered_words(blocks, parts), "katz-words")
+    n, v = numbered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    total = float(n + v + 1)
+    told = numbered.groupBy("block").agg(F.collect_list(F.struct("home", "packed")).alias("told"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                facts = dict(zip(r["uids"], zip(r["ids"], r["folds"])))
-                yield batch_of(list(_dealt(Block(**_unpack(r["packed"], **fields)), facts, np.array(r["counts"], np.int64), parts, total)))
+            for at in range(batch.num_rows):
+                for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, parts, total, part_tokens // 4):
+                    yield _batch([dealt], part=pa.int64(), first=pa.int64(), packed=pa.binary())
 
-    return joined.select("packed", "uids", "ids", "folds", "counts").mapInArrow(deal, schema)
-
-
-def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2) -> tuple[int, int]:
-    """Write the model's tables and the documents' shares below ``target``, by kind; returns N and V."""
-    source = _source(df, folds, held)
-    counts = materialise(word_counts(source), "katz-words")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = int(total[0]), int(total[1])
-    parts = max(df.sparkSession.sparkContext.defaultParallelism * 2, -(-n // PART_TOKENS))
-    dealt = _packed(source, counts, v, parts, float(n + v + 1))
-    found = dealt.groupBy("part").applyInArrow(lambda t: _evaluate(t, float(n + v + 1)), _TABLE)
+    packed = blocks.drop("tokens").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
+    found = packed.groupBy("part").applyInArrow(lambda t: _evaluate(t, total), _TABLE)
     found.write.option("compression", "zstd").partitionBy("kind").parquet(target)
     return n, v
 
 
+def ngrams(spark: SparkSession, target: str) -> DataFrame:
+    """(w1, w2, n): the stored bigrams by word numbers; 0 is the start mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                x = _unpack(data.as_py(), "w1", "run", "w2", "r")
+                yield pa.RecordBatch.from_arrays([np.repeat(np.cumsum(x["w1"]), x["run"]), x["w2"], x["r"]], ["w1", "w2", "n"])
+
+    table = spark.read.schema("packed binary, kind string").parquet(target).where(F.col("kind") == NGRAM)
+    return table.select("packed").mapInArrow(run, "w1 bigint, w2 bigint, n bigint")
+
+
 def scores(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) from the tables below ``target``."""
     fields = _TABLE.removeprefix("kind string, ")
@@ -352,9 +397,9 @@ def scores(spark: SparkSession, target: str) -> DataFrame:
     return summed.drop("uid")
 
 
-def katz_scores(df: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+def katz_scores(df: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     target = scratch(df.sparkSession, "katz")
-    n, _ = fit_and_share(df, target, folds, held)
+    n, _ = fit_and_share(df, target, folds, held, block_tokens, part_tokens)
     out = scores(df.sparkSession, target).withColumn("train_tokens", F.lit(n).cast("bigint"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
