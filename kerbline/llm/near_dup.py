@@ -8,7 +8,7 @@ whose estimate is ``SPREADS`` standard deviations beyond what the similarity all
 Work follows the links and not the pairs. First each class meets the smallest class of its buckets; the links found are joined into
 components. Then only buckets that still hold several components are gone through, and there only pairs of different components that
 the bucket's largest component doesn't hold both ends of. Such a bucket is cut into blocks; a task compares the bitmaps of two blocks as arrays and
-writes one row per class with its candidates, so pairs never become rows.
+writes one row per class with its candidates as a list, and the exact check reads each class of a block once, so pairs never become rows.
 
 Misses: a pair of similarity s shares no bucket with a chance of (1 - s^ROWS)^BANDS, 6e-7 at 0.8; the bitmap drops one with a chance below
 1e-4 at 0.8 and far less above. Equal classes and common shingles are decided on hashes of 128 and 64 bits.
@@ -33,7 +33,7 @@ from kerbline.operators.graph import connected_components
 from kerbline.runtime import materialise
 
 BANDS, ROWS, BINS, BITS, SPREADS = 36, 5, 1024, 1024, 4.0
-#: Rows of a block of a bucket, and shingles that meet in one group of the exact check.
+#: Classes of a bucket's block, those that are compared with them, and shingles that meet in one group of the exact check.
 BLOCK, PACK, GROUP_SHINGLES = 1024, 256, 1 << 20
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,69 +155,82 @@ def _shingles(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return named.groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def _links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst) of the stars (cid, others array<struct<cid, comp>>): for each component among the others, one of them that the exact check confirms.
+def _overlaps(x: np.ndarray, flat: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the sorted values ``x`` each of the sets ``at`` holds, in slices of about ``GROUP_SHINGLES`` values."""
+    out, size = np.zeros(len(at), np.int64), bounds[at + 1] - bounds[at]
+    part = (np.cumsum(size) - size) // GROUP_SHINGLES
+    for k in np.unique(part):
+        own = part == k
+        n, first = size[own], bounds[at[own]]
+        before = np.cumsum(n) - n
+        y = flat[np.repeat(first - before, n) + np.arange(int(n.sum()))]
+        hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+        out[own] = np.add.reduceat(hit.astype(np.int64), before)
+    return out
 
-    The others' sets meet the star's in groups of about ``GROUP_SHINGLES`` shingles. A star of many others is several rows with the
-    same cid, each in a group of its own.
+
+def _links(centres: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): for each centre and each component among its others, one of them that the exact check confirms.
+
+    ``members`` (unit, cid, comp, n) are the classes of a unit, ``centres`` (unit, cid, others) those compared with the others named, or with all
+    of the unit's members where that is null. A unit's sets are fetched once, and units meet in groups of about ``GROUP_SHINGLES`` shingles.
     """
-    stars = materialise(stars.withColumn("star", F.xxhash64("cid", "others")), "near-stars")
-    spokes = stars.select("star", F.explode("others").alias("o")).select("star", F.col("o.cid").alias("cid"), F.col("o.comp").alias("comp"))
-    volume = spokes.join(sets.select("cid", F.size("shingles").alias("n")), "cid").agg(F.sum("n")).first()[0] or 0
+    volume = members.agg(F.sum("n")).first()[0] or 0
     groups = max(1, int(volume // GROUP_SHINGLES))
-    group = F.pmod("star", F.lit(groups)).alias("bin")
-    left = spokes.join(sets, "cid").select(group, "star", "cid", "comp", "shingles")
-    right = stars.select("star", "cid").join(sets, "cid").select(group, "star", "cid", "shingles").toDF("bin", "star", "cid", "shingles")
+    group = F.pmod("unit", F.lit(groups)).alias("bin")
+    left = members.join(sets, "cid").select(group, "unit", "cid", "comp", "shingles")
+    right = centres.join(sets, "cid").select(group, "unit", "cid", "others", "shingles").toDF("bin", "unit", "cid", "others", "shingles")
 
-    def check(others: pa.Table, centres: pa.Table) -> pa.Table:
+    def check(block: pa.Table, pack: pa.Table) -> pa.Table:
         src, dst = [], []
-        if others.num_rows and centres.num_rows:
-            star, cid, comp = _numbers(others, "star", "cid", "comp")
-            lists = others["shingles"].combine_chunks()
+        if block.num_rows and pack.num_rows:
+            unit, cid, comp = _numbers(block, "unit", "cid", "comp")
+            order = np.lexsort((cid, unit))
+            unit, cid, comp = unit[order], cid[order], comp[order]
+            lists = block["shingles"].combine_chunks().take(pa.array(order))
             bounds, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
-            order = np.argsort(star, kind="stable")
-            marks = star[order]
-            for own, centre, shingles in zip(*_numbers(centres, "star", "cid"), centres["shingles"]):
-                mine = order[np.searchsorted(marks, own) : np.searchsorted(marks, own, "right")]
+            for own, centre, others, shingles in zip(*_numbers(pack, "unit", "cid"), pack["others"], pack["shingles"]):
+                a, b = np.searchsorted(unit, own), np.searchsorted(unit, own, "right")
+                at = np.arange(a, b) if others.values is None else a + np.searchsorted(cid[a:b], np.sort(others.values.to_numpy()))
                 x = shingles.values.to_numpy().view(np.uint64)
-                for at in mine[np.argsort(comp[mine], kind="stable")]:
-                    if src and src[-1] == centre and joined == comp[at]:
-                        continue
-                    y = flat[bounds[at] : bounds[at + 1]]
-                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        src.append(centre)
-                        dst.append(cid[at])
-                        joined = comp[at]
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+                both = _overlaps(x, flat, bounds, at)
+                at = at[100 * both >= percent * (len(x) + bounds[at + 1] - bounds[at] - both)]
+                at = at[np.unique(comp[at], return_index=True)[1]]
+                src.append(np.full(len(at), centre))
+                dst.append(cid[at])
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst)]
+        return pa.table(columns, ["src", "dst"])
 
     return left.groupBy("bin").cogroup(right.groupBy("bin")).applyInArrow(check, "src bigint, dst bigint")
 
 
-def _first_stars(members: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest classes of its buckets, as far as sizes and bitmaps allow a link."""
+def _first_units(members: DataFrame, drawn: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Centres and members: the smallest class of each bucket with the bucket's others, as far as sizes and bitmaps allow a link."""
     pivots = members.groupBy("key").agg(F.min("cid").alias("pivot"))
     pairs = members.join(pivots, "key").where("cid != pivot").select("cid", "pivot").distinct()
     facts = ["n", "odd"]
     a = drawn.select("cid", *(F.col(c).alias(f"{c}_a") for c in facts))
     b = drawn.select(F.col("cid").alias("pivot"), *(F.col(c).alias(f"{c}_b") for c in facts))
     told = pairs.join(a, "cid").join(b, "pivot")
-    words_of_map = BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd = [_matrix(batch.column(c), words_of_map) for c in ("odd_a", "odd_b")]
+            odd = [_matrix(batch.column(c), BITS // 64) for c in ("odd_a", "odd_b")]
             near = _close(*odd, *_numbers(batch, "n_a", "n_b"), percent)
-            yield batch.select(["cid", "pivot"]).filter(pa.array(near))
+            kept = batch.filter(pa.array(near))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("cid", "pivot", "n_a")], ["cid", "pivot", "n"])
 
-    close = told.mapInArrow(run, "cid bigint, pivot bigint")
-    # The class is the star: a pivot of a hot bucket meets each class in the class's own row.
-    other = F.struct(F.col("pivot").alias("cid"), F.col("pivot").alias("comp"))
-    return close.groupBy("cid").agg(F.collect_list(other).alias("others"))
+    close = materialise(told.mapInArrow(run, "cid bigint, pivot bigint, n bigint"), "near-stars")
+    # A star of many members is dealt out over blocks.
+    size = close.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks"))
+    unit = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    dealt = materialise(close.join(size, "pivot").select(unit.alias("unit"), "cid", "pivot", "n"), "near-units")
+    centres = dealt.select("unit", F.col("pivot").alias("cid"), F.lit(None).cast("array<bigint>").alias("others")).distinct()
+    return centres, dealt.select("unit", "cid", F.col("cid").alias("comp"), "n")
 
 
-def _later_stars(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Candidates between different components of a bucket: every class outside the bucket's largest component with the others that may link."""
+def _later_units(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Centres and members between different components of a bucket: every class outside the bucket's largest component with the others that may link."""
     named = members.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     named = materialise(named, "near-named")
     shares = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -230,18 +243,19 @@ def _later_stars(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent
     left = live.select("key", "cid", "comp", spread("blocks", 1).alias("block"), every("packs").alias("pack"))
     right = live.where("comp != major").select("key", "cid", "comp", spread("packs", 2).alias("pack"), every("blocks").alias("block"))
     size = live.agg(F.count("*")).first()[0]
-    groups = max(1, size // 4096)
+    groups = max(1, size // 1024)
     unit = F.xxhash64("key", "block", "pack")
     told = lambda side: side.join(facts, "cid").select(F.pmod(unit, F.lit(groups)).alias("bin"), unit.alias("unit"), "key", "cid", "comp", "n", "keys", "odd")
 
     def compare(block: pa.Table, pack: pa.Table) -> pa.Table:
-        cids, stars = [], []
+        units, cids, comps, sizes, others = [], [], [], [], []
         if block.num_rows and pack.num_rows:
             unit_l, cid_l, comp_l, n_l = _numbers(block, "unit", "cid", "comp", "n")
             order = np.argsort(unit_l, kind="stable")
             marks = unit_l[order]
             keys_l, odd_l = _matrix(block["keys"], BANDS), _matrix(block["odd"], BITS // 64)
             keys_r, odd_r = _matrix(pack["keys"], BANDS), _matrix(pack["odd"], BITS // 64)
+            met = np.zeros(len(unit_l), bool)
             for i, (own, key, cid, comp, n) in enumerate(zip(*_numbers(pack, "unit", "key", "cid", "comp", "n"))):
                 mine = order[np.searchsorted(marks, own) : np.searchsorted(marks, own, "right")]
                 mine = mine[comp_l[mine] != comp]
@@ -250,15 +264,21 @@ def _later_stars(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent
                 same = keys_l[mine] == keys_r[i]
                 mine = mine[keys_r[i][same.argmax(axis=1)].view(np.int64) == key]
                 if len(mine):
-                    cids.append(cid)
-                    stars.append(mine)
-        sizes = np.append(0, np.cumsum([len(m) for m in stars])).astype(np.int32)
-        at = np.concatenate(stars) if stars else np.zeros(0, np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(cid_l[at] if len(at) else at, pa.int64()), pa.array(comp_l[at] if len(at) else at, pa.int64())], ["cid", "comp"])
-        return pa.table({"cid": pa.array(cids, pa.int64()), "others": pa.ListArray.from_arrays(pa.array(sizes), pairs)})
+                    met[mine] = True
+                    units.append(own), cids.append(cid), comps.append(comp), sizes.append(n), others.append(cid_l[mine])
+            held = np.flatnonzero(met)
+            units += unit_l[held].tolist()
+            cids += cid_l[held].tolist()
+            comps += comp_l[held].tolist()
+            sizes += n_l[held].tolist()
+            others += [None] * len(held)
+        columns = [pa.array(c, pa.int64()) for c in (units, cids, comps, sizes)]
+        return pa.table([*columns, pa.array(others, pa.list_(pa.int64()))], ["unit", "cid", "comp", "n", "others"])
 
     block, pack = told(left), told(right)
-    return block.groupBy("bin").cogroup(pack.toDF(*pack.columns).groupBy("bin")).applyInArrow(compare, "cid bigint, others array<struct<cid:bigint,comp:bigint>>")
+    found = block.groupBy("bin").cogroup(pack.toDF(*pack.columns).groupBy("bin")).applyInArrow(compare, "unit bigint, cid bigint, comp bigint, n bigint, others array<bigint>")
+    found = materialise(found, "near-units")
+    return found.where("others is not null").select("unit", "cid", "others"), found.where("others is null").drop("others")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,9 +297,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # Rows of one id are one document: their classes are linked from the start.
     held = own.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
     known = own.join(held.select("doc_id", "low"), "doc_id").select(F.col("class").alias("src"), F.col("low").alias("dst"))
-    edges = materialise(known.union(_links(_first_stars(members, drawn, percent), sets, percent)), "near-links")
+    edges = materialise(known.union(_links(*_first_units(members, drawn, percent), sets, percent)), "near-links")
     parts = connected_components(edges)
-    more = _links(_later_stars(members, drawn, parts, percent), sets, percent)
+    more = _links(*_later_units(members, drawn, parts, percent), sets, percent)
     parts = materialise(connected_components(edges.union(more)), "near-parts")
     named = own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialise(named.select("doc_id", "n", "component"), "near-labels")
