@@ -1,4 +1,4 @@
-"""Components by both ways against a plain search."""
+"""Components against a plain search, in one partition and in many."""
 
 import random
 
@@ -7,15 +7,18 @@ import pytest
 from kerbline.operators import graph
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
-def test_components(spark, monkeypatch, bound):
-    monkeypatch.setattr(graph, "ONE_TASK_EDGES", bound)
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_components(spark, partitions):
     rng = random.Random(1)
-    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(9)] + [(5, 5), (None, 3)]
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5), (None, 3)]
     label = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
     for _ in label:
         for a, b in edges:
             if a in label and b in label:
                 label[a] = label[b] = min(label[a], label[b])
-    got = graph.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"))
+    frame = spark.createDataFrame(edges, "src bigint, dst bigint").repartition(partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(partitions == 1).lower())
+    got = graph.connected_components(frame)
     assert {r["node"]: r["component"] for r in got.collect()} == label
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert graph.connected_components(frame.where("false")).count() == 0
