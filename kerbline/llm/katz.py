@@ -78,8 +78,8 @@ def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
     """(block, tokens, uids, ids, folds, packed, words) of at most about ``limit`` tokens each; a long document runs through several blocks.
 
-    ``packed`` holds the tokens' places in the block's dictionary, the tokens of each document and the context of the first token;
-    ``words`` the dictionary with its training counts.
+    ``packed`` holds the tokens' places in the block's dictionary, the tokens of each document, and as marks the first token's context, the
+    place of the end token and the size of the dictionary; ``words`` is the dictionary with its training counts.
     """
     uid, seq = TaskContext.get().partitionId() << 40, 0
     held: list[tuple] = []
@@ -90,18 +90,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple]:
         if not held:
             return
         hashes, docs = (np.concatenate(x) for x in zip(*held))
-        for at in range(0, len(hashes), limit):
-            own = docs[at : at + limit]
+        step = -(-len(hashes) // max(1, round(len(hashes) / limit)))
+        for at in range(0, len(hashes), step):
+            own = docs[at : at + step]
             begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             run, names = np.diff(np.append(begin, len(own))), own[begin].tolist()
             goes_on = at > 0 and docs[at - 1] == docs[at]
             # Each block asks for the end token, whose count is that of the start mark too.
-            known, place = np.unique(np.append(hashes[at : at + limit], [hashes[at - 1] if goes_on else _END, _END]), return_inverse=True)
+            known, place = np.unique(np.append(hashes[at : at + step], [hashes[at - 1] if goes_on else _END, _END]), return_inverse=True)
             first = place[-2] if goes_on else len(known)
             folds = [facts[d][1] for d in names]
             train = np.bincount(place[:-2], np.repeat(~np.array(folds, bool), run), minlength=len(known)).astype(np.int64)
-            packed = _pack(token=place[:-2], run=run, first=np.array([first]))
-            yield uid + seq, len(own), names, [facts[d][0] for d in names], folds, packed, _pack(word=known, c=train)
+            packed = _pack(token=place[:-2], run=run, marks=np.array([first, place[-1], len(known)]))
+            yield uid + seq, len(own), names, [facts[d][0] for d in names], folds, packed, _pack(word=np.diff(known, prepend=np.uint64(0)), c=train)
             seq += 1
         held, facts = [], {}
 
@@ -156,15 +157,17 @@ def numbered_words(blocks: DataFrame, homes: int) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 d = _unpack(data.as_py(), "word", "c")
-                home = (mix(d["word"].view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+                word = np.cumsum(d["word"].view(np.uint64))
+                home = (mix(word) % np.uint64(homes)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 edge = np.searchsorted(home[order], np.arange(homes + 1))
-                rows = [(block, h, _pack(word=d["word"][order[a:b]], c=d["c"][order[a:b]])) for h, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b]
+                own = [(h, order[a:b]) for h, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if a < b]
+                rows = [(block, h, _pack(word=np.diff(word[x], prepend=np.uint64(0)), at=np.diff(x, prepend=0), c=d["c"][x])) for h, x in own]
                 yield _batch(rows, block=pa.int64(), home=pa.int64(), packed=pa.binary())
 
     def number(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py(), "word", "c") for x in table["packed"]]
-        known, at = np.unique(np.concatenate([x["word"].view(np.uint64) for x in parts]), return_inverse=True)
+        parts = [_unpack(x.as_py(), "word", "at", "c") for x in table["packed"]]
+        known, at = np.unique(np.concatenate([np.cumsum(x["word"].view(np.uint64)) for x in parts]), return_inverse=True)
         count = np.bincount(at, np.concatenate([x["c"] for x in parts]), minlength=len(known)).astype(np.int64)
         home = table["home"][0].as_py()
         name = np.empty(len(known), np.int64)
@@ -174,32 +177,29 @@ def numbered_words(blocks: DataFrame, homes: int) -> DataFrame:
             own = at[start : start + len(x["word"])]
             start += len(x["word"])
             first = not rows
-            rows.append((block, home, _pack(name=name[own], c=count[own]), int(count.sum()) if first else 0, int((count > 0).sum()) if first else 0))
+            rows.append((block, home, _pack(at=x["at"], name=name[own], c=count[own]), int(count.sum()) if first else 0, int((count > 0).sum()) if first else 0))
         return pa.Table.from_batches([_batch(rows, **_NUMBERED)])
 
     asked = blocks.select("block", "words").mapInArrow(ask, "block bigint, home bigint, packed binary")
     return asked.groupBy("home").applyInArrow(number, "block bigint, home bigint, packed binary, n bigint, v bigint")
 
 
-def _dealt(block: dict, homes: int, parts: int, total: float, hot_from: int) -> Iterator[tuple[int, int, bytes]]:
+def _dealt(block: dict, parts: int, total: float, hot_from: int) -> Iterator[tuple[int, int, bytes]]:
     """(part, first uid, packed triples) of a block, and a part below 0 with its documents' facts."""
-    d = _unpack(block["words"], "word", "c")
-    home = (mix(d["word"].view(np.uint64)) % np.uint64(homes)).astype(np.int64)
-    size = len(home) + 1
+    body = _unpack(block["packed"], "token", "run", "marks")
+    token, run = body["token"], body["run"]
+    first, end, size = body["marks"].tolist()
     # The start mark has number 0 and the place after the dictionary; there are as many as end tokens.
+    size += 1
     name, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    order, at = np.argsort(home, kind="stable"), 0
-    for part in sorted(block["told"], key=lambda x: x["home"]):
-        x = _unpack(part["packed"], "name", "c")
-        own = order[at : at + len(x["name"])]
+    for part in block["told"]:
+        x = _unpack(part, "at", "name", "c")
+        own = np.cumsum(x["at"])
         name[own], count[own] = x["name"], x["c"]
-        at += len(own)
-    body = _unpack(block["packed"], "token", "run", "first")
-    token, run = body["token"], body["run"]
     begin = np.cumsum(run) - run
     context = np.append(0, token[:-1])
     context[begin] = size - 1
-    context[0] = body["first"][0]
+    context[0] = first
     docs = np.array(block["uids"], np.int64)
     number = np.repeat(np.arange(len(docs)), run)
     held = np.array(block["folds"], bool)
@@ -209,7 +209,7 @@ def _dealt(block: dict, homes: int, parts: int, total: float, hot_from: int) ->
         n_tokens=run, n_known=np.bincount(number, count[token] > 0, minlength=len(docs)).astype(np.int64), base=np.bincount(number, base[token], minlength=len(docs)),
     )
     hot = count >= hot_from
-    hot[-1] = hot[np.searchsorted(d["word"].view(np.uint64), _END)]
+    hot[-1] = hot[end]
     key = mix(name.astype(np.uint64))
     place = key[context]
     spread = hot[context]
@@ -253,6 +253,11 @@ def _fives(values: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(values.astype(np.int64).ravel()), MAX_DISCOUNT).cast(pa.list_(pa.int64()))
 
 
+def _narrow(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The record arrays of a piece as 32-bit numbers."""
+    return arrays | {k: arrays[k].astype(np.int32) for k in ("run", "token", "doc", "n")}
+
+
 def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     """N-grams, contexts and shares of one part. ``n_words`` is N + V + 1."""
     out = []
@@ -263,7 +268,7 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
             ids = pa.array((f["doc_id"].view(np.uint64) - np.uint64(1 << 63)).view(np.int64), mask=f["null"].astype(bool))
             out.append(_rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"]))
         return pa.Table.from_batches(out)
-    pieces = [_unpack(d.as_py(), *_PART) for d in table["packed"]]
+    pieces = [_narrow(_unpack(d.as_py(), *_PART)) for d in table["packed"]]
     first = table["first"].to_pylist()
     join = lambda f: np.concatenate([f(x, low) for x, low in zip(pieces, first)])
     w1, at1 = np.unique(join(lambda x, _: np.cumsum(x["w1"])), return_inverse=True)
@@ -271,12 +276,13 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     c2, hot = np.zeros(len(w2), np.int64), np.zeros(len(w1), bool)
     c2[at2], hot[at1] = join(lambda x, _: x["c2"]), join(lambda x, _: x["hot"]).astype(bool)
     off2 = np.cumsum([0, *(len(x["w2"]) for x in pieces)])
-    context = np.repeat(at1, join(lambda x, _: x["run"])).astype(np.int32)
-    word = at2[np.concatenate([x["token"] + o for x, o in zip(pieces, off2)])].astype(np.int32)
-    docs, doc = np.unique(join(lambda x, low: x["doc"] // 2 + low), return_inverse=True)
-    doc = doc.astype(np.int32)
-    trains = join(lambda x, _: x["doc"]) % 2 == 0
-    n = join(lambda x, _: x["n"]).astype(np.int32)
+    at1, at2 = at1.astype(np.int32), at2.astype(np.int32)
+    context = np.repeat(at1, join(lambda x, _: x["run"]))
+    word = np.concatenate([at2[x["token"] + o] for x, o in zip(pieces, off2)])
+    docs = np.unique(np.concatenate([np.unique(x["doc"]) // 2 + np.int64(low) for x, low in zip(pieces, first)]))
+    doc = np.concatenate([np.searchsorted(docs, x["doc"] // 2 + np.int64(low)).astype(np.int32) for x, low in zip(pieces, first)])
+    trains = join(lambda x, _: x["doc"] % 2 == 0)
+    n = join(lambda x, _: x["n"])
     del pieces, at1, at2
     key = context.astype(np.int64) * len(w2) + word
     order = np.argsort(key, kind="stable")
@@ -285,8 +291,9 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     del key
     context, word, doc, trains, n = (x[order] for x in (context, word, doc, trains, n))
     del order
-    r = np.add.reduceat(np.where(trains, n, 0), start, dtype=np.int64)
-    count = np.repeat(r, np.diff(np.append(start, len(context))))
+    r_all = r = np.add.reduceat(np.where(trains, n, 0), start, dtype=np.int64)
+    runs = np.diff(np.append(start, len(context)))
+    count = np.repeat(r.astype(np.int32), runs)
     # Contexts over the bigrams seen in training.
     seen = r > 0
     v, w, r = context[start][seen], word[start][seen], r[seen]
@@ -306,7 +313,11 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     out.append(_rows(COUNTED, MAX_DISCOUNT + 1, c1=np.arange(1, MAX_DISCOUNT + 2), n=counts))
     # Tokens: a seen bigram by its count, an unseen one by its word and its context's weight.
     met = count > 0
-    fixed = np.where(met, np.where(count > MAX_DISCOUNT, np.log10(np.maximum(count, 1)), 0.0) - np.where(hot[context], 0.0, np.log10(np.maximum(whole[context], 1))), np.log10(p[word])) * n
+    of_count = np.log10(np.maximum(r_all, 1)) * (r_all > MAX_DISCOUNT)
+    of_context = np.where(hot, 0.0, np.log10(np.maximum(whole, 1)))
+    fixed = np.log10(p)[word]
+    fixed[met] = np.repeat(of_count, runs)[met] - of_context[context[met]]
+    fixed *= n
     hist = np.stack([np.bincount(doc, np.where(count == k, n, 0), minlength=len(docs)) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
     out.append(_rows(SHARE, len(docs), uid=docs, fixed=np.bincount(doc, fixed, minlength=len(docs)), m=_fives(hist)))
     for kind, pick in ((UNSEEN, ~met & (hot[context] | (c1[context] > 0))), (SEEN_HOT, met & hot[context])):
@@ -340,15 +351,15 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
     numbered = materialise(numbered_words(blocks, parts), "katz-words")
     n, v = numbered.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     total = float(n + v + 1)
-    told = numbered.groupBy("block").agg(F.collect_list(F.struct("home", "packed")).alias("told"))
+    told = numbered.groupBy("block").agg(F.collect_list("packed").alias("told"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, parts, total, part_tokens // 4):
+                for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, total, part_tokens // 4):
                     yield _batch([dealt], part=pa.int64(), first=pa.int64(), packed=pa.binary())
 
-    packed = blocks.drop("tokens").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
+    packed = blocks.drop("tokens", "words").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
     found = packed.groupBy("part").applyInArrow(lambda t: _evaluate(t, total), _TABLE)
     found.write.option("compression", "zstd").partitionBy("kind").parquet(target)
     return n, v
@@ -387,14 +398,11 @@ def scores(spark: SparkSession, target: str) -> DataFrame:
     wanted = of(CONTEXT).join(hot.select("w1").distinct(), "w1", "left_semi").groupBy("w1").agg(*sums, each)
     told = hot.join(wanted.select("w1", weight.alias("weight"), F.log10(whole).alias("whole")), "w1", "left")
     told = told.select("uid", F.coalesce(F.col("n") * F.when(F.col("backs"), F.col("weight")).otherwise(-F.col("whole")), F.lit(0.0)).alias("score"))
-    none = lambda kind: F.lit(None).cast(kind)
-    parts = shares.unionAll(unseen).unionAll(told).select("uid", none("bigint").alias("doc_id"), none("boolean").alias("held_out"), none("bigint").alias("n"), none("bigint").alias("c1"), none("double").alias("fixed"), "score")
-    facts = of(FACT).select("uid", "doc_id", "held_out", "n", "c1", "fixed", F.lit(0.0).alias("score"))
-    summed = facts.unionAll(parts).groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("c1").alias("n_known"),
-        F.sum("fixed").alias("base_score"), F.sum("score").alias("score"),
+    score = shares.unionAll(unseen).unionAll(told).groupBy("uid").agg(F.sum("score").alias("score"))
+    facts = of(FACT).groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("c1").alias("n_known"), F.sum("fixed").alias("base_score")
     )
-    return summed.drop("uid")
+    return facts.join(score, "uid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop("uid")
 
 
 def katz_scores(df: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
