@@ -38,25 +38,37 @@ WITH RECURSIVE state AS (
     UNION ALL
     SELECT place, CASE WHEN place = spot THEN made ELSE tok END, round + 1
     FROM (
-        SELECT s.place, s.tok, s.round, s.before, b.word * 65536 + b.best % 65536 AS spot, b.best // 65536 AS made
+        SELECT s.place, s.tok, s.round, s.before, b.word * 65536 + (b.best & 65535) AS spot, b.best >> 16 AS made
         FROM (SELECT *, lag(place) OVER (ORDER BY place) AS before FROM state) s
         JOIN (
-            SELECT p.place // 65536 AS word, min(m.made * 65536 + p.place % 65536) AS best
+            SELECT p.place >> 16 AS word, min(m.made * 65536 + (p.place & 65535)) AS best
             FROM (SELECT place, tok, lead(tok) OVER w AS following, lead(place) OVER w AS after FROM state WINDOW w AS (ORDER BY place)) p
             JOIN merges m ON m.pair = p.tok * 65536 + p.following
-            WHERE p.after // 65536 = p.place // 65536
+            WHERE (p.after >> 16) = (p.place >> 16)
             GROUP BY 1
-        ) b ON b.word = s.place // 65536
+        ) b ON b.word = (s.place >> 16)
     )
     WHERE before IS NULL OR before <> spot
 )
-SELECT place // 65536 AS word, list(tok ORDER BY place) AS ids
-FROM state JOIN (SELECT place // 65536 AS word, max(round) AS round FROM state GROUP BY 1) l ON l.word = place // 65536 AND l.round = state.round
-GROUP BY 1
+SELECT place, tok FROM state
+JOIN (SELECT place >> 16 AS word, max(round) AS round FROM state GROUP BY 1) l ON l.word = (place >> 16) AND l.round = state.round
+ORDER BY place
 """
 _DECODE = "SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab v USING (tok) GROUP BY doc"
 
 
+class _Numbers(dict):
+    """Numbers its keys as they come, and lists those that came since the list was last emptied."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+
 class ByteBpe:
     """Encoder and decoder over one DuckDB connection of a Python worker."""
 
@@ -114,9 +126,8 @@ class ByteBpe:
         word = np.repeat(np.arange(len(raws)), size)
         pos = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
         self._table("start", (word, pos, np.array(self.single)[np.frombuffer(b"".join(raws), np.uint8)]), ("word", "pos", "tok"))
-        found = self.db.sql(_CONTRACT + "ORDER BY 1").to_arrow_table()
-        lists = found["ids"].combine_chunks()
-        return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        found = self.db.sql(_CONTRACT).to_arrow_table()
+        return found["tok"].to_numpy(), np.bincount(found["place"].to_numpy() >> 16, minlength=len(raws))
 
     def contract(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece) of distinct pre-tokens, one after another."""
@@ -143,16 +154,15 @@ class ByteBpe:
     def encode(self, texts: list[str | None], cache: dict) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit arrays; ``cache`` keeps the pieces met, their ids and where these begin."""
         if not cache:
-            cache.update(place={}, ids=np.zeros(0, np.uint32), bound=np.zeros(1, np.int64))
+            cache.update(place=_Numbers(), ids=np.zeros(0, np.uint32), bound=np.zeros(1, np.int64))
         place, lists = cache["place"], [self.pattern.findall(t) if t else [] for t in texts]
-        new = [p for p in dict.fromkeys(chain.from_iterable(lists)) if p not in place]
-        if new:
-            ids, size = self.contract(new)
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            cache["bound"] = np.append(cache["bound"], cache["bound"][-1] + np.cumsum(size))
-            cache["ids"] = np.append(cache["ids"], ids)
         n = np.array(list(map(len, lists)), np.int64)
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        if place.fresh:
+            ids, size = self.contract(place.fresh)
+            cache["bound"] = np.append(cache["bound"], cache["bound"][-1] + np.cumsum(size))
+            cache["ids"] = np.append(cache["ids"], ids)
+            place.fresh = []
         first = cache["bound"][at]
         size = cache["bound"][at + 1] - first
         before = np.cumsum(size) - size
