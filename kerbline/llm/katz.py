@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import mix, remainder, words
 from kerbline.runtime import materialise, scratch
 
-MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS = 5, 1 << 21, 3 << 20
+MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK = 5, 1 << 21, 1 << 21, 4
 _START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 NGRAM, CONTEXT, SHARE, UNSEEN, SEEN_HOT, FACT, COUNTED = "ngram", "context", "share", "unseen", "seen_hot", "fact", "counted"
@@ -258,18 +258,45 @@ def _narrow(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return arrays | {k: arrays[k].astype(np.int32) for k in ("run", "token", "doc", "n")}
 
 
-def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
+class Shares:
+    """The documents' shares of several parts, added up until they are many."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.held, self.size, self.most = [], 0, most
+
+    def add(self, docs: np.ndarray, fixed: np.ndarray, hist: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((docs, fixed, hist))
+        self.size += len(docs)
+        if self.size > 2 * self.most:
+            self._merge()
+            if self.size > self.most:
+                yield from self.flush()
+
+    def _merge(self) -> None:
+        docs, at = np.unique(np.concatenate([d for d, _, _ in self.held]), return_inverse=True)
+        fixed = np.bincount(at, np.concatenate([f for _, f, _ in self.held]), minlength=len(docs))
+        hist = np.concatenate([h for _, _, h in self.held])
+        self.held = [(docs, fixed, np.stack([np.bincount(at, hist[:, k], minlength=len(docs)) for k in range(MAX_DISCOUNT)], axis=1))]
+        self.size = len(docs)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._merge()
+            docs, fixed, hist = self.held[0]
+            yield _rows(SHARE, len(docs), uid=docs, fixed=fixed, m=_fives(hist))
+            self.held, self.size = [], 0
+
+
+def _facts(data: bytes) -> pa.RecordBatch:
+    f = _unpack(data, *_FACT)
+    ids = pa.array((f["doc_id"].view(np.uint64) - np.uint64(1 << 63)).view(np.int64), mask=f["null"].astype(bool))
+    return _rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"])
+
+
+def _evaluate(first: list[int], packed: list[bytes], n_words: float, shares: Shares) -> Iterator[pa.RecordBatch]:
     """N-grams, contexts and shares of one part. ``n_words`` is N + V + 1."""
     out = []
-    part = table["part"][0].as_py()
-    if part < 0:
-        for data in table["packed"]:
-            f = _unpack(data.as_py(), *_FACT)
-            ids = pa.array((f["doc_id"].view(np.uint64) - np.uint64(1 << 63)).view(np.int64), mask=f["null"].astype(bool))
-            out.append(_rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"]))
-        return pa.Table.from_batches(out)
-    pieces = [_narrow(_unpack(d.as_py(), *_PART)) for d in table["packed"]]
-    first = table["first"].to_pylist()
+    pieces = [_narrow(_unpack(d, *_PART)) for d in packed]
     join = lambda f: np.concatenate([f(x, low) for x, low in zip(pieces, first)])
     w1, at1 = np.unique(join(lambda x, _: np.cumsum(x["w1"])), return_inverse=True)
     w2, at2 = np.unique(join(lambda x, _: np.cumsum(x["w2"])), return_inverse=True)
@@ -319,7 +346,7 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
     fixed[met] = np.repeat(of_count, runs)[met] - of_context[context[met]]
     fixed *= n
     hist = np.stack([np.bincount(doc, np.where(count == k, n, 0), minlength=len(docs)) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
-    out.append(_rows(SHARE, len(docs), uid=docs, fixed=np.bincount(doc, fixed, minlength=len(docs)), m=_fives(hist)))
+    yield from shares.add(docs, np.bincount(doc, fixed, minlength=len(docs)), hist)
     for kind, pick in ((UNSEEN, ~met & (hot[context] | (c1[context] > 0))), (SEEN_HOT, met & hot[context])):
         pair, n_pair = np.unique(context[pick].astype(np.int64) * len(docs) + doc[pick], return_inverse=True)
         total = np.bincount(n_pair, n[pick], minlength=len(pair)).astype(np.int64)
@@ -328,7 +355,7 @@ def _evaluate(table: pa.Table, n_words: float) -> pa.Table:
         own = dict(c1=c1[x], big=big[x], p_seen=p_seen[x], m=_fives(m[x]))
         masked = {k: pa.compute.if_else(there, pa.nulls(len(x), _ARROW.field(k).type), a if isinstance(a, pa.Array) else pa.array(a)) for k, a in own.items()}
         out.append(_rows(kind, len(x), uid=docs[d], w1=w1[x], n=total, **masked))
-    return pa.Table.from_batches(out)
+    yield from out
 
 
 def discounts(counts: dict[int, int], limit: int = MAX_DISCOUNT) -> list[float]:
@@ -360,7 +387,28 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
                     yield _batch([dealt], part=pa.int64(), first=pa.int64(), packed=pa.binary())
 
     packed = blocks.drop("tokens", "words").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
-    found = packed.groupBy("part").applyInArrow(lambda t: _evaluate(t, total), _TABLE)
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by part; one part is held at a time.
+        shares, part, first, held = Shares(), -1, [], []
+        for batch in batches:
+            for p, low, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if p < 0:
+                    yield _facts(data.as_py())
+                    continue
+                if p != part and held:
+                    yield from _evaluate(first, held, total, shares)
+                    first, held = [], []
+                part = p
+                first.append(low)
+                held.append(data.as_py())
+        if held:
+            yield from _evaluate(first, held, total, shares)
+        yield from shares.flush()
+
+    # A task goes through several parts and adds up its documents' shares over them.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS_PER_TASK))
+    found = packed.repartition(tasks, F.xxhash64("part")).sortWithinPartitions("part").mapInArrow(evaluate, _TABLE)
     found.write.option("compression", "zstd").partitionBy("kind").parquet(target)
     return n, v
 
