@@ -2,18 +2,18 @@
 
 Words and the end token are 64-bit hashes; the first token's context is a start mark. Seen bigrams of count r up to ``MAX_DISCOUNT`` are
 discounted by d_r; a discount outside (0, 1), as sparse counts of counts give, is replaced by (r - 0.5) / r. A context whose counts are all
-above that limit reserves one count, so that its backoff mass is never zero. The mass a context holds back is dealt out over the words it was
+above that limit, and any of ``RESERVE_FROM`` or more tokens, reserves one count, so that its backoff mass is never zero. The mass a context holds back is dealt out over the words it was
 not seen with, in proportion to (c + 1) / (N + V + 1); the weight divides by exactly their total.
 
 1. Documents become blocks of word numbers with a dictionary each, written down once.
 2. The dictionaries are dealt out by word: words get global numbers, small ones for frequent words, and training counts, which go back
    to the blocks.
 3. A block's distinct (context, word, document) triples are dealt out by context as packed arrays, with the words' counts. A context of more
-   than ``PART_TOKENS`` / 4 tokens is dealt out by context and word, so no part has to hold it whole.
+   than ``PART_TOKENS`` / 2 tokens is dealt out by context and word, so no part has to hold it whole.
 4. A part adds up its bigrams and evaluates each token: a seen bigram needs only its count, an unseen one goes on to the word's
    count. The n-grams, the hot contexts' sums and the documents' shares are written as one table, partitioned by kind. Discounts are not
-   known yet, so a share holds how many tokens met a bigram of count 1, 2 and so on.
-5. With the counts of counts, each share becomes a number; shares of hot contexts are joined with their summed contexts.
+   known yet, so a share holds how many tokens met a bigram of count 1, 2 and so on. A hot context's total is its word's count.
+5. With the counts of counts, each share becomes a number; unseen bigrams of hot contexts are joined with their summed contexts.
 
 Only the counts of counts and three totals reach the driver, and nothing is broadcast.
 
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import mix, remainder, words
 from kerbline.runtime import materialise, scratch
 
-MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK = 5, 1 << 21, 1 << 21, 4
+MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK, RESERVE_FROM = 5, 3 << 19, 1 << 21, 4, 1000
 _START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-NGRAM, CONTEXT, SHARE, UNSEEN, SEEN_HOT, FACT, COUNTED = "ngram", "context", "share", "unseen", "seen_hot", "fact", "counted"
+NGRAM, CONTEXT, SHARE, UNSEEN, FACT, COUNTED = "ngram", "context", "share", "unseen", "fact", "counted"
 _TABLE = "kind string, uid bigint, doc_id bigint, held_out boolean, w1 bigint, w2 bigint, n bigint, c1 bigint, big bigint, p_seen double, fixed double, m array<bigint>, packed binary"
 _ARROW = pa.schema(
     [("kind", pa.string()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())]
@@ -208,8 +208,9 @@ def _dealt(block: dict, parts: int, total: float, hot_from: int) -> Iterator[tup
         uid=docs, doc_id=np.array([(i or 0) + (1 << 63) for i in block["ids"]], np.uint64), null=np.array([i is None for i in block["ids"]], np.uint8), held=held.astype(np.uint8),
         n_tokens=run, n_known=np.bincount(number, count[token] > 0, minlength=len(docs)).astype(np.int64), base=np.bincount(number, base[token], minlength=len(docs)),
     )
-    hot = count >= hot_from
-    hot[-1] = hot[end]
+    context_size = count.copy()
+    context_size[-1] = count[end]
+    hot = context_size >= hot_from
     key = mix(name.astype(np.uint64))
     place = key[context]
     spread = hot[context]
@@ -235,7 +236,7 @@ def _dealt(block: dict, parts: int, total: float, hot_from: int) -> Iterator[tup
         known, place = np.unique(token[a:b], return_inverse=True)
         w2 = by_name[known]
         yield int(part[a]), low, _pack(
-            w1=np.diff(name[w1], prepend=0), hot=hot[w1].astype(np.uint8), run=np.diff(np.append(begin, b)),
+            w1=np.diff(name[w1], prepend=0), hot=np.where(hot[w1], context_size[w1], 0), run=np.diff(np.append(begin, b)),
             w2=np.diff(name[w2], prepend=0), c2=count[w2], token=place, doc=doc[a:b], n=n[a:b],
         )
 
@@ -293,15 +294,16 @@ def _facts(data: bytes) -> pa.RecordBatch:
     return _rows(FACT, len(f["uid"]), uid=f["uid"], doc_id=ids, held_out=f["held"].astype(bool), n=f["n_tokens"], c1=f["n_known"], fixed=f["base"])
 
 
-def _evaluate(first: list[int], packed: list[bytes], n_words: float, shares: Shares) -> Iterator[pa.RecordBatch]:
+def _evaluate(first: list[int], packed: list[bytes], n_words: float, reserve_from: int, shares: Shares) -> Iterator[pa.RecordBatch]:
     """N-grams, contexts and shares of one part. ``n_words`` is N + V + 1."""
     out = []
     pieces = [_narrow(_unpack(d, *_PART)) for d in packed]
     join = lambda f: np.concatenate([f(x, low) for x, low in zip(pieces, first)])
     w1, at1 = np.unique(join(lambda x, _: np.cumsum(x["w1"])), return_inverse=True)
     w2, at2 = np.unique(join(lambda x, _: np.cumsum(x["w2"])), return_inverse=True)
-    c2, hot = np.zeros(len(w2), np.int64), np.zeros(len(w1), bool)
-    c2[at2], hot[at1] = join(lambda x, _: x["c2"]), join(lambda x, _: x["hot"]).astype(bool)
+    c2, size = np.zeros(len(w2), np.int64), np.zeros(len(w1), np.int64)
+    c2[at2], size[at1] = join(lambda x, _: x["c2"]), join(lambda x, _: x["hot"])
+    hot = size > 0
     off2 = np.cumsum([0, *(len(x["w2"]) for x in pieces)])
     at1, at2 = at1.astype(np.int32), at2.astype(np.int32)
     context = np.repeat(at1, join(lambda x, _: x["run"]))
@@ -329,7 +331,9 @@ def _evaluate(first: list[int], packed: list[bytes], n_words: float, shares: Sha
     per = lambda weight=None, pick=slice(None): np.bincount(v[pick], None if weight is None else weight[pick], minlength=len(w1))
     c1, big, p_seen = per(r).astype(np.int64), per(np.where(some, 0, r)).astype(np.int64), per(p[w])
     m = np.stack([per(pick=r == k) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
-    whole = c1 + (big == c1)
+    # A hot context is in several parts; its total is its word's count.
+    whole = np.where(hot, size, c1)
+    whole = whole + (hot | (whole >= reserve_from) | (big == c1))
     # The part's n-gram table: contexts, how many words each was seen with, the words and the counts.
     held, run = np.unique(v, return_counts=True)
     packed = _pack(w1=np.diff(w1[held], prepend=0), run=run, w2=w2[w], r=r)
@@ -341,20 +345,20 @@ def _evaluate(first: list[int], packed: list[bytes], n_words: float, shares: Sha
     # Tokens: a seen bigram by its count, an unseen one by its word and its context's weight.
     met = count > 0
     of_count = np.log10(np.maximum(r_all, 1)) * (r_all > MAX_DISCOUNT)
-    of_context = np.where(hot, 0.0, np.log10(np.maximum(whole, 1)))
+    of_context = np.log10(np.maximum(whole, 1))
     fixed = np.log10(p)[word]
     fixed[met] = np.repeat(of_count, runs)[met] - of_context[context[met]]
     fixed *= n
     hist = np.stack([np.bincount(doc, np.where(count == k, n, 0), minlength=len(docs)) for k in range(1, MAX_DISCOUNT + 1)], axis=1)
     yield from shares.add(docs, np.bincount(doc, fixed, minlength=len(docs)), hist)
-    for kind, pick in ((UNSEEN, ~met & (hot[context] | (c1[context] > 0))), (SEEN_HOT, met & hot[context])):
-        pair, n_pair = np.unique(context[pick].astype(np.int64) * len(docs) + doc[pick], return_inverse=True)
-        total = np.bincount(n_pair, n[pick], minlength=len(pair)).astype(np.int64)
-        x, d = np.divmod(pair, max(1, len(docs)))
-        there = pa.array(hot[x])
-        own = dict(c1=c1[x], big=big[x], p_seen=p_seen[x], m=_fives(m[x]))
-        masked = {k: pa.compute.if_else(there, pa.nulls(len(x), _ARROW.field(k).type), a if isinstance(a, pa.Array) else pa.array(a)) for k, a in own.items()}
-        out.append(_rows(kind, len(x), uid=docs[d], w1=w1[x], n=total, **masked))
+    pick = ~met & (hot[context] | (c1[context] > 0))
+    pair, n_pair = np.unique(context[pick].astype(np.int64) * len(docs) + doc[pick], return_inverse=True)
+    times = np.bincount(n_pair, n[pick], minlength=len(pair)).astype(np.int64)
+    x, d = np.divmod(pair, max(1, len(docs)))
+    there = pa.array(hot[x])
+    own = dict(c1=c1[x], big=big[x], p_seen=p_seen[x], m=_fives(m[x]))
+    masked = {k: pa.compute.if_else(there, pa.nulls(len(x), _ARROW.field(k).type), a if isinstance(a, pa.Array) else pa.array(a)) for k, a in own.items()}
+    out.append(_rows(UNSEEN, len(x), uid=docs[d], w1=w1[x], n=times, **masked))
     yield from out
 
 
@@ -370,7 +374,7 @@ def discounts(counts: dict[int, int], limit: int = MAX_DISCOUNT) -> list[float]:
     return out
 
 
-def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> tuple[int, int]:
+def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS, reserve_from: int = RESERVE_FROM) -> tuple[int, int]:
     """Write the model's tables and the documents' shares below ``target``, by kind; returns N and V."""
     blocks = materialise(corpus_blocks(_source(df, folds, held), block_tokens), "katz-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -383,7 +387,7 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, total, part_tokens // 4):
+                for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, total, max(part_tokens // 2, reserve_from)):
                     yield _batch([dealt], part=pa.int64(), first=pa.int64(), packed=pa.binary())
 
     packed = blocks.drop("tokens", "words").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
@@ -397,13 +401,13 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
                     yield _facts(data.as_py())
                     continue
                 if p != part and held:
-                    yield from _evaluate(first, held, total, shares)
+                    yield from _evaluate(first, held, total, reserve_from, shares)
                     first, held = [], []
                 part = p
                 first.append(low)
                 held.append(data.as_py())
         if held:
-            yield from _evaluate(first, held, total, shares)
+            yield from _evaluate(first, held, total, reserve_from, shares)
         yield from shares.flush()
 
     # A task goes through several parts and adds up its documents' shares over them.
@@ -426,7 +430,7 @@ def ngrams(spark: SparkSession, target: str) -> DataFrame:
     return table.select("packed").mapInArrow(run, "w1 bigint, w2 bigint, n bigint")
 
 
-def scores(spark: SparkSession, target: str) -> DataFrame:
+def scores(spark: SparkSession, target: str, reserve_from: int = RESERVE_FROM) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) from the tables below ``target``."""
     fields = _TABLE.removeprefix("kind string, ")
     table = spark.read.schema(f"{fields}, kind string").parquet(target)
@@ -435,17 +439,16 @@ def scores(spark: SparkSession, target: str) -> DataFrame:
     kept = [r * d for r, d in enumerate(discounts(counts), 1)]
     total = lambda values: sum((F.col("m")[k] * F.lit(float(x)) for k, x in enumerate(values)), F.lit(0.0))
     mass = F.col("big") + total(kept)
-    whole = F.col("c1") + F.when(F.col("big") == F.col("c1"), 1.0).otherwise(0.0)
+    whole = F.col("c1") + F.when((F.col("big") == F.col("c1")) | (F.col("c1") >= reserve_from), 1.0).otherwise(0.0)
     weight = F.log10((1 - mass / whole) / (1 - F.col("p_seen")))
     shares = of(SHARE).select("uid", (F.col("fixed") + total(np.log10(kept))).alias("score"))
     unseen = of(UNSEEN).where("c1 is not null").select("uid", (F.col("n") * weight).alias("score"))
     # Hot contexts lie in several parts: their sums are joined with what the documents need of them.
-    hot = table.where(F.col("kind").isin(SEEN_HOT, UNSEEN) & F.col("c1").isNull()).select("uid", "w1", "n", (F.col("kind") == UNSEEN).alias("backs"))
+    hot = of(UNSEEN).where("c1 is null").select("uid", "w1", "n")
     sums = [F.sum(c).alias(c) for c in ("c1", "big", "p_seen")]
     each = F.array(*[F.sum(F.col("m")[k]) for k in range(MAX_DISCOUNT)]).alias("m")
     wanted = of(CONTEXT).join(hot.select("w1").distinct(), "w1", "left_semi").groupBy("w1").agg(*sums, each)
-    told = hot.join(wanted.select("w1", weight.alias("weight"), F.log10(whole).alias("whole")), "w1", "left")
-    told = told.select("uid", F.coalesce(F.col("n") * F.when(F.col("backs"), F.col("weight")).otherwise(-F.col("whole")), F.lit(0.0)).alias("score"))
+    told = hot.join(wanted.select("w1", weight.alias("weight")), "w1", "left").select("uid", F.coalesce(F.col("n") * F.col("weight"), F.lit(0.0)).alias("score"))
     score = shares.unionAll(unseen).unionAll(told).groupBy("uid").agg(F.sum("score").alias("score"))
     facts = of(FACT).groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("c1").alias("n_known"), F.sum("fixed").alias("base_score")
@@ -453,9 +456,9 @@ def scores(spark: SparkSession, target: str) -> DataFrame:
     return facts.join(score, "uid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop("uid")
 
 
-def katz_scores(df: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
+def katz_scores(df: DataFrame, folds: int = 7, held: int = 2, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS, reserve_from: int = RESERVE_FROM) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     target = scratch(df.sparkSession, "katz")
-    n, _ = fit_and_share(df, target, folds, held, block_tokens, part_tokens)
-    out = scores(df.sparkSession, target).withColumn("train_tokens", F.lit(n).cast("bigint"))
+    n, _ = fit_and_share(df, target, folds, held, block_tokens, part_tokens, reserve_from)
+    out = scores(df.sparkSession, target, reserve_from).withColumn("train_tokens", F.lit(n).cast("bigint"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
