@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.vocab import BYTE_BPE, CACHE_WORDS, byte_ranks, groups, vocabulary
+from kerbline.llm.vocab import BYTE_BPE, CACHE_WORDS, Numbers, byte_ranks, groups, vocabulary
 
 #: Longest pre-token of the recursive query; its rows in a block; ids that are decoded at a time.
 LONG_BYTES, BLOCK_ROWS, BLOCK_IDS = 200, 2_000_000, 1 << 20
@@ -57,18 +57,6 @@ ORDER BY place
 _DECODE = "SELECT doc, string_agg(v.hex, '' ORDER BY pos) AS hex FROM ids JOIN vocab v USING (tok) GROUP BY doc"
 
 
-class _Numbers(dict):
-    """Numbers its keys as they come, and lists those that came since the list was last emptied."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        self.fresh.append(key)
-        return n
-
-
 class ByteBpe:
     """Encoder and decoder over one DuckDB connection of a Python worker."""
 
@@ -154,7 +142,7 @@ class ByteBpe:
     def encode(self, texts: list[str | None], cache: dict) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 32-bit arrays; ``cache`` keeps the pieces met, their ids and where these begin."""
         if not cache:
-            cache.update(place=_Numbers(), ids=np.zeros(0, np.uint32), bound=np.zeros(1, np.int64))
+            cache.update(place=Numbers(), ids=np.zeros(0, np.uint32), bound=np.zeros(1, np.int64))
         place, lists = cache["place"], [self.pattern.findall(t) if t else [] for t in texts]
         n = np.array(list(map(len, lists)), np.int64)
         at = np.fromiter(map(place.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))

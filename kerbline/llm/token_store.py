@@ -3,10 +3,12 @@
 Documents are dealt out by ranges of the key, encoded with the tokenizers library and packed into shards. A shard is
 one binary value: a header, the hash index, the keys, then the raw little-endian 32-bit ids of its documents in key order. The
 index is a cascade of bit arrays: each level keeps the keys that fall alone on a bit, the others go on to the next
-level, and the number of set bits before a key's bit is its slot. A slot holds the key's fingerprint, first document,
-number of documents (repeated keys lie side by side) and payload offset, so a lookup costs a few reads at any size.
+level, and the number of set bits before a key's bit is its slot. A slot holds the key's fingerprint, its first document's number, how many
+documents have the key (repeated keys lie side by side) and where the payload of the first begins. Set bits are counted per 64-bit word, so a
+lookup reads a few places whatever the shard's size; a fingerprint that fits is confirmed by the stored key.
 
-Shards are stored as Parquet rows, so writers commit through Spark and any store that Spark reaches will do.
+Shards are stored as Parquet rows, so writers commit through Spark and any store that Spark reaches will do. :func:`lookup` finds a key's shard
+by an equi-join on buckets of the key's range.
 Null texts are empty; each document ends with the end id. A null key is stored first, outside the index. An empty table
 writes no shard. Columns other than the key and the text are not read.
 """
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix
-from kerbline.llm.vocab import WORD_BPE, groups, split_words, trim, vocabulary, word_tokenizer
+from kerbline.llm.vocab import WORD_BPE, Numbers, groups, split_words, vocabulary, word_tokenizer
 
-MAGIC = b"KTS1"
-SHARD_IDS = 1 << 20
+MAGIC = b"KTS2"
+SHARD_IDS, PARTITION_BYTES, CACHE_WORDS = 1 << 20, 1 << 26, 1 << 20
 END_ID = 1
 _SHARD = "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start_in_part bigint, shard binary"
 
@@ -38,32 +40,39 @@ def _seeded(keys: np.ndarray, level: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys."""
+    """Minimal perfect hash of distinct 64-bit keys over bit arrays and counts that may lie in a shard's bytes."""
 
-    def __init__(self, levels: list[np.ndarray]):
+    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray]]):
         self.levels = levels
-        counts = [int(b.sum()) for b in levels]
-        self.base = np.append(0, np.cumsum(counts)).astype(np.int64)
-        self.before = [np.append(0, np.cumsum(b))[:-1] for b in levels]
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
+        levels, left, base = [], keys, 0
         while len(left):
             size = 2 * len(left)
             bit = (_seeded(left, len(levels)) % np.uint64(size)).astype(np.int64)
-            alone = np.bincount(bit, minlength=size) == 1
-            levels.append(alone)
-            left = left[~alone[bit]]
+            alone = np.zeros(-(-size // 64) * 64, np.uint8)
+            alone[:size] = np.bincount(bit, minlength=size) == 1
+            word = np.packbits(alone, bitorder="little").view("<u8")
+            ones = np.bitwise_count(word).astype(np.int64)
+            levels.append((size, word, (base + np.cumsum(ones) - ones).astype("<u4")))
+            base += int(ones.sum())
+            left = left[alone[bit] == 0]
         return cls(levels)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; keys outside the set get -1 or any slot, hence the fingerprints."""
         out = np.full(len(keys), -1, np.int64)
-        for level, bits in enumerate(self.levels):
-            bit = (_seeded(keys, level) % np.uint64(len(bits))).astype(np.int64)
-            found = (out < 0) & bits[bit]
-            out[found] = self.base[level] + self.before[level][bit[found]]
+        for level, (size, word, before) in enumerate(self.levels):
+            left = np.flatnonzero(out < 0)
+            if not len(left):
+                break
+            bit = _seeded(keys[left], level) % np.uint64(size)
+            at, place = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+            here = word[at]
+            found = (here >> place & np.uint64(1)) == 1
+            rank = before[at].astype(np.int64) + np.bitwise_count(here & ((np.uint64(1) << place) - np.uint64(1)))
+            out[left[found]] = rank[found]
         return out
 
 
@@ -71,24 +80,23 @@ def _fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_seeded(keys, 77) >> np.uint64(32)).astype(np.uint32)
 
 
-def pack(keys: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """One shard of documents in ascending key order."""
+def pack(keys: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> bytes:
+    """One shard of documents in ascending key order; document i has ``ids[bounds[i]:bounds[i+1]]``."""
     nulls = sum(k is None for k in keys)
     known = np.array(keys[nulls:], np.int64)
     unique, first, repeats = np.unique(known, return_index=True, return_counts=True)
     index = PerfectHash.build(unique)
     slot = index.slot(unique)
-    table = np.zeros((3, len(unique)), "<u4")
+    table, where = np.zeros((3, len(unique)), "<u4"), np.zeros(len(unique), "<u8")
     table[0, slot], table[1, slot], table[2, slot] = _fingerprint(unique), first + nulls, repeats
-    bounds = np.append(0, np.cumsum([len(x) for x in ids])).astype("<u4")
-    bits = [np.packbits(b).tobytes() for b in index.levels]
-    head = np.array([len(keys), nulls, len(unique), len(index.levels), *(len(b) for b in index.levels)], "<u4")
-    payload = np.concatenate(ids).astype("<u4") if ids else np.zeros(0, "<u4")
-    return b"".join([MAGIC, head.tobytes(), *bits, table.tobytes(), known.astype("<i8").tobytes(), bounds.tobytes(), payload.tobytes()])
+    where[slot] = bounds[first + nulls]
+    head = np.array([len(keys), nulls, len(unique), len(index.levels), *(size for size, _, _ in index.levels)], "<u4")
+    bits = [part.tobytes() for _, word, before in index.levels for part in (word, before)]
+    return b"".join([MAGIC, head.tobytes(), *bits, table.tobytes(), where.tobytes(), known.astype("<i8").tobytes(), bounds.astype("<u8").tobytes(), ids.astype("<u4").tobytes()])
 
 
 class Shard:
-    """Reader of one packed shard."""
+    """Reader of one packed shard; opening it reads the header only."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -97,73 +105,153 @@ class Shard:
         sizes = np.frombuffer(data, "<u4", n_levels, 20).tolist()
         at, levels = 20 + 4 * n_levels, []
         for size in sizes:
-            n = (size + 7) // 8
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, n, at), count=size).astype(bool))
-            at += n
+            n = -(-size // 64)
+            levels.append((size, np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<u4", n, at + 8 * n)))
+            at += 12 * n
         self.index = PerfectHash(levels)
         self.table = np.frombuffer(data, "<u4", 3 * self.n_keys, at).reshape(3, -1)
-        at += 12 * self.n_keys
+        self.where = np.frombuffer(data, "<u8", self.n_keys, at + 12 * self.n_keys)
+        at += 20 * self.n_keys
         self.known = np.frombuffer(data, "<i8", self.n_docs - self.nulls, at)
         at += 8 * (self.n_docs - self.nulls)
-        self.bounds = np.frombuffer(data, "<u4", self.n_docs + 1, at).astype(np.int64)
-        self.payload = np.frombuffer(data, "<u4", int(self.bounds[-1]), at + 4 * (self.n_docs + 1))
-
-    def keys(self) -> list[int | None]:
-        return [None] * self.nulls + self.known.tolist()
-
-    def doc(self, i: int) -> np.ndarray:
-        return self.payload[self.bounds[i] : self.bounds[i + 1]]
-
-    def find(self, keys: list[int]) -> list[list[int]]:
-        """Document numbers of each key; none for a key whose fingerprint isn't stored."""
-        wanted = np.array(keys, np.int64)
-        slot = self.index.slot(wanted)
-        print_, out = _fingerprint(wanted), []
-        for s, f in zip(slot, print_):
-            hit = s >= 0 and self.table[0, s] == f
-            out.append(list(range(int(self.table[1, s]), int(self.table[1, s] + self.table[2, s]))) if hit else [])
-        return out
-
-
-def encode_texts(texts: list[str | None], path: str, cache: dict) -> list[np.ndarray]:
-    """Ids of whole texts by the library; a word between blanks is encoded once and remembered."""
-    tokenizer, lists = word_tokenizer(path), [split_words(t) for t in texts]
-    new = list({w for words in lists for w in words if w not in cache})
-    for at in range(0, len(new), 5000):
-        part = new[at : at + 5000]
-        cache.update(zip(part, (tuple(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-    out = [np.fromiter(chain(chain.from_iterable(map(cache.__getitem__, words)), (END_ID,)), np.uint32) for words in lists]
-    trim(cache)
-    return out
+        self.bounds = np.frombuffer(data, "<u8", self.n_docs + 1, at)
+        self.payload = np.frombuffer(data, "<u4", offset=at + 8 * (self.n_docs + 1))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first document, number of documents, payload place) of each key; no documents for a key that isn't stored."""
+        slot = self.index.slot(keys)
+        held = slot >= 0
+        first, repeats, where = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        s = slot[held]
+        doc = self.table[1, s].astype(np.int64)
+        right = (self.table[0, s] == _fingerprint(keys[held])) & (self.known[np.clip(doc - self.nulls, 0, max(0, len(self.known) - 1))] == keys[held])
+        first[held], repeats[held], where[held] = doc, np.where(right, self.table[2, s], 0), self.where[s].astype(np.int64)
+        return first, repeats, where
+
+    def documents(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``keys``, payload begin, payload end) of every document of the keys, through the index."""
+        first, repeats, where = self.find(keys)
+        of = np.repeat(np.arange(len(keys)), repeats)
+        doc = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+        size = (self.bounds[doc + 1] - self.bounds[doc]).astype(np.int64)
+        # A key's documents follow one another from the place that its slot names.
+        gone = np.cumsum(size) - size
+        head = np.cumsum(repeats) - repeats
+        begin = where[of] + gone - gone[head[of]] if len(of) else gone
+        return of, begin, begin + size
+
+
+_PLAIN_END = ".,;:!?)\""
+
+
+class WordCache:
+    """Ids of the words met so far; each distinct word goes to the library once."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.place = word_tokenizer(path), Numbers()
+        self.ids, self.bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        ends = [n for t, n in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.last = np.zeros(max(ends, default=0) + 1, bool)
+        self.last[ends] = True
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of words of ASCII letters: rows of them are encoded together, as each ends with the only word end of its own."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        rows = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+        flat = []
+        for at in range(0, len(rows), 200):
+            flat += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows[at : at + 200], add_special_tokens=False)]
+        ids = np.concatenate(flat)
+        stop = np.flatnonzero(self.last[ids]) + 1
+        if len(stop) != len(words):
+            raise ValueError("the vocabulary doesn't mark the ends of plain words")
+        return ids, np.diff(stop, prepend=0)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = []
+        for at in range(0, len(words), 5000):
+            lists += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + 5000], add_special_tokens=False)]
+        size = np.array(list(map(len, lists)), np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
+
+    def learn(self, words: list[str]) -> None:
+        """Add the ids of new distinct words. A letter word with signs after it is encoded as the word and the signs."""
+        cores, tails, kind, pair = Numbers(), Numbers(), np.zeros(len(words), np.int8), np.zeros((2, len(words)), np.int64)
+        others = []
+        for at, word in enumerate(words):
+            if word.isascii() and (core := word.rstrip(_PLAIN_END)).isalpha():
+                pair[0, at] = cores[core]
+                if len(core) < len(word):
+                    kind[at], pair[1, at] = 1, tails[word[len(core) :]]
+            else:
+                kind[at], pair[0, at] = 2, len(others)
+                others.append(word)
+        (a, na), (b, nb), (c, nc) = self._plain(list(cores)), self._other(list(tails)), self._other(others)
+        flat, size = np.concatenate([a, b, c]), np.concatenate([na, nb, nc])
+        start = np.cumsum(size) - size
+        head = pair[0] + np.where(kind == 2, len(na) + len(nb), 0)
+        tail = pair[1] + len(na)
+        n_tail = np.where(kind == 1, size[tail] if len(size) else 0, 0) if (kind == 1).any() else np.zeros(len(words), np.int64)
+        parts = np.stack([size[head], n_tail], axis=1).ravel()
+        first = np.stack([start[head], start[tail] if (kind == 1).any() else start[head]], axis=1).ravel()
+        ids = flat[np.repeat(first - (np.cumsum(parts) - parts), parts) + np.arange(int(parts.sum()))]
+        self.bound = np.append(self.bound, self.bound[-1] + np.cumsum(parts[0::2] + parts[1::2]))
+        self.ids = np.append(self.ids, ids)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with an end id after each, number of ids of each text)."""
+        lists = [split_words(t) for t in texts]
+        n = np.array(list(map(len, lists)), np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        if self.place.fresh:
+            self.learn(self.place.fresh)
+            self.place.fresh = []
+        # The end id is a word of its own after the last word of each text.
+        first, size = self.bound[at], self.bound[at + 1] - self.bound[at]
+        stop = np.cumsum(n)
+        first, size = np.insert(first, stop, len(self.ids)), np.insert(size, stop, 1)
+        flat = np.append(self.ids, np.uint32(END_ID))
+        ids = flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ends = np.append(0, np.cumsum(size))[stop + np.arange(1, len(n) + 1)]
+        return ids, np.diff(ends, prepend=0)
 
 
 def write_tokens(df: DataFrame, target: str, path: str | None = None, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> None:
-    """Encode ``df`` and write its shards below ``target`` in ascending order of the integer key."""
+    """Encode ``df`` and write its shards below ``target`` in ascending order of the integer key.
+
+    By default a partition gets about ``PARTITION_BYTES`` of the input: the fewer partitions, the fewer words are encoded twice.
+    """
     path = path or vocabulary(WORD_BPE)
-    partitions = partitions or max(8, df.rdd.getNumPartitions())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Spark's estimate is beyond all bounds where it knows nothing of an input.
+    known = size // PARTITION_BYTES if size < 1 << 55 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or max(2 * df.sparkSession.sparkContext.defaultParallelism, known)
     dealt = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).repartitionByRange(partitions, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, start, cache = TaskContext.get().partitionId(), 0, 0, {}
+        part, seq, start, cache = TaskContext.get().partitionId(), 0, 0, WordCache(path)
         keys: list = []
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, start, keys, held
-            n = sum(map(len, held))
+            ids, sizes = (np.concatenate(x) for x in zip(*held))
             known = [k for k in keys if k is not None]
-            row = [part, seq, known[0] if known else None, known[-1] if known else None, len(keys), n, start, pack(keys, held)]
+            row = [part, seq, known[0] if known else None, known[-1] if known else None, len(keys), len(ids), start, pack(keys, ids, np.append(0, np.cumsum(sizes)))]
             kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
             names = ["part", "seq", "first_key", "last_key", "n_docs", "n_tokens", "start_in_part", "shard"]
-            seq, start, keys, held = seq + 1, start + n, [], []
+            seq, start, keys, held = seq + 1, start + len(ids), [], []
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in groups(texts):
-                keys += ids[a:b]
-                held += encode_texts(texts[a:b], path, cache)
-                if sum(map(len, held)) >= SHARD_IDS:
+                keys += names[a:b]
+                held.append(cache.encode(texts[a:b]))
+                if len(cache.place) > CACHE_WORDS:
+                    cache = WordCache(path)
+                if sum(len(x) for x, _ in held) >= SHARD_IDS:
                     yield flush()
         if keys:
             yield flush()
@@ -183,20 +271,21 @@ def _based(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, target: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, read back from the shards through their index."""
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, each read from the place that the shard's index gives for its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data in zip(batch.column(0), batch.column(1)):
                 shard = Shard(data.as_py())
-                names = np.unique(shard.known).tolist()
-                found = [(k, i) for k, docs in zip(names, shard.find(names)) for i in docs]
-                at = [*range(shard.nulls), *(i for _, i in found)]
-                if at != list(range(shard.n_docs)):
+                names = np.unique(shard.known)
+                of, begin, end = shard.documents(names)
+                if shard.nulls + len(of) != shard.n_docs:
                     raise ValueError("the shard's index doesn't lead to each of its documents")
-                crc = [zlib.crc32(shard.doc(i).tobytes()) for i in at]
-                keys = [None] * shard.nulls + [k for k, _ in found]
-                columns = [pa.array(keys, pa.int64()), pa.array(first.as_py() + shard.bounds[at]), pa.array(np.diff(shard.bounds)[at]), pa.array(crc, pa.int64())]
+                ends = shard.bounds[: shard.nulls + 1].astype(np.int64)
+                begin, end = np.append(ends[:-1], begin), np.append(ends[1:], end)
+                crc = [zlib.crc32(shard.payload[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+                keys = [None] * shard.nulls + names[of].tolist()
+                columns = [pa.array(keys, pa.int64()), pa.array(first.as_py() + begin), pa.array(end - begin), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     based = _based(spark, target).select("start", "shard")
@@ -204,17 +293,26 @@ def read_digests(spark: SparkSession, target: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, target: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ids array<bigint>) of the wanted keys: shards are chosen by key range, then asked through their index."""
+    """(key, ids array<bigint>) of the wanted keys: a key's shard is found by its bucket of the key range, then asked through its index."""
     wanted = keys.select(F.col(key).cast("bigint").alias("key")).where("key is not null").distinct()
     shards = spark.read.schema(_SHARD).parquet(target)
-    met = wanted.join(shards.select("part", "seq", "first_key", "last_key"), F.expr("key between first_key and last_key"))
-    asked = met.groupBy("part", "seq").agg(F.collect_list("key").alias("keys")).join(shards.select("part", "seq", "shard"), ["part", "seq"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for wanted_keys, data in zip(batch.column(0), batch.column(1)):
-                shard, names = Shard(data.as_py()), wanted_keys.as_py()
-                found = [(k, shard.doc(i).tolist()) for k, docs in zip(names, shard.find(names)) for i in docs]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], [key, "ids"])
-
-    return asked.select("keys", "shard").mapInArrow(run, f"`{key}` bigint, ids array<bigint>")
+    spans = shards.where("first_key is not null").select("part", "seq", "first_key", "last_key")
+    low, high, n = spans.agg(F.min("first_key"), F.max("last_key"), F.count("*")).first()
+    if not n:
+        return spark.createDataFrame([], f"`{key}` bigint, ids array<bigint>")
+    width = max(1, (high - low) // (4 * n))
+    bucket = lambda c: F.floor((F.col(c) - F.lit(low)) / F.lit(width))
+    covered = spans.withColumn("bucket", F.explode(F.sequence(bucket("first_key"), bucket("last_key"))))
+    asked = wanted.where(F.col("key").between(low, high)).withColumn("bucket", bucket("key")).join(covered, "bucket").where("key between first_key and last_key")
+
+    def run(names: pa.Table, held: pa.Table) -> pa.Table:
+        found, ids = [], []
+        for data in held["shard"]:
+            shard, own = Shard(data.as_py()), names["key"].to_numpy()
+            of, begin, end = shard.documents(own)
+            found += own[of].tolist()
+            ids += [shard.payload[a:b].tolist() for a, b in zip(begin.tolist(), end.tolist())]
+        return pa.table([pa.array(found, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], [key, "ids"])
+
+    right = shards.select("part", "seq", "shard").join(asked.select("part", "seq").distinct(), ["part", "seq"], "left_semi")
+    return asked.select("part", "seq", "key").groupBy("part", "seq").cogroup(right.toDF("part", "seq", "shard").groupBy("part", "seq")).applyInArrow(run, f"`{key}` bigint, ids array<bigint>")

@@ -98,16 +98,24 @@ def test_byte_bpe_of_long_words_and_texts():
 def test_token_store(spark, docs, none, texts):
     tokenizer = Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
     target, empty = scratch(spark, "tokens"), scratch(spark, "tokens")
+    # Twelve ids come twice, and one row has none.
+    texts = texts + texts[:12]
+    docs = docs.union(docs.where("doc_id < 12")).union(docs.where("doc_id = 20").withColumn("doc_id", F.lit(None).cast("bigint")))
     token_store.write_tokens(docs, target)
-    got, start = by_id(token_store.read_digests(spark, target)), 0
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
-    for i, ids in enumerate(want):
-        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
-    found = by_id(token_store.lookup(spark, target, spark.createDataFrame([(3,), (40,), (10**9,)], "doc_id bigint")))
-    assert {k: r["ids"] for k, r in found.items()} == {3: want[3], 40: want[40]}
+    n = len(texts) - 12
+    order = [(None, 20)] + sorted((i % n, i) for i in range(len(texts)))
+    got = sorted(token_store.read_digests(spark, target).collect(), key=lambda r: r["start"])
+    start = 0
+    for row, (key, i) in zip(got, order):
+        assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (key, start, len(want[i]), zlib.crc32(np.array(want[i], "<u4").tobytes()))
+        start += len(want[i])
+    assert len(got) == len(order)
+    found = token_store.lookup(spark, target, spark.createDataFrame([(3,), (40,), (10**9,), (-5,), (None,)], "doc_id bigint")).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in found) == sorted([(3, want[3]), (3, want[3]), (40, want[40])])
     token_store.write_tokens(none, empty)
     assert token_store.read_digests(spark, empty).count() == 0
+    assert token_store.lookup(spark, empty, docs).count() == 0
 
 
 def test_token_store_reads_through_the_index(spark, docs):
@@ -116,6 +124,7 @@ def test_token_store_reads_through_the_index(spark, docs):
     stored = spark.read.parquet(target)
     rows = [r.asDict() | {"shard": bytearray(r["shard"])} for r in stored.collect()]
     for row in rows:
+        # Slots that name other documents: keys aren't found any more.
         table = token_store.Shard(row["shard"]).table
         table[1] = np.roll(table[1], 1)
     spark.createDataFrame([tuple(r[c] for c in stored.columns) for r in rows], stored.schema).write.parquet(turned)
@@ -125,7 +134,11 @@ def test_token_store_reads_through_the_index(spark, docs):
 
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
-    assert sorted(token_store.PerfectHash.build(keys).slot(keys)) == list(range(len(keys)))
+    index = token_store.PerfectHash.build(keys)
+    assert sorted(index.slot(keys)) == list(range(len(keys)))
+    shard = token_store.Shard(token_store.pack(keys.tolist(), np.arange(len(keys)), np.arange(len(keys) + 1)))
+    assert (shard.find(keys)[1] == 1).all() and (shard.find(keys)[2] == np.arange(len(keys))).all()
+    assert (shard.find(np.setdiff1d(np.arange(20_000), keys))[1] == 0).all()
 
 
 def test_language_id(spark, none):
@@ -173,6 +186,43 @@ def test_main_text(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+def test_main_text_of_breaks_names_and_nesting():
+    body = "<p>Sentences of the body, which are many and long enough to win by far.</p>" * 4
+    one = "Sentences of the body, which are many and long enough to win by far."
+    assert main_text.extract("<article><p>one<br>two<br/>three</p></article>") == "one two three"
+    assert main_text.extract(f"<div class='with-sidebar'><div class=text>{body}</div><div class=sidebar>Side.</div></div>") == "\n".join([one] * 4)
+    assert main_text.extract(f"<article class='post has-comments comments'>{body}<div class='comment-list'><p>said</p></div></article>") == "\n".join([one] * 4)
+    deep = "<div>" * 6 + "<p>Deep.</p>" + "</div>" * 6
+    assert main_text.extract(f"<main>{body}{deep}</main>").endswith("Deep.")
+    assert main_text.extract(f"<article>{body}</article><div><p>Other.</p></div>") == "\n".join([one] * 4)
+
+
+def test_main_text_ratios_by_hand():
+    page = "<div><h2>Head</h2><p>Some text, here.</p><p>More text, there.</p></div><ul><li><a href=x>link</a></li></ul>"
+    paths, found = main_text.nodes(page)
+    ratios = {paths.tag[p]: v for p, v in main_text.path_ratios(paths, found).items()}
+    head, text = 4 * 1.0, 33 * (1 + min(1, 10 * 4 / 33))
+    assert ratios == {"h2": (head + head + text) / 2, "p": (text + head + text) / 2, "li": 0.0}
+
+
+def test_main_text_is_linear():
+    import time
+
+    for page in ("<a " * 350_000, "<div>" * 200_000 + "text", "<b>" * 100_000 + "<p>x" * 100_000, "<p title='" * 100_000, "<div class='a'>" * 50_000 + "</div>" * 50_000, "<li>" * 200_000, "</p>" * 250_000, "<svg " * 100_000):
+        start = time.process_time()
+        main_text.extract(page)
+        assert time.process_time() - start < 5
+
+
+def test_main_text_of_tables_without_rows_or_with_equal_ones(spark):
+    schema = "page_id bigint, url string, html string"
+    ship(spark)
+    assert main_text.main_text(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", "<main><p>x y</p></main>")] * 2 + [(None, None, "<p>plain &amp; simple")]
+    got = sorted((r["page_id"] or 0, r["text"]) for r in main_text.main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, "plain & simple"), (1, "x y"), (1, "x y")]
+
+
 def test_main_text_after_raw_elements():
     for script in ("for(i=0;i<n;i++)f(i)", "if(a<b)s='it'", "x<y // it's", "'</scripted>'+a<b"):
         assert main_text.extract(f"<p>Before.</p><SCRIPT async>{script}</Script\n><p>Body</p><style>a<b{{}}</style><p>End</p>") == "Before.\nBody\nEnd"
@@ -255,6 +305,18 @@ def test_decontamination_of_numbers_and_short_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()} == {(0, 7), (2, 8), (4, 9)}
 
 
+def test_decontamination_wants_one_value_for_one_value(spark):
+    item = "A car drives 60 km before noon and after a long rest of some hours it again drives 60 km until the night falls over the whole quiet town"
+    other = item.replace("60", "75", 1).replace("60", "80")
+    both = " and then ".join([item.replace("60", "75"), item.replace("60", "90")])
+    texts = [item, item.replace("60", "75"), other, both]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    ship(spark)
+    got = {r["doc_id"]: (r["n_matched"], r["n_windows"]) for r in decontaminate.matches(docs, bench).collect()}
+    assert got[0] == got[1] == got[3] and got[0][0] == got[0][1] and got[2][0] < got[0][0]
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(200, 64))
@@ -305,7 +367,7 @@ def test_katz(docs, none, texts):
         if a not in context:
             return base(b)
         c, mass, seen = context[a]
-        whole = c + (mass >= c - 1e-9)
+        whole = c + (c >= katz.RESERVE_FROM or mass >= c - 1e-9)
         return keep(bi[a, b]) / whole if (a, b) in bi else (1 - mass / whole) / (1 - seen) * base(b)
 
     for a in list(context)[:5]:
@@ -327,6 +389,6 @@ def test_katz_of_hot_contexts_and_small_blocks(docs):
     rows = docs.select("doc_id", "text")
     rows = rows.union(rows.where("doc_id < 12")).union(rows.where("doc_id = 20").selectExpr("cast(null as bigint)", "text"))
     plain = lambda **limits: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["held_out"], round(r["score"], 7), round(r["base_score"], 7)) for r in katz.katz_scores(rows, **limits).collect())
-    want = plain()
+    want = plain(reserve_from=30)
     assert len(want) == rows.count() and want[-1][0]
-    assert plain(block_tokens=7, part_tokens=200) == want
+    assert plain(block_tokens=7, part_tokens=60, reserve_from=30) == want != plain()
