@@ -7,8 +7,8 @@ sums of the elements between, by a factor of ``DECAY`` a level. Paths inside an
 the page's best ratio are content, wherever they stand.
 
 Paths through menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are left out first: by their tag, or by
-a class, id or role that is such a name as a whole. A name counts neither on an article, main or body element nor where the element holds
-more than half of the page's text.
+a class, id or role that is such a name as a whole. A name doesn't count on an article, main or body element. On a page without these a
+layout name (as of a header or sidebar) doesn't count either where its element holds more than half of the page's text.
 
 The reader is linear in the page's length, whatever is left open. Line breaks are blanks; character references are decoded.
 Null and empty pages, and pages without content, give an empty text. Repeated rows give repeated results, an empty table an empty one;
@@ -45,6 +45,7 @@ _OTHER = "ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments
 _SIGN = re.compile(
     rf"(?:(?:{_PLACE})[-_])?(?:{_PART})|(?:{_OTHER})|(?:{_PART}|{_OTHER})[-_](?:list|box|bar|wrap|wrapper|container|area|section|block|links?|banner|notice|popup|inner|unit|slot|form|thread|body|item|\d+)|complementary|contentinfo", re.I
 )
+_LAYOUT = re.compile(rf"(?:(?:{_PLACE})[-_])?(?:{_PART}).*|(?:comments?|widgets?|related|search).*|complementary|contentinfo", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 _SPACE = re.compile(r"\s+")
 
@@ -55,7 +56,7 @@ class _Paths:
     def __init__(self) -> None:
         self.known: dict[tuple, int] = {}
         self.parent, self.tag, self.block, self.box, self.main, self.depth = [-1], [""], [0], [0], [-1], [0]
-        self.never, self.sign, self.linked = [False], [-1], [False]
+        self.never, self.sign, self.linked, self.layout = [False], [-1], [False], [False]
 
     def child(self, parent: int, tag: str, names: str) -> int:
         key = (parent, tag, names)
@@ -71,7 +72,9 @@ class _Paths:
         self.main.append(self.main[parent] if self.main[parent] >= 0 or tag not in ("article", "main") else at)
         self.depth.append(self.depth[parent] + 1)
         self.never.append(self.never[parent] or tag in _NEVER)
-        signed = tag not in _WHOLE and any(_SIGN.fullmatch(n) for n in names.split())
+        signs = [n for n in names.split() if _SIGN.fullmatch(n)] if tag not in _WHOLE else []
+        signed = bool(signs)
+        self.layout.append(all(_LAYOUT.fullmatch(n) for n in signs) and (self.sign[parent] < 0 or self.layout[parent]))
         self.sign.append(at if self.sign[parent] < 0 and signed else self.sign[parent])
         self.linked.append(self.linked[parent] or tag == "a")
         return at
@@ -177,11 +180,12 @@ def path_ratios(paths: _Paths, found: list[tuple[int, int, str]]) -> dict[int, f
             length[own] += n
             marks[own] += len(_PUNCTUATION.findall(text))
             linked[own] += n * paths.linked[path]
-    total = sum(length.values())
+    total = sum(n for p, n in length.items() if paths.sign[p] < 0 or paths.layout[p])
     for own, n in length.items():
         if paths.sign[own] >= 0:
             signed[paths.sign[own]] += n
-    length = {p: n for p, n in length.items() if paths.sign[p] < 0 or 2 * signed[paths.sign[p]] > total}
+    plain = all(m < 0 for m in paths.main)
+    length = {p: n for p, n in length.items() if paths.sign[p] < 0 or plain and paths.layout[p] and 2 * signed[paths.sign[p]] > total}
     ratio = {p: (n - linked[p]) * (1 + min(1.0, 10 * marks[p] / n)) for p, n in length.items()}
     whole: dict[int, float] = defaultdict(float)
     for p, value in ratio.items():

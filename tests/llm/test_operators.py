@@ -192,6 +192,8 @@ def test_main_text_of_breaks_names_and_nesting():
     assert main_text.extract("<article><p>one<br>two<br/>three</p></article>") == "one two three"
     assert main_text.extract(f"<div class='with-sidebar'><div class=text>{body}</div><div class=sidebar>Side.</div></div>") == "\n".join([one] * 4)
     assert main_text.extract(f"<article class='post has-comments comments'>{body}<div class='comment-list'><p>said</p></div></article>") == "\n".join([one] * 4)
+    assert main_text.extract(f"<div class='page-header'>{body}</div><div class=ad>{body}{body}{body}</div>") == "\\n".join([one] * 4)
+    assert main_text.extract(f"<article><p>Short.</p></article><div class=ad>{body}</div><aside>{body}</aside>") == "Short."
     deep = "<div>" * 6 + "<p>Deep.</p>" + "</div>" * 6
     assert main_text.extract(f"<main>{body}{deep}</main>").endswith("Deep.")
     assert main_text.extract(f"<article>{body}</article><div><p>Other.</p></div>") == "\n".join([one] * 4)
