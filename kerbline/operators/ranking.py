@@ -31,3 +31,26 @@ def first_per_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
 def fallback(df: DataFrame, group: str, fits: Column, *order: Column) -> DataFrame:
     """The first row of each group that fits, else its first row at all; ``fits`` tells which it is."""
     return first_per_group(df.withColumn("fits", F.coalesce(fits, F.lit(False))), group, F.col("fits").desc(), *order)
+
+
+def sequence(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``seq`` from 1 and ``start_flag`` for the first row of each group, in the stated order."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return df.withColumn("seq", place).withColumn("start_flag", (F.col("seq") == 1).cast("int"))
+
+
+def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows: each task keeps its own first, then those meet."""
+    return df.orderBy(*order).limit(k)
+
+
+def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).subtract(b.select(key))
+
+
+def intersection(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).intersect(b.select(key))
+
+
+def either(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).union(b.select(key)).distinct()

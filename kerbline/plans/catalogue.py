@@ -7,40 +7,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions.calendar import previous_week, week_end, week_start
 from kerbline.operators import balance, panel, ranking, sampling
+from kerbline.plans import chain, networks, scalars, spatial_joins, statistics  # noqa: F401
+from kerbline.plans.registry import QUERIES, SQL
+from kerbline.plans.registry import query as _query
+from kerbline.plans.registry import rounded as _rounded
+from kerbline.plans.registry import table as _t
 
 FLAGSHIP = "agg06_dense_panel"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str):
-    def register(f):
-        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
-        return f
-
-    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return SQL
 
 
 _WEEK = "(CAST(ts AS DATE) - CAST((dayofweek(ts) + 1) % 7 AS INTEGER))"
 _CLOSED = "value >= 100"
-_R = lambda *names: [F.round(n, 4).alias(n) for n in names]
 _PANEL = f"""
     WITH seen AS (SELECT user_id AS unit, {_WEEK} AS week_start, count(*) AS n_events, min(CASE WHEN value >= 100 THEN 1 ELSE 0 END) AS r FROM events GROUP BY ALL),
     weeks AS (SELECT CAST(unnest(generate_series(min(week_start), max(week_start), INTERVAL 7 DAY)) AS DATE) AS week_start FROM seen),
@@ -66,7 +56,7 @@ def agg01_weekly_counts(spark, sf_dir):
 
 @_query("SELECT l_suppkey, sum(l_quantity) AS total, count(l_quantity) AS n FROM lineitem GROUP BY 1")
 def agg02_bundle_totals(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total"), F.count("l_quantity").alias("n"))
+    return balance.totals(_t(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity")
 
 
 @_query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS others FROM orders")
@@ -79,63 +69,33 @@ def agg06_dense_panel(spark, sf_dir):
     return _panel(spark, sf_dir)
 
 
-@_query("SELECT o_custkey, list_aggregate(list_sort(list(DISTINCT o_orderpriority)), 'string_agg', ',') AS priorities, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1")
-def agg10_joined_distinct(spark, sf_dir):
-    found = F.sort_array(F.collect_set("o_orderpriority"))
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(found, ",").alias("priorities"), F.size(found).cast("bigint").alias("n"))
-
-
-@_query("""
-    WITH b AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1),
-    m AS (SELECT count(*) AS n_bundles, sum(size)::BIGINT AS total, avg(size) AS mean, quantile_cont(size, 0.5) AS median, stddev_pop(size) AS std, min(size) AS smallest, max(size) AS largest,
-          quantile_cont(size, 0.25) AS p25, quantile_cont(size, 0.75) AS p75 FROM b)
-    SELECT n_bundles, total, round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std, smallest, largest, round(p25, 4) AS p25, round(p75, 4) AS p75, round(std / mean, 4) AS cv, round(p75 - p25, 4) AS iqr,
-      CASE WHEN std / mean < 0.1 THEN 'excellent' WHEN std / mean < 0.15 THEN 'good' WHEN std / mean < 0.2 THEN 'acceptable' WHEN std / mean < 0.3 THEN 'fair' ELSE 'poor' END AS quality FROM m
-""")
-def agg11_balance_metrics(spark, sf_dir):
-    sizes = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("size"))
-    out = balance.size_metrics(sizes, "size").withColumn("quality", balance.quality_label(F.col("cv")))
-    return out.select("n_bundles", "total", "smallest", "largest", "quality", *_R("mean", "median", "std", "p25", "p75", "cv", "iqr"))
-
-
 @_query("""
     WITH m AS (SELECT avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS m1, count(*) FILTER (c_mktsegment = 'BUILDING') AS n1, var_pop(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS p1, var_samp(c_acctbal) FILTER (c_mktsegment = 'BUILDING') AS v1,
       avg(c_acctbal) FILTER (c_mktsegment <> 'BUILDING') AS m2, count(*) FILTER (c_mktsegment <> 'BUILDING') AS n2, var_pop(c_acctbal) FILTER (c_mktsegment <> 'BUILDING') AS p2, var_samp(c_acctbal) FILTER (c_mktsegment <> 'BUILDING') AS v2 FROM customer)
-    SELECT round(m1, 4) AS group1_mean, n1 AS group1_n, round(m2, 4) AS group2_mean, n2 AS group2_n, round(m1 - m2, 4) AS difference, round((m1 - m2) / sqrt((p1 + p2) / 2), 4) AS std_diff, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS t_stat FROM m
+    SELECT round(m1, 4) AS group1_mean, n1 AS group1_n, round(m2, 4) AS group2_mean, n2 AS group2_n, round(m1 - m2, 4) AS difference, round(CASE WHEN p1 + p2 > 0 THEN (m1 - m2) / sqrt((p1 + p2) / 2) ELSE 0 END, 4) AS std_diff, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS t_stat, round((v1 / n1 + v2 / n2) ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)), 4) AS dof FROM m
 """)
 def agg13_welch_balance(spark, sf_dir):
     out = balance.two_sample(_t(spark, sf_dir, "customer"), F.col("c_mktsegment") == "BUILDING", "c_acctbal")
-    return out.select("group1_n", "group2_n", *_R("group1_mean", "group2_mean", "difference", "std_diff", "t_stat"))
-
-
-@_query(f"""
-    WITH w AS (SELECT {_WEEK} AS week_start, count(*) AS n_events, count(*) FILTER (value >= 100) AS n_fixed FROM events GROUP BY 1)
-    SELECT *, CASE WHEN n_events = 0 THEN 'no_potholes' WHEN n_fixed = 0 THEN 'all_unfixed' WHEN n_fixed = n_events THEN 'all_fixed' ELSE 'good_variation' END AS issue, n_events > 0 AND n_fixed > 0 AND n_fixed < n_events AS has_variation FROM w
-""")
-def agg23_treatment_variation(spark, sf_dir):
-    weekly = _t(spark, sf_dir, "events").groupBy(week_start(F.col("ts")).alias("week_start")).agg(F.count("*").alias("n_events"), F.count_if(F.expr(_CLOSED)).alias("n_fixed"))
-    return panel.variation_labels(weekly, "n_events", "n_fixed")
+    return out.select("group1_n", "group2_n", *_rounded("group1_mean", "group2_mean", "difference", "std_diff", "t_stat", "dof"))
 
 
 @_query(_PANEL + """, e AS (SELECT unit, week_start, avg(n_events) OVER (PARTITION BY unit) AS u, avg(n_events) OVER (PARTITION BY week_start) AS w, avg(n_events) OVER () AS g FROM panel)
     SELECT unit, week_start, round(u - g, 4) AS unit_effect, round(w - g, 4) AS week_effect, round(u + w - g, 4) AS fitted FROM e
 """)
 def agg24_two_way_effects(spark, sf_dir):
-    return panel.two_way_effects(_panel(spark, sf_dir), "n_events").select("unit", "week_start", *_R("unit_effect", "week_effect", "fitted"))
+    return panel.two_way_effects(_panel(spark, sf_dir), "n_events").select("unit", "week_start", *_rounded("unit_effect", "week_effect", "fitted"))
 
 
 @_query(_PANEL + "SELECT week_start, sum(n_events)::BIGINT AS potholes, count(*) AS total_segments, round(avg(y), 4) AS pothole_rate, sum(coalesce(r, 0))::BIGINT AS fixed, round(sum(coalesce(r, 0)) / nullif(sum(y), 0), 4) AS fix_rate FROM panel GROUP BY 1")
 def agg27_weekly_summary(spark, sf_dir):
-    fixed = F.sum(F.coalesce("r", F.lit(0)))
-    return _panel(spark, sf_dir).groupBy("week_start").agg(
-        F.sum("n_events").alias("potholes"), F.count("*").alias("total_segments"), F.round(F.avg("y"), 4).alias("pothole_rate"), fixed.alias("fixed"), F.round(F.try_divide(fixed, F.sum("y")), 4).alias("fix_rate")
-    )
+    out = panel.weekly_summary(_panel(spark, sf_dir))
+    return out.select("week_start", "potholes", "total_segments", "fixed", *_rounded("pothole_rate", "fix_rate"))
 
 
 @_query(f"SELECT week_start, n, sum(n) OVER (ORDER BY week_start)::BIGINT AS cumulative FROM (SELECT {_WEEK} AS week_start, count(*) AS n FROM events GROUP BY 1)")
 def agg33_cumulative_weeks(spark, sf_dir):
     weekly = _t(spark, sf_dir, "events").groupBy(week_start(F.col("ts")).alias("week_start")).agg(F.count("*").alias("n"))
-    return weekly.withColumn("cumulative", F.sum("n").over(Window.orderBy("week_start").rowsBetween(Window.unboundedPreceding, 0)))
+    return panel.running(weekly, "week_start", cumulative="n")
 
 
 @_query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -145,19 +105,11 @@ def jon01_eligible_without_history(spark, sf_dir):
     return sampling.eligible(pool, orders.where("o_orderstatus = 'F'"), orders.where("o_orderpriority = '1-URGENT'"), "c_custkey")
 
 
-@_query("SELECT c_mktsegment, c_custkey, draw::INTEGER AS draw FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('42|' || c_custkey), c_custkey) AS draw FROM customer) WHERE draw <= 4")
+@_query("SELECT c_mktsegment, c_custkey, draw::INTEGER AS draw FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('42|' || c_custkey), c_custkey) AS draw FROM customer) WHERE draw <= 4")
 def rnd01_seeded_draw(spark, sf_dir):
     return sampling.draw_per_group(_t(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 4, "42").select("c_mktsegment", "c_custkey", "draw")
 
 
-@_query("""
-    WITH a AS (SELECT c_custkey, ('0x' || substr(md5('7|' || c_custkey), 1, 8))::BIGINT % 3 AS k FROM customer)
-    SELECT c_custkey, CASE k WHEN 0 THEN 'Full' WHEN 1 THEN 'Partial' ELSE 'Control' END AS dh_arm, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS treated_share FROM a
-""")
-def rnd02_treatment_arms(spark, sf_dir):
-    return sampling.arms(_t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "7")
-
-
 @_query(_PANEL + "SELECT unit, week_start, y, r, lag(y) OVER w AS y_lag, lag(r) OVER w AS r_lag FROM panel WINDOW w AS (PARTITION BY unit ORDER BY week_start)")
 def win01_lagged_panel(spark, sf_dir):
     return ranking.lagged(_panel(spark, sf_dir).select("unit", "week_start", "y", "r"), "unit", "week_start", "y", "r")
@@ -168,10 +120,10 @@ def win02_extremes(spark, sf_dir):
     return ranking.extremes(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
-@_query("SELECT c_custkey, round(cume, 6) AS cume FROM (SELECT c_custkey, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS cume FROM customer)")
+@_query("SELECT c_custkey, round(cume, 6) AS cume FROM (SELECT c_custkey, cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS cume FROM customer)")
 def win04_empirical_cdf(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    return _t(spark, sf_dir, "customer").select("c_custkey", F.round(F.cume_dist().over(w), 6).alias("cume"))
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return panel.cumulative_share(rows, "c_mktsegment", "c_acctbal").select("c_custkey", F.round("cume", 6).alias("cume"))
 
 
 @_query("""
@@ -185,12 +137,7 @@ def win06_ranked_fallback(spark, sf_dir):
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def srt02_top_k(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
-
-
-@_query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
-def set02_never_served(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey").subtract(_t(spark, sf_dir, "orders").select("o_custkey"))
+    return ranking.top(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 20, F.desc("o_totalprice"), F.col("o_orderkey"))
 
 
 @_query("SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) = 1")
