@@ -21,15 +21,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix
-from kerbline.llm.vocab import WORD_BPE, Numbers, groups, split_words, vocabulary, word_tokenizer
+from kerbline.llm.vocab import WORD_BPE, Numbers, split_words, vocabulary, word_tokenizer
 
 MAGIC = b"KTS2"
-SHARD_IDS, PARTITION_BYTES, CACHE_WORDS = 1 << 20, 1 << 26, 1 << 20
+SHARD_IDS, PARTITION_BYTES, GROUP_BYTES, CACHE_WORDS = 1 << 20, 1 << 25, 1 << 22, 700_000
 END_ID = 1
 _SHARD = "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start_in_part bigint, shard binary"
 
@@ -155,18 +156,15 @@ class WordCache:
         self.last[ends] = True
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each) of words of ASCII letters: rows of them are encoded together, as each ends with the only word end of its own."""
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        """(ids, ids of each) of words of letters: rows of them are encoded together, as each ends with the only word end of its own."""
+        flat = [np.zeros(0, np.uint32)]
         rows = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
-        flat = []
         for at in range(0, len(rows), 200):
             flat += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows[at : at + 200], add_special_tokens=False)]
         ids = np.concatenate(flat)
         stop = np.flatnonzero(self.last[ids]) + 1
-        if len(stop) != len(words):
-            raise ValueError("the vocabulary doesn't mark the ends of plain words")
-        return ids, np.diff(stop, prepend=0)
+        # Should a vocabulary mark word ends otherwise, each word is encoded by itself.
+        return (ids, np.diff(stop, prepend=0)) if len(stop) == len(words) else self._other(words)
 
     def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = []
@@ -176,44 +174,56 @@ class WordCache:
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum())), size
 
     def learn(self, words: list[str]) -> None:
-        """Add the ids of new distinct words. A letter word with signs after it is encoded as the word and the signs."""
-        cores, tails, kind, pair = Numbers(), Numbers(), np.zeros(len(words), np.int8), np.zeros((2, len(words)), np.int64)
-        others = []
-        for at, word in enumerate(words):
-            if word.isascii() and (core := word.rstrip(_PLAIN_END)).isalpha():
-                pair[0, at] = cores[core]
-                if len(core) < len(word):
-                    kind[at], pair[1, at] = 1, tails[word[len(core) :]]
-            else:
-                kind[at], pair[0, at] = 2, len(others)
-                others.append(word)
-        (a, na), (b, nb), (c, nc) = self._plain(list(cores)), self._other(list(tails)), self._other(others)
+        """Add the ids of new distinct words. A word of letters with signs after it is encoded as the word and the signs."""
+        array = pa.array(words, pa.large_string())
+        core = pc.utf8_rtrim(array, characters=_PLAIN_END)
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(pc.utf8_lower(core))).to_numpy(zero_copy_only=False)
+        cut = pc.binary_length(core).to_numpy(), pc.binary_length(array).to_numpy()
+        tailed = np.flatnonzero(plain & (cut[0] < cut[1]))
+        letters = core.filter(pa.array(plain)).dictionary_encode()
+        tails = pa.array([words[i][cut[0][i] - cut[1][i] :] for i in tailed], pa.large_string()).dictionary_encode()
+        others = [words[i] for i in np.flatnonzero(~plain)]
+        (a, na), (b, nb), (c, nc) = self._plain(letters.dictionary.to_pylist()), self._other(tails.dictionary.to_pylist()), self._other(others)
         flat, size = np.concatenate([a, b, c]), np.concatenate([na, nb, nc])
         start = np.cumsum(size) - size
-        head = pair[0] + np.where(kind == 2, len(na) + len(nb), 0)
-        tail = pair[1] + len(na)
-        n_tail = np.where(kind == 1, size[tail] if len(size) else 0, 0) if (kind == 1).any() else np.zeros(len(words), np.int64)
-        parts = np.stack([size[head], n_tail], axis=1).ravel()
-        first = np.stack([start[head], start[tail] if (kind == 1).any() else start[head]], axis=1).ravel()
-        ids = flat[np.repeat(first - (np.cumsum(parts) - parts), parts) + np.arange(int(parts.sum()))]
-        self.bound = np.append(self.bound, self.bound[-1] + np.cumsum(parts[0::2] + parts[1::2]))
+        # Each word is a first and a second piece; the second is empty unless signs follow the letters.
+        first, second = np.zeros((2, len(words)), np.int64), np.zeros((2, len(words)), np.int64)
+        for rows, place, out in (
+            (plain, letters.indices.to_numpy(), first), (~plain, len(na) + len(nb) + np.arange(len(others)), first), (tailed, len(na) + tails.indices.to_numpy(), second)
+        ):
+            out[0, rows], out[1, rows] = start[place], size[place]
+        begin, parts = np.stack([first[0], second[0]], axis=1).ravel(), np.stack([first[1], second[1]], axis=1).ravel()
+        ids = flat[np.repeat(begin - (np.cumsum(parts) - parts), parts) + np.arange(int(parts.sum()))]
+        self.bound = np.append(self.bound, self.bound[-1] + np.cumsum(first[1] + second[1]))
         self.ids = np.append(self.ids, ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with an end id after each, number of ids of each text)."""
-        lists = [split_words(t) for t in texts]
-        n = np.array(list(map(len, lists)), np.int64)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(lists)), np.int64, int(n.sum()))
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            lists = pa.array([split_words(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        names = found.dictionary.to_pylist()
+        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
         if self.place.fresh:
             self.learn(self.place.fresh)
             self.place.fresh = []
+        at = at[found.indices.to_numpy()]
         # The end id is a word of its own after the last word of each text.
-        first, size = self.bound[at], self.bound[at + 1] - self.bound[at]
         stop = np.cumsum(n)
-        first, size = np.insert(first, stop, len(self.ids)), np.insert(size, stop, 1)
-        flat = np.append(self.ids, np.uint32(END_ID))
-        ids = flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        ends = np.append(0, np.cumsum(size))[stop + np.arange(1, len(n) + 1)]
+        at = np.insert(at, stop, len(self.bound) - 1)
+        bound = np.append(self.bound, len(self.ids) + 1)
+        size = np.diff(bound)[at]
+        after = np.cumsum(size)
+        # Places fit into 32 bits unless a group has more ids, which only a very long text does.
+        kind = np.int32 if after[-1] < 1 << 31 else np.int64
+        ids = np.append(self.ids, np.uint32(END_ID))[np.repeat((bound[at] - after + size).astype(kind), size) + np.arange(after[-1], dtype=kind)]
+        ends = after[stop + np.arange(len(n))]
         return ids, np.diff(ends, prepend=0)
 
 
@@ -245,10 +255,12 @@ def write_tokens(df: DataFrame, target: str, path: str | None = None, key: str =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in groups(texts):
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+            edge = np.append(np.searchsorted(size // GROUP_BYTES, np.unique(size // GROUP_BYTES)), len(names))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 keys += names[a:b]
-                held.append(cache.encode(texts[a:b]))
+                held.append(cache.encode(texts.slice(a, b - a)))
                 if len(cache.place) > CACHE_WORDS:
                     cache = WordCache(path)
                 if sum(len(x) for x, _ in held) >= SHARD_IDS:
