@@ -200,23 +200,22 @@ def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", t
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of the rows of :func:`encode_decode`."""
+def digests(coded: DataFrame, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of the rows of :func:`encode_decode`, with their ids if asked for."""
     kind = coded.schema[key].dataType.simpleString()
+    names = [key, *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, data = batch.column(1), batch.column(2)
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view("<u4")
             spans = list(zip(bounds[:-1], bounds[1:]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([b - a for a, b in spans], pa.int64()),
-                    pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in spans]),
-                    pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in data]),
-                ],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return coded.select(key, "ids", "decoded").mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+            columns = [
+                pa.array([b - a for a, b in spans], pa.int64()),
+                pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in spans]),
+                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([lists] if keep_ids else []), *columns], names)
+
+    ids = "ids array<int>, " if keep_ids else ""
+    return coded.select(key, "ids", "decoded").mapInArrow(run, f"`{key}` {kind}, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")

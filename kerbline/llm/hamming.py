@@ -6,9 +6,10 @@ provably covered: after all segments are searched to radius r, every code within
 Exact shard results merge to the exact result.
 
 Equal codes are one index entry that holds its k + 1 smallest ids, which is enough for any exact answer, so a hot code costs no more
-than another. Queries (a stated set of rows) meet the index in blocks: each query code goes once to each shard.
+than another. Queries (a stated set of rows) meet the index in blocks of about ``BLOCK_CODES`` codes: each query code goes once to each shard, so
+the work is that of queries times shards, each visit far below a scan. Vectors of different lengths are searched apart.
 A row is not its own neighbour; ties in distance go to the smaller id. Null ids and null, empty or null-holding vectors are left out;
-repeated ids count once. Vectors of other lengths than the most frequent are left out as well. Empty tables give an empty result.
+repeated ids count once, with their smallest code of the shortest vector. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ from pyspark.sql import functions as F
 
 from kerbline.runtime import materialise
 
-WORD, BITS, SHARD_CODES = 64, 16, 50_000
+WORD, BITS, SHARD_CODES, BLOCK_CODES = 64, 16, 50_000, 4_096
 
 
-def code_column(width: int, vector: str = "embedding") -> Column:
-    """The sign bits of all ``width`` dimensions as an array of longs; a positive value sets the bit."""
+def code_column(vector: str = "embedding") -> Column:
+    """The sign bits of all dimensions as an array of longs; a positive value sets the bit."""
 
-    def word(at: int) -> Column:
-        bits = F.transform(F.slice(F.col(vector), at + 1, WORD), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-        return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    def word(at: Column) -> Column:
+        one = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(F.transform(F.slice(F.col(vector), at * WORD + 1, F.lit(WORD)), one), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
-    return F.array(*[word(at) for at in range(0, width, WORD)])
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / WORD).cast("int")), word)
 
 
 @lru_cache(maxsize=BITS + 1)
@@ -85,26 +86,25 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
     """(query_id, rank, neighbour_id, distance) of each query row against all rows."""
     sized = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sized = sized.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
-    common = sized.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = common["w"] if common else 1
-    coded = sized.where(F.size("v") == width).select("id", "asks", code_column(width, "v").alias("code"))
-    coded = materialise(coded.groupBy("id").agg(F.max("asks").alias("asks"), F.min("code").alias("code")), "hamming-codes")
+    coded = sized.select("id", "asks", F.size("v").alias("width"), code_column("v").alias("code"))
+    coded = materialise(coded.groupBy("id").agg(F.max("asks").alias("asks"), F.min(F.struct("width", "code")).alias("c")).select("id", "asks", "c.*"), "hamming-codes")
     # The smallest ids of a code, found in two steps so that no task holds all ids of a hot code.
-    salted = coded.select("code", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    w1 = salted.selectExpr("code", "id", "row_number() over (partition by code, salt order by id) as n").where(F.col("n") <= k + 1)
-    kept = w1.selectExpr("code", "id", "row_number() over (partition by code order by id) as n").where(F.col("n") <= k + 1)
-    entries = materialise(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "hamming-entries")
+    salted = coded.select("width", "code", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    w1 = salted.selectExpr("width", "code", "id", "row_number() over (partition by width, code, salt order by id) as n").where(F.col("n") <= k + 1)
+    kept = w1.selectExpr("width", "code", "id", "row_number() over (partition by width, code order by id) as n").where(F.col("n") <= k + 1)
+    entries = materialise(kept.groupBy("width", "code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "hamming-entries")
     shards = max(1, -(-entries.count() // SHARD_CODES))
-    index = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "ids")
-    asked = coded.where("asks").select("code").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"), "code")
-    # A block of queries keeps a task's share bounded; the shard's index is dealt to each block.
-    blocks = 8
+    index = entries.select("width", F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "ids")
+    asked = coded.where("asks").select("width", "code").distinct().select("width", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"), "code")
+    # Blocks of queries keep a task's share bounded; the shard's index is dealt to each block.
+    blocks = max(8, -(-coded.where("asks").select("width", "code").distinct().count() // BLOCK_CODES))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)))
     index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
     def find(wanted: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(wanted) or not len(held):
-            return pd.DataFrame({"code": [], "distance": [], "id": []}).astype({"code": object, "distance": "int64", "id": "int64"})
+            return pd.DataFrame({"width": [], "code": [], "distance": [], "id": []}).astype({"width": "int32", "code": object, "distance": "int64", "id": "int64"})
+        width = int(held["width"].iloc[0])
         ids = held["ids"].to_numpy()
         tables = MultiIndex(np.stack(held["code"].to_list()).astype(np.int64), np.array([len(x) for x in ids]), width)
         codes, out = [], []
@@ -116,10 +116,10 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
             codes += [q] * found.shape[1]
             out.append(found)
         distance, found_id = np.concatenate(out, 1)
-        return pd.DataFrame({"code": codes, "distance": distance, "id": found_id})
+        return pd.DataFrame({"width": width, "code": codes, "distance": distance, "id": found_id})
 
-    local = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(find, "code array<bigint>, distance bigint, id bigint")
-    best = local.selectExpr("code", "distance", "id", "row_number() over (partition by code order by distance, id) as n").where(F.col("n") <= k + 1).drop("n")
-    answers = coded.where("asks").select(F.col("id").alias("query_id"), "code").join(best, "code").where("id != query_id")
+    local = asked.groupBy("width", "shard", "block").cogroup(index.groupBy("width", "shard", "block")).applyInPandas(find, "width int, code array<bigint>, distance bigint, id bigint")
+    best = local.selectExpr("width", "code", "distance", "id", "row_number() over (partition by width, code order by distance, id) as n").where(F.col("n") <= k + 1).drop("n")
+    answers = coded.where("asks").select(F.col("id").alias("query_id"), "width", "code").join(best, ["width", "code"]).where("id != query_id")
     ranked = answers.selectExpr("query_id", "row_number() over (partition by query_id order by distance, id) as rank", "id as neighbour_id", "distance")
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))

@@ -2,11 +2,14 @@
 
 Features: densities of a fixed lexicon and of a lexicon learnt from the training labels, their proximity to second-person
 words, shares of capitals, punctuation, exclamation marks and obfuscated words, and the length. The learnt lexicon comes from
-document counts per word and label, aggregated on the executors. At most ``max_train`` labelled rows (first by hash
-of the key) fit the trees; the rows that reach the driver are feature vectors only. Calibration uses out-of-fold scores.
+document counts per word and label, aggregated on the executors: words in at least ``LEAST_SHARE`` of the toxic training documents, which
+bounds their number, that are ``ODDS`` times as frequent there. At most ``max_train`` labelled documents (first by hash
+of the key) fit the trees; the rows that reach the driver are feature vectors only. Calibration uses out-of-fold scores of trees whose lexicon
+is learnt without the fold, too.
 
 Empty and null texts are scored like any other (all densities 0). Without labels of both kinds every score is the smoothed share of
-toxic labels. Repeated rows are scored one by one; a key with several labels counts as toxic if any of them is 1.
+toxic labels. Repeated rows are scored one by one; in training a key counts once, with its smallest text, as toxic if any of its labels is 1.
+Rows with a null key are scored and never train. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import remainder
 from kerbline.llm.vocab import chunks, trim
+from kerbline.runtime import materialise
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 200
+LEAST_SHARE, ODDS, FOLDS = 0.03, 8.0, 5
 CUT = 0.7
 INSULTS = frozenset("idiot moron stupid dumb scum trash garbage loser pathetic worthless clown fool imbecile disgusting filth vermin creep jerk hate kill".split())
 SECOND = frozenset("you your yours yourself du dich dir dein deine tu te toi ton tes vous votre usted tú ti vos".split())
@@ -147,17 +151,17 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration."""
+    """Lexicon, trees and calibration. ``x`` are the features under the full lexicon, ``x_out`` those under the lexicon without the row's fold's labels."""
 
-    def __init__(self, lexicon: frozenset[str], x: np.ndarray, y: np.ndarray):
+    def __init__(self, lexicon: frozenset[str], x: np.ndarray, x_out: np.ndarray, fold: np.ndarray, y: np.ndarray):
         self.lexicon, self.rate = lexicon, (y.sum() + 0.5) / (len(y) + 1)
         self.trees = None
         if len(set(y.tolist())) < 2:
             return
-        fold, out = np.arange(len(y)) % 5, np.zeros(len(y))
-        for k in range(5):
+        out = np.zeros(len(y))
+        for k in np.unique(fold):
             rest = fold != k
-            out[~rest] = Trees().fit(x[rest], y[rest]).score(x[~rest])
+            out[~rest] = Trees().fit(x_out[k, rest], y[rest]).score(x_out[k, ~rest])
         self.trees, self.curve = Trees().fit(x, y), isotonic(out, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -166,38 +170,55 @@ class Model:
         return np.clip(np.interp(self.trees.score(x), *self.curve), 0, 1)
 
 
+def choose(words: list[str], bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> frozenset[str]:
+    """The words that are frequent in toxic documents and much rarer in others."""
+    odds = ((bad + 0.1) / (n_bad + 0.2)) / ((good + 0.1) / (n_good + 0.2))
+    return frozenset(w for w, keep in zip(words, (bad >= max(4, LEAST_SHARE * n_bad)) & (odds > ODDS)) if keep)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the labelled ``rows`` (a condition on doc_id)."""
     marks = labels.where(rows & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    train = materialise(texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold, "text"), "toxic-train")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for toxic, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = {b for part in chunks(text or "") for w in part.split() if len(b := plain(w)[0]) > 2}
                 found.add("")
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], ["word", "toxic"])
-
-    seen = train.select(F.col("toxic").cast("int"), "text").mapInArrow(words, "word string, toxic int")
-    table = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    sizes = table.where("word = ''").first()
-    bad, good = (sizes["bad"], sizes["good"]) if sizes else (0, 0)
-    odds = ((F.col("bad") + 0.1) / (bad + 0.2)) / ((F.col("good") + 0.1) / (good + 0.2))
-    chosen = table.where((F.col("word") != "") & (F.col("bad") >= max(4, 0.03 * bad)) & (odds > 8)).orderBy(odds.desc(), "word").limit(MAX_LEXICON)
-    lexicon = frozenset(r["word"] for r in chosen.collect())
-    sample = featurise(train.select("doc_id", "toxic", "text"), lexicon, ["doc_id", "toxic"]).orderBy("doc_id").toPandas()
-    x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(Features.names))
-    return Model(lexicon, x, sample["toxic"].to_numpy(float))
-
-
-def featurise(df: DataFrame, lexicon: frozenset[str], keep: list[str]) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32()), pa.array([k] * len(found), pa.int32())], ["word", "toxic", "fold"])
+
+    seen = train.select("toxic", "fold", "text").mapInArrow(words, "word string, toxic int, fold int")
+    of = lambda k, bad: F.count_if((F.col("fold") == k) & (F.col("toxic") == bad))
+    table = seen.groupBy("word").agg(*(of(k, 1).alias(f"bad{k}") for k in range(FOLDS)), *(of(k, 0).alias(f"good{k}") for k in range(FOLDS)))
+    bad_all = sum((F.col(f"bad{k}") for k in range(FOLDS)), F.lit(0))
+    # Only words frequent enough under some fold's absence are looked at: a document has few words, so their number is bounded.
+    least = train.agg(F.count_if(F.col("toxic") == 1)).first()[0]
+    counted = table.where((F.col("word") == "") | (bad_all >= max(4, LEAST_SHARE * least * (1 - 2 / FOLDS)))).toPandas()
+    bad, good = (counted[[f"{n}{k}" for k in range(FOLDS)]].to_numpy(float) for n in ("bad", "good"))
+    names = counted["word"].tolist()
+    empty = names.index("") if "" in names else None
+    n_bad, n_good = (x[empty] if empty is not None else np.zeros(FOLDS) for x in (bad, good))
+    inner = [i for i, n in enumerate(names) if n]
+    listed = [names[i] for i in inner]
+    without = lambda k: choose(listed, *(x[inner].sum(1) - (x[inner, k] if k is not None else 0) for x in (bad, good)), *(x.sum() - (x[k] if k is not None else 0) for x in (n_bad, n_good)))
+    lexicon, others = without(None), [without(k) for k in range(FOLDS)]
+    sample = featurise(train, [lexicon, *others], ["doc_id", "toxic", "fold"]).toPandas().sort_values("doc_id")
+    x = np.array(sample["x"].tolist(), float).reshape(len(sample), 1 + FOLDS, len(Features.names)).transpose(1, 0, 2)
+    return Model(lexicon, x[0], x[1:], sample["fold"].to_numpy(int), sample["toxic"].to_numpy(float))
+
+
+def featurise(df: DataFrame, lexicons: list[frozenset[str]], keep: list[str]) -> DataFrame:
+    """The ``keep`` columns with ``x``: the features under each of the lexicons, one after another."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Features(lexicon)
+        makers = [Features(words) for words in lexicons]
         for batch in batches:
-            rows = [maker.of(t) for t in batch.column(len(keep)).to_pylist()]
+            rows = [[v for maker in makers for v in maker.of(t)] for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
 
     return df.select(*keep, F.col("text")).mapInArrow(run, schema)
@@ -222,4 +243,4 @@ def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3) -> DataFrame:
     """(doc_id, held_out, score, predicted), learnt from labels of rows whose crc32(doc_id) modulo ``folds`` isn't 1."""
     fitted = learn(docs, labels, remainder("doc_id", folds) != 1)
-    return predict(docs, fitted, ["doc_id"]).select("doc_id", (remainder("doc_id", folds) == 1).alias("held_out"), "score", "predicted")
+    return predict(docs, fitted, ["doc_id"]).select("doc_id", F.coalesce(remainder("doc_id", folds) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
