@@ -27,9 +27,11 @@ def session(app: str = "kerbline", cores: str = "*", **conf: str) -> SparkSessio
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset and everything runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="kerbline-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
