@@ -34,7 +34,8 @@ SECOND = frozenset("you your yours yourself du dich dir dein deine tu te toi ton
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = string.punctuation + "«»“”„…"
 _NEAR = 6
-_FIXED, _LEARNT, _YOU, _OBSCURED = 1, 2, 4, 8
+#: Bits of a word's classes; the learnt lexicons take the bits from ``_LEARNT`` on.
+_FIXED, _YOU, _OBSCURED, _LEARNT = 1, 2, 4, 8
 
 
 def plain(word: str) -> tuple[str, bool]:
@@ -48,38 +49,43 @@ def plain(word: str) -> tuple[str, bool]:
 
 
 class Features:
-    """Dense features of texts; word classes are remembered."""
+    """Dense features of texts under one lexicon or several; word classes are remembered."""
 
     names = ("fixed", "learnt", "fixed_n", "learnt_n", "near", "you", "obscured", "capitals", "punctuation", "exclaim", "length")
 
-    def __init__(self, lexicon: frozenset[str]):
-        self.lexicon, self.cache = lexicon, {}
+    def __init__(self, *lexicons: frozenset[str]):
+        self.lexicons, self.cache = lexicons, {}
 
     def code(self, word: str) -> int:
         got = self.cache.get(word)
         if got is None:
             base, odd = plain(word)
-            got = _FIXED * (base in INSULTS) | _LEARNT * (base in self.lexicon) | _YOU * (base in SECOND) | _OBSCURED * odd
+            got = _FIXED * (base in INSULTS) | _YOU * (base in SECOND) | _OBSCURED * odd
+            for k, lexicon in enumerate(self.lexicons):
+                got |= (_LEARNT << k) * (base in lexicon)
             self.cache[word] = got
         return got
 
     def of(self, text: str | None) -> list[float]:
+        """The features under each lexicon, one after another."""
         text = text or ""
-        codes = np.concatenate([np.zeros(0, np.uint8), *(np.fromiter(map(self.code, part.split()), np.uint8) for part in chunks(text))])
+        codes = np.concatenate([np.zeros(0, np.uint16), *(np.fromiter(map(self.code, part.split()), np.uint16) for part in chunks(text))])
         trim(self.cache)
         data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         n, size = max(len(codes), 1), max(len(data), 1)
-        fixed, learnt = np.count_nonzero(codes & _FIXED), np.count_nonzero(codes & _LEARNT)
-        bad, you = np.flatnonzero(codes & (_FIXED | _LEARNT)), np.flatnonzero(codes & _YOU)
-        near = 0
-        if len(bad) and len(you):
-            right = np.searchsorted(you, bad)
-            gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - bad), np.abs(you[np.maximum(right - 1, 0)] - bad))
-            near = np.count_nonzero(gap <= _NEAR)
+        fixed, you = np.count_nonzero(codes & _FIXED), np.flatnonzero(codes & _YOU)
         kind = np.bincount(data, minlength=256)
         marks = sum(int(kind[ord(c)]) for c in string.punctuation)
-        capitals, exclaim = int(kind[65:91].sum()), int(kind[33])
-        return [fixed / n, learnt / n, fixed, learnt, near / n, len(you) / n, np.count_nonzero(codes & _OBSCURED) / n, capitals / size, marks / size, exclaim / size, np.log1p(n)]
+        rest = [len(you) / n, np.count_nonzero(codes & _OBSCURED) / n, int(kind[65:91].sum()) / size, marks / size, int(kind[33]) / size, np.log1p(n)]
+        out = []
+        for k in range(len(self.lexicons)):
+            learnt, bad, near = np.count_nonzero(codes & (_LEARNT << k)), np.flatnonzero(codes & (_FIXED | _LEARNT << k)), 0
+            if len(bad) and len(you):
+                right = np.searchsorted(you, bad)
+                gap = np.minimum(np.abs(you[np.minimum(right, len(you) - 1)] - bad), np.abs(you[np.maximum(right - 1, 0)] - bad))
+                near = np.count_nonzero(gap <= _NEAR)
+            out += [fixed / n, learnt / n, fixed, learnt, near / n, *rest]
+        return out
 
 
 class Trees:
@@ -216,9 +222,9 @@ def featurise(df: DataFrame, lexicons: list[frozenset[str]], keep: list[str]) ->
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        makers = [Features(words) for words in lexicons]
+        maker = Features(*lexicons)
         for batch in batches:
-            rows = [[v for maker in makers for v in maker.of(t)] for t in batch.column(len(keep)).to_pylist()]
+            rows = [maker.of(t) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
 
     return df.select(*keep, F.col("text")).mapInArrow(run, schema)
