@@ -15,6 +15,7 @@ writes no shard. Columns other than the key and the text are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,12 +26,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kerbline.llm.common import mix
-from kerbline.llm.vocab import WORD_BPE, Numbers, split_words, vocabulary, word_tokenizer
+from kerbline.llm.vocab import WORD_BPE, Numbers, split_words, vocabulary, word_model, word_tokenizer
 
 MAGIC = b"KTS2"
-SHARD_IDS, PARTITION_BYTES, GROUP_BYTES, CACHE_WORDS = 1 << 20, 1 << 25, 1 << 22, 700_000
+SHARD_IDS, PARTITION_BYTES, GROUP_BYTES, CACHE_WORDS, SHARDS_PER_FILE = 1 << 20, 1 << 25, 1 << 22, 500_000, 4
 END_ID = 1
 _SHARD = "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start_in_part bigint, shard binary"
 
@@ -143,24 +145,38 @@ class Shard:
 
 
 _PLAIN_END = ".,;:!?)\""
+#: Words of Latin letters that stay as they are under composition and whose lower case is one letter each.
+_PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+_PROBE = ["street", "the", "\u00fcber", "ni\u00f1o", "eaue", "xqzwv", "internationalisation"]
+
+
+def _lean(path: str) -> Tokenizer | None:
+    """The file's model behind a cut at blanks alone: what its tokenizer comes to for lower-case letter words; None where it doesn't."""
+    spec = word_model(path) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
+    lean, full = Tokenizer.from_str(json.dumps(spec)), word_tokenizer(path)
+    ids = lambda t, w: t.encode(w, add_special_tokens=False).ids
+    alike = all(ids(lean, w) == ids(full, w) == ids(full, w.title()) for w in _PROBE) and ids(lean, " ".join(_PROBE)) == ids(full, " ".join(_PROBE))
+    return lean if alike else None
 
 
 class WordCache:
     """Ids of the words met so far; each distinct word goes to the library once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.place = word_tokenizer(path), Numbers()
+        self.tokenizer, self.lean, self.place = word_tokenizer(path), _lean(path), Numbers()
         self.ids, self.bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         ends = [n for t, n in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.last = np.zeros(max(ends, default=0) + 1, bool)
         self.last[ends] = True
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids of each) of words of letters: rows of them are encoded together, as each ends with the only word end of its own."""
+        """(ids, ids of each) of lower-case letter words: rows of them are encoded together, as each ends with the only word end of its own."""
         flat = [np.zeros(0, np.uint32)]
         rows = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
         for at in range(0, len(rows), 200):
-            flat += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rows[at : at + 200], add_special_tokens=False)]
+            flat += [np.array(e.ids, np.uint32) for e in (self.lean or self.tokenizer).encode_batch_fast(rows[at : at + 200], add_special_tokens=False)]
         ids = np.concatenate(flat)
         stop = np.flatnonzero(self.last[ids]) + 1
         # Should a vocabulary mark word ends otherwise, each word is encoded by itself.
@@ -177,10 +193,10 @@ class WordCache:
         """Add the ids of new distinct words. A word of letters with signs after it is encoded as the word and the signs."""
         array = pa.array(words, pa.large_string())
         core = pc.utf8_rtrim(array, characters=_PLAIN_END)
-        plain = pc.and_(pc.utf8_is_alpha(core), pc.utf8_is_alpha(pc.utf8_lower(core))).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(core, _PLAIN).to_numpy(zero_copy_only=False)
         cut = pc.binary_length(core).to_numpy(), pc.binary_length(array).to_numpy()
         tailed = np.flatnonzero(plain & (cut[0] < cut[1]))
-        letters = core.filter(pa.array(plain)).dictionary_encode()
+        letters = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
         tails = pa.array([words[i][cut[0][i] - cut[1][i] :] for i in tailed], pa.large_string()).dictionary_encode()
         others = [words[i] for i in np.flatnonzero(~plain)]
         (a, na), (b, nb), (c, nc) = self._plain(letters.dictionary.to_pylist()), self._other(tails.dictionary.to_pylist()), self._other(others)
@@ -267,8 +283,11 @@ def write_tokens(df: DataFrame, target: str, path: str | None = None, key: str =
                     yield flush()
         if keys:
             yield flush()
+        del cache, held
+        pa.default_memory_pool().release_unused()
 
-    dealt.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(target)
+    # Readers take a file's rows at once: few shards a file keep their memory small.
+    dealt.mapInArrow(run, _SHARD).write.option("compression", "zstd").option("maxRecordsPerFile", SHARDS_PER_FILE).parquet(target)
 
 
 def _based(spark: SparkSession, target: str) -> DataFrame:
