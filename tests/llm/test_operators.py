@@ -171,6 +171,56 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(docs, labels.where("false")).count() == 301
 
 
+def test_language_id_sums_over_whole_texts():
+    """Scores of a batch against sums n-gram by n-gram, with a text longer than a piece."""
+    weights = np.random.default_rng(3).normal(size=(language_id.BUCKETS, 3))
+    base = "Der Hund und die Katze. ÉTÉ "
+    texts = ["a", "ab", base, base * 40_000]
+
+    def plain(text):
+        p, total = [ord(c) for c in text.lower()] + [32, 32], np.zeros(3)
+        for at in range(len(p) - 2):
+            gram = p[at] + 1
+            grams = [gram, gram << 21 | p[at + 1], (gram << 21 | p[at + 1]) << 21 | p[at + 2]]
+            for g in grams:
+                total += weights[int(language_id.mix(np.array([g % 2**64], np.uint64))[0]) % language_id.BUCKETS]
+        return total
+
+    got = language_id._scores(texts, weights)
+    for text, row in zip(texts[:3], got):
+        assert np.allclose(row, plain(text))
+    # The long text's sum: that of one repetition inside the text times their number, but for the ends.
+    inner = plain(base + base) - plain(base)
+    assert np.allclose(got[3], plain(base) + inner * (40_000 - 1), rtol=1e-9)
+
+
+def test_isotonic_against_all_blocks():
+    rng = np.random.default_rng(5)
+    score, y = rng.integers(0, 12, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+    x = np.unique(score)
+    mean = lambda a, b: y[(score >= x[a]) & (score <= x[b])].mean()
+    want = [max(min(mean(a, b) for b in range(i, len(x))) for a in range(i + 1)) for i in range(len(x))]
+    assert np.allclose(np.interp(x, *toxicity.isotonic(score, y)), want)
+
+
+def test_trees_split_like_a_search():
+    rng = np.random.default_rng(6)
+    x = rng.random((80, 2))
+    y = (x[:, 1] > 0.6).astype(float)
+    fitted = toxicity.Trees(rounds=1, depth=1, rate=1.0, bins=16).fit(x, y)
+    binned, f0 = fitted._bin(x), 1 / (1 + np.exp(-fitted.start))
+    grad, hess = y - f0, np.full(80, f0 * (1 - f0))
+    gains = {}
+    for f in range(2):
+        for cut in range(15):
+            left = binned[:, f] <= cut
+            if 4 <= left.sum() <= 76:
+                gains[f, cut] = sum(grad[s].sum() ** 2 / (hess[s].sum() + 1) for s in (left, ~left))
+    assert fitted.trees[0][:2] == max(gains, key=gains.get)
+    many = toxicity.Trees(rounds=20).fit(x, y)
+    assert ((many.score(x) > 0) == (y > 0)).mean() > 0.95
+
+
 def test_main_text(spark):
     cases = {
         "<body><nav><a href=x>menu</a></nav><article><h1>T&amp;t</h1><p>One  <b>two</b>\nthree.<p>Four</p><div class='comments'>said</div></article><footer>f</footer>": "T&t\nOne two three.\nFour",
@@ -192,7 +242,7 @@ def test_main_text_of_breaks_names_and_nesting():
     assert main_text.extract("<article><p>one<br>two<br/>three</p></article>") == "one two three"
     assert main_text.extract(f"<div class='with-sidebar'><div class=text>{body}</div><div class=sidebar>Side.</div></div>") == "\n".join([one] * 4)
     assert main_text.extract(f"<article class='post has-comments comments'>{body}<div class='comment-list'><p>said</p></div></article>") == "\n".join([one] * 4)
-    assert main_text.extract(f"<div class='page-header'>{body}</div><div class=ad>{body}{body}{body}</div>") == "\\n".join([one] * 4)
+    assert main_text.extract(f"<div class='page-header'>{body}</div><div class=ad>{body}{body}{body}</div>") == "\n".join([one] * 4)
     assert main_text.extract(f"<article><p>Short.</p></article><div class=ad>{body}</div><aside>{body}</aside>") == "Short."
     deep = "<div>" * 6 + "<p>Deep.</p>" + "</div>" * 6
     assert main_text.extract(f"<main>{body}{deep}</main>").endswith("Deep.")
@@ -337,6 +387,25 @@ def test_hamming(spark):
     assert hamming.top_k(frame.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("width", [20, 150])
+def test_hamming_of_several_shards_and_widths(spark, monkeypatch, width):
+    """Small shards and blocks, repeated ids, empty vectors, and vectors of two lengths, searched apart."""
+    monkeypatch.setattr(hamming, "SHARD_CODES", 20)
+    monkeypatch.setattr(hamming, "BLOCK_CODES", 5)
+    rng = np.random.default_rng(11)
+    vectors = {i: rng.normal(size=width if i % 3 else 9) for i in range(150)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(3, vectors[3].tolist()), (700, []), (701, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = []
+    for q in range(0, 150, 30):
+        same = [i for i in vectors if len(vectors[i]) == len(vectors[q]) and i != q]
+        best = sorted((int(((vectors[i] > 0) != (vectors[q] > 0)).sum()), i) for i in same)[:10]
+        want += [(q, r + 1, i, n) for r, (n, i) in enumerate(best)]
+    ship(spark)
+    got = sorted(tuple(r) for r in hamming.top_k(frame, F.col("vec_id") % 30 == 0).select("query_id", "rank", "neighbour_id", "distance").collect() if r["query_id"] < 150)
+    assert got == want
+
+
 @pytest.mark.parametrize("width", [20, 150])
 def test_hamming_of_other_widths(spark, width):
     vectors = np.random.default_rng(9).normal(size=(120, width))
