@@ -107,7 +107,7 @@ def county(df: DataFrame, code: str = "073", prefix: str = "G06") -> DataFrame:
         if name in columns:
             return df.where(F.col(name).cast("string").isin(code, code.lstrip("0")))
     if "GISJOIN" in columns:
-        return df.where(F.contains(F.col("GISJOIN"), F.lit(prefix + "0" + code if not prefix.endswith("0") else prefix + code)))
+        return df.where(F.contains(F.col("GISJOIN"), F.lit(prefix + code)))
     return df
 
 

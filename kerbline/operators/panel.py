@@ -57,6 +57,25 @@ def two_way_effects(panel: DataFrame, value: str) -> DataFrame:
     )
 
 
+def count_effects(events: DataFrame, unit: str, ts: str) -> DataFrame:
+    """(unit, week_start, unit_effect, week_effect, fitted) of the dense panel's event counts, without building the panel.
+
+    Sums by unit and by week come from the weekly counts, one scan; the calendar with its means is one row, which each unit explodes.
+    """
+    seen = events.where(F.col(unit).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(unit).alias("unit"), week_start(F.col(ts)).alias("week_start")).agg(F.count("*").alias("n"))
+    units = seen.groupBy("unit").agg(F.sum("n").alias("s"))
+    weeks = seen.groupBy("week_start").agg(F.sum("n").alias("s"))
+    whole = units.agg(F.count("*").alias("units"), F.sum("s").alias("total"))
+    calendar = weeks.agg(F.expr("sequence(min(week_start), max(week_start), interval 7 days)").alias("days"), F.map_from_entries(F.collect_list(F.struct("week_start", "s"))).alias("sums"))
+    one = calendar.crossJoin(F.broadcast(whole)).select(
+        F.transform("days", lambda d: F.struct(d.alias("week_start"), (F.coalesce(F.try_element_at("sums", d), F.lit(0)) / F.col("units")).alias("mean"))).alias("weeks"),
+        F.size("days").alias("n"), (F.col("total") / F.col("units") / F.size("days")).alias("grand"),
+    )
+    rows = units.join(F.broadcast(one)).select("unit", (F.col("s") / F.col("n")).alias("u"), "grand", F.explode("weeks").alias("w"))
+    unit_effect, week_effect = F.col("u") - F.col("grand"), F.col("w.mean") - F.col("grand")
+    return rows.select("unit", F.col("w.week_start").alias("week_start"), unit_effect.alias("unit_effect"), week_effect.alias("week_effect"), (F.col("u") + week_effect).alias("fitted"))
+
+
 def two_way_projections(panel: DataFrame, value: str, rounds: int = 100, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame, float]:
     """(unit effects, week effects, R2) of any panel by alternating projections; both effects have mean zero over the rows.
 

@@ -83,7 +83,7 @@ def agg13_welch_balance(spark, sf_dir):
     SELECT unit, week_start, round(u - g, 4) AS unit_effect, round(w - g, 4) AS week_effect, round(u + w - g, 4) AS fitted FROM e
 """)
 def agg24_two_way_effects(spark, sf_dir):
-    return panel.two_way_effects(_panel(spark, sf_dir), "n_events").select("unit", "week_start", *_rounded("unit_effect", "week_effect", "fitted"))
+    return panel.count_effects(_t(spark, sf_dir, "events"), "user_id", "ts").select("unit", "week_start", *_rounded("unit_effect", "week_effect", "fitted"))
 
 
 @_query(_PANEL + "SELECT week_start, sum(n_events)::BIGINT AS potholes, count(*) AS total_segments, round(avg(y), 4) AS pothole_rate, sum(coalesce(r, 0))::BIGINT AS fixed, round(sum(coalesce(r, 0)) / nullif(sum(y), 0), 4) AS fix_rate FROM panel GROUP BY 1")

@@ -1,5 +1,6 @@
 """Properties of bundle growth, repairs and walks on grids and small graphs."""
 
+import itertools
 import random
 
 import pytest
@@ -111,12 +112,18 @@ def test_walks_of_grids():
 
 
 def test_pairing_is_the_shortest():
-    # Four odd nodes on a line: the cheapest pair is doubled, the others are the walk's ends.
-    net = graph([("a", "x"), ("b", "x"), ("x", "y"), ("y", "c"), ("y", "d")], [1.0, 1.0, 5.0, 3.0, 3.0])
-    extra, again = nw.pair_odd_nodes(net, list(range(5)))
-    assert extra == 2.0 or extra == 5.0
-    best = min(e for e in (2.0, 5.0) if e >= extra)
-    assert extra == best and len(again) >= 1
+    net = graph([("a", "x"), ("b", "x"), ("x", "y"), ("y", "c"), ("y", "d"), ("d", "e"), ("d", "f")], [1.0, 1.5, 5.0, 3.0, 2.0, 0.5, 4.0])
+    held = list(range(len(net)))
+    odd = nw.odd_nodes(net, held)
+    far = {n: nw._paths(net, held, n)[0] for n in odd}
+
+    def best(left: tuple) -> float:
+        return 0.0 if not left else min(far[left[0]][x] + best(tuple(n for n in left[1:] if n != x)) for x in left[1:])
+
+    want = min(best(tuple(n for n in odd if n not in pair)) for pair in itertools.combinations(odd, 2))
+    extra, again = nw.pair_odd_nodes(net, held)
+    assert extra == pytest.approx(want) and extra == sum(net.lengths[i] for i in again)
+    assert nw.pair_odd_nodes(net, held, exact=0)[0] >= want
 
 
 def test_disconnected_and_empty_bundles():
