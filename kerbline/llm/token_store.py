@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kerbline.llm.common import mix
-from kerbline.llm.vocab import WORD_BPE, Numbers, split_words, vocabulary, word_model, word_tokenizer
+from kerbline.llm.vocab import WORD_BPE, Numbers, split_words, vocabulary, word_tokenizer
 
 MAGIC = b"KTS2"
-SHARD_IDS, PARTITION_BYTES, GROUP_BYTES, CACHE_WORDS, SHARDS_PER_FILE = 1 << 20, 1 << 25, 1 << 22, 500_000, 4
+SHARD_IDS, PARTITION_BYTES, GROUP_BYTES, CACHE_WORDS, SHARDS_PER_FILE = 1 << 20, 1 << 25, 1 << 22, 350_000, 4
 END_ID = 1
 _SHARD = "part int, seq int, first_key bigint, last_key bigint, n_docs bigint, n_tokens bigint, start_in_part bigint, shard binary"
 
@@ -150,9 +151,11 @@ _PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 _PROBE = ["street", "the", "\u00fcber", "ni\u00f1o", "eaue", "xqzwv", "internationalisation"]
 
 
+@lru_cache(maxsize=2)
 def _lean(path: str) -> Tokenizer | None:
     """The file's model behind a cut at blanks alone: what its tokenizer comes to for lower-case letter words; None where it doesn't."""
-    spec = word_model(path) | {"normalizer": None, "added_tokens": [], "post_processor": None}
+    with open(path, encoding="utf-8") as source:
+        spec = json.load(source) | {"normalizer": None, "added_tokens": [], "post_processor": None}
     byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
     spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}
     lean, full = Tokenizer.from_str(json.dumps(spec)), word_tokenizer(path)
@@ -161,15 +164,24 @@ def _lean(path: str) -> Tokenizer | None:
     return lean if alike else None
 
 
+@lru_cache(maxsize=2)
+def _word_ends(path: str) -> np.ndarray:
+    """Whether each id ends a word."""
+    ends = [n for t, n in word_tokenizer(path).get_vocab().items() if t.endswith("</w>")]
+    out = np.zeros(max(ends, default=0) + 1, bool)
+    out[ends] = True
+    return out
+
+
 class WordCache:
     """Ids of the words met so far; each distinct word goes to the library once."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.lean, self.place = word_tokenizer(path), _lean(path), Numbers()
-        self.ids, self.bound = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        ends = [n for t, n in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.last = np.zeros(max(ends, default=0) + 1, bool)
-        self.last[ends] = True
+        self.tokenizer, self.lean, self.last = word_tokenizer(path), _lean(path), _word_ends(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place, self.ids, self.bound = Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each) of lower-case letter words: rows of them are encoded together, as each ends with the only word end of its own."""
@@ -278,7 +290,7 @@ def write_tokens(df: DataFrame, target: str, path: str | None = None, key: str =
                 keys += names[a:b]
                 held.append(cache.encode(texts.slice(a, b - a)))
                 if len(cache.place) > CACHE_WORDS:
-                    cache = WordCache(path)
+                    cache.clear()
                 if sum(len(x) for x, _ in held) >= SHARD_IDS:
                     yield flush()
         if keys:
