@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix, remainder, words
-from kerbline.runtime import materialise, scratch
+from kerbline.runtime import materialise, release, scratch
 
 MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK, RESERVE_FROM = 5, 3 << 19, 1 << 21, 4, 1000
 _START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
@@ -414,6 +414,7 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS_PER_TASK))
     found = packed.repartition(tasks, F.xxhash64("part")).sortWithinPartitions("part").mapInArrow(evaluate, _TABLE)
     found.write.option("compression", "zstd").partitionBy("kind").parquet(target)
+    release(blocks, numbered)
     return n, v
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import mix, words
 from kerbline.operators.graph import connected_components
-from kerbline.runtime import materialise
+from kerbline.runtime import materialise, release
 
 BANDS, ROWS, BINS, BITS, SPREADS = 36, 5, 1024, 1024, 4.0
 #: Classes of a bucket's block, those that are compared with them, and shingles that meet in one group of the exact check.
@@ -225,6 +225,7 @@ def _first_units(members: DataFrame, drawn: DataFrame, percent: int) -> tuple[Da
     size = close.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("blocks"))
     unit = F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = materialise(close.join(size, "pivot").select(unit.alias("unit"), "cid", "pivot", "n"), "near-units")
+    release(close)
     centres = dealt.select("unit", F.col("pivot").alias("cid"), F.lit(None).cast("array<bigint>").alias("others")).distinct()
     return centres, dealt.select("unit", "cid", F.col("cid").alias("comp"), "n")
 
@@ -278,6 +279,7 @@ def _later_units(members: DataFrame, drawn: DataFrame, parts: DataFrame, percent
     block, pack = told(left), told(right)
     found = block.groupBy("bin").cogroup(pack.toDF(*pack.columns).groupBy("bin")).applyInArrow(compare, "unit bigint, cid bigint, comp bigint, n bigint, others array<bigint>")
     found = materialise(found, "near-units")
+    release(named)
     return found.where("others is not null").select("unit", "cid", "others"), found.where("others is null").drop("others")
 
 
@@ -303,6 +305,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     parts = materialise(connected_components(edges.union(more)), "near-parts")
     named = own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = materialise(named.select("doc_id", "n", "component"), "near-labels")
+    # The result reads the labels alone.
+    release(every, classes, own, drawn, members, sets, edges, parts)
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kerbline.llm.common import remainder
 from kerbline.llm.vocab import chunks, trim
-from kerbline.runtime import materialise
+from kerbline.runtime import materialise, release
 
 MAX_TRAIN = 20_000
 LEAST_SHARE, ODDS, FOLDS = 0.03, 8.0, 5
@@ -213,6 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, max_train: int = MAX
     without = lambda k: choose(listed, *(x[inner].sum(1) - (x[inner, k] if k is not None else 0) for x in (bad, good)), *(x.sum() - (x[k] if k is not None else 0) for x in (n_bad, n_good)))
     lexicon, others = without(None), [without(k) for k in range(FOLDS)]
     sample = featurise(train, [lexicon, *others], ["doc_id", "toxic", "fold"]).toPandas().sort_values("doc_id")
+    release(train)
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), 1 + FOLDS, len(Features.names)).transpose(1, 0, 2)
     return Model(lexicon, x[0], x[1:], sample["fold"].to_numpy(int), sample["toxic"].to_numpy(float))
 
