@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.runtime import materialise
+from kerbline.runtime import materialise, release
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         # Small-star wants the larger end first, as contraction and large-star leave it.
-        cur = materialise(_small_star(_large_star(_contract(cur))), "components")
+        last, cur = cur, materialise(_small_star(_large_star(_contract(cur))), "components")
+        release(last)
         now = _state(cur)
         if now == seen or not now[0]:
             break

@@ -51,7 +51,19 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_written")
+        if path:
+            jvm, spark = table.sparkSession._jvm, table.sparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _shipped: set[str] = set()
