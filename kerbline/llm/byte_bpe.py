@@ -62,18 +62,31 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = byte_ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         rows = [
             (self.ranks[t[:i]] * 65536 + self.ranks[t[i:]], made)
             for t, made in self.ranks.items()
             for i in range(1, len(t))
             if t[:i] in self.ranks and t[i:] in self.ranks
         ]
-        self._table("merges", np.array(rows, np.int64).T, ("pair", "made"))
-        vocab = pa.table({"tok": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
-        self._arrow("vocab", vocab)
+        self.merges = pa.table(dict(zip(("pair", "made"), map(pa.array, np.array(rows, np.int64).T))))
+        self.vocab = pa.table({"tok": pa.array(self.ranks.values(), pa.int64()), "hex": [t.hex() for t in self.ranks]})
+        self._db = None
         self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
 
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        if self._db is None:
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+            self._arrow("merges", self.merges)
+            self._arrow("vocab", self.vocab)
+        return self._db
+
+    def close(self) -> None:
+        """Give back the database's memory; the next call opens another one."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+
     def _arrow(self, name: str, table: pa.Table) -> None:
         self.db.register("incoming", table)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
@@ -196,6 +209,7 @@ def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, end - start), lists.cast(pa.list_(pa.int32())), pa.array(data, pa.binary())], [key, "ids", "decoded"]
                 )
+        coder.close()
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
 

@@ -109,13 +109,15 @@ def _scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
 def predict(df: DataFrame, names: list[str], weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """The ``keep`` columns of ``df`` with ``lang_pred`` and the posterior ``score`` of that language."""
     model = df.sparkSession.sparkContext.broadcast((names, weights))
-    source = df.select(*keep, F.col(text).alias("text_scored"))
+    # A text that is kept isn't sent twice.
+    source = df.select(*keep) if text in keep else df.select(*keep, text)
+    place = source.columns.index(text)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, matrix = model.value
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(place).to_pylist()
             langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for a, b in groups(texts):
                 rows = [i for i in range(a, b) if labels and has_letter(texts[i])]
@@ -126,7 +128,7 @@ def predict(df: DataFrame, names: list[str], weights: np.ndarray, keep: list[str
                 sure[rows] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 for i, k in zip(rows, best):
                     langs[i] = labels[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(sure)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs), pa.array(sure)], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)
 

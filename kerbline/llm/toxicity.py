@@ -236,14 +236,18 @@ def predict(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
+    # A text that is kept isn't sent twice.
+    source = df.select(*keep) if "text" in keep else df.select(*keep, "text")
+    place = source.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         maker = Features(fitted.lexicon)
         for batch in batches:
-            x = np.array([maker.of(t) for t in batch.column(len(keep)).to_pylist()], float).reshape(-1, len(Features.names))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fitted.score(x))], [*keep, "score"])
+            x = np.array([maker.of(t) for t in batch.column(place).to_pylist()], float).reshape(-1, len(Features.names))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fitted.score(x))], [*keep, "score"])
 
-    scored = df.select(*keep, F.col("text").alias("text_scored")).mapInArrow(run, schema)
+    scored = source.mapInArrow(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
