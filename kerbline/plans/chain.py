@@ -215,12 +215,12 @@ def jon16_previous_plan(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_PLAN}, {_ELIGIBLE}, l AS (SELECT max(date) AS d FROM plan WHERE date < DATE '1998-06-06')
+    WITH {_PLAN}, {_ELIGIBLE}, l AS (SELECT max(date) AS d FROM plan WHERE date < DATE '1997-11-15')
     SELECT DISTINCT p.bundle_id FROM plan p, l WHERE p.date = l.d AND upper(trim(task)) = 'DH' AND (p.date, p.bundle_id) IN (SELECT (week_start, bundle_id) FROM elig)
 """.replace("(p.date, p.bundle_id) IN (SELECT (week_start, bundle_id) FROM elig)", "EXISTS (SELECT 1 FROM elig e WHERE e.week_start = p.date AND e.bundle_id = p.bundle_id)"))
 def jon16_previous_conditional(spark, sf_dir):
     by_date = _eligible(spark, sf_dir).withColumnRenamed("week_start", "date")
-    return history.previous_conditional(plan_history(spark, sf_dir), F.lit(dt.date(1998, 6, 6)), by_date)
+    return history.previous_conditional(plan_history(spark, sf_dir), F.lit(dt.date(1997, 11, 15)), by_date)
 
 
 @query(f"WITH {BUNDLES} SELECT bundle_id, n_addresses, o.o_orderkey FROM bundles JOIN orders o ON o_custkey = segment_id WHERE o_orderstatus = 'F'")

@@ -69,8 +69,13 @@ def release(*tables: DataFrame) -> None:
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch between the JVM and Python workers, so that a batch's memory doesn't follow the texts' lengths.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
