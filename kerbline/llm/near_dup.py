@@ -289,7 +289,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     every = materialise(sketches(docs, size), "near-sketches")
     usable = every.where("doc_id is not null and n > 0")
     classes = materialise(usable.groupBy("h1", "h2", "n").agg(F.min("cid").alias("class")), "near-classes")
-    own = materialise(every.select("cid", "doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("cid", "doc_id", "n", "class"), "near-rows")
+    joined = every.select("cid", "doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    own = materialise(joined.select("cid", "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")), "near-rows")
     drawn = materialise(usable.join(classes.select(F.col("class").alias("cid")), "cid", "left_semi"), "near-drawn")
     rows = drawn.select("cid", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")

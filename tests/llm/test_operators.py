@@ -311,6 +311,29 @@ def test_near_duplicates(docs, none, texts, size):
     assert near_dup.components(none, size).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Rows of one id are one document, whatever their texts; a null id links nothing and is kept."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (5, a), (7, a), (9, b + " more"), (None, a), (None, None), (3, None), (2, "c")]
+    ship(spark)
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got)
+    assert found == [(0, 0, True), (0, 0, True), (2, 2, True), (3, 3, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_odd_sketch_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for size in (20, 160, 1330):
+        shared, kept = size * 8 // 10, 0
+        for _ in range(200):
+            v = rng.integers(0, 2**64, size, dtype=np.uint64)
+            half = (size - shared) // 2
+            a, b = np.sort(v[: shared + half]), np.sort(np.append(v[:shared], v[shared + half :]))
+            odd = near_dup.odd_sketch(np.append(a, b), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+            kept += bool(near_dup._close(odd[:1], odd[1:], np.array([len(a)]), np.array([len(b)]), 80)[0])
+        assert kept == 200
+
+
 def test_near_duplicates_of_two_versions(spark):
     """Two versions of a text with 40 near copies each; the one cross pair that reaches 80 percent has the largest ids."""
     core, rng = [f"w{i}" for i in range(180)], random.Random(8)
@@ -369,6 +392,16 @@ def test_decontamination_wants_one_value_for_one_value(spark):
     assert got[0] == got[1] == got[3] and got[0][0] == got[0][1] and got[2][0] < got[0][0]
 
 
+def test_decontamination_without_the_broadcast_filter(spark, monkeypatch):
+    item = "If a train travels 60 km in 2 hours then how far does Anna travel in 5 hours at that speed"
+    docs = spark.createDataFrame([(1, item), (2, "x " + item.replace("60", "75")), (3, "clean text"), (4, (item + " ") * 3000)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    ship(spark)
+    want = sorted(tuple(r) for r in decontaminate.matches(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    assert sorted(tuple(r) for r in decontaminate.matches(docs, bench).collect()) == want and [w[0] for w in want] == [1, 2, 4]
+
+
 def test_hamming(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(200, 64))
