@@ -112,3 +112,36 @@ def write_model(panel: DataFrame, unit_effects: DataFrame, week_effects: DataFra
     write_table(unit_effects, f"{path}/unit_effects")
     write_table(week_effects, f"{path}/week_effects")
     write_report(summary, f"{path}/summary", "week_start")
+
+
+def map_page(layers: dict[str, DataFrame], title: str) -> DataFrame:
+    """(value): one HTML page that draws each layer's lines (line, label) as a group of SVG paths with their labels as tooltips.
+
+    For the layers of a day or a bundle sheet, whose lines fit one page; larger layers belong into GeoJSON files.
+    """
+    colours = ["#1b6ca8", "#b5482f", "#3f7d4e", "#7a5195", "#8a6d3b"]
+    parts = None
+    for at, (name, lines) in enumerate(layers.items()):
+        steps = F.array_join(F.transform("line", lambda p: F.concat_ws(",", F.round(p["x"], 2).cast("string"), F.round(-p["y"], 2).cast("string"))), " L")
+        label = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("label").cast("string"), F.lit("")), "&", "&amp;"), "<", "&lt;")
+        path = F.concat(F.lit('<path d="M'), steps, F.lit('"><title>'), label, F.lit("</title></path>"))
+        b = geo.bounds(F.col("line"))
+        one = lines.where(F.size("line") > 1).select(path.alias("path"), b.alias("b")).agg(
+            F.concat(F.lit(f'<g id="{name}" fill="none" stroke="{colours[at % len(colours)]}" vector-effect="non-scaling-stroke">'), F.array_join(F.sort_array(F.collect_list("path")), ""), F.lit("</g>")).alias("g"),
+            F.min("b.x0").alias("x0"), F.min(-F.col("b.y1")).alias("y0"), F.max("b.x1").alias("x1"), F.max(-F.col("b.y0")).alias("y1"), F.lit(at).alias("at"),
+        )
+        parts = one if parts is None else parts.union(one)
+    whole = parts.agg(F.sort_array(F.collect_list(F.struct("at", "g"))).alias("gs"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    box = F.concat_ws(" ", "x0", "y0", (F.col("x1") - F.col("x0")).cast("string"), (F.col("y1") - F.col("y0")).cast("string"))
+    body = F.array_join(F.transform("gs", lambda s: s["g"]), "")
+    return whole.select(F.concat(F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><svg viewBox="'), F.coalesce(box, F.lit("0 0 1 1")), F.lit('" width="100%">'), body, F.lit("</svg></body></html>")).alias("value"))
+
+
+def write_map(layers: dict[str, DataFrame], title: str, path: str) -> None:
+    map_page(layers, title).coalesce(1).write.mode("overwrite").text(path)
+
+
+def order_columns(df: DataFrame, first: list[str]) -> DataFrame:
+    """``df`` with the columns of ``first`` that it has in front, in that order, and all others after them."""
+    lead = [c for c in first if c in df.columns]
+    return df.select(*lead, *(c for c in df.columns if c not in lead))

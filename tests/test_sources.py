@@ -136,3 +136,38 @@ def test_bundle_table(spark, tmp_path):
     assert kept.count() == 1
     cross = sinks.crosswalk(spark.createDataFrame([(7, 3), (7, 2), (None, 1)], "addr_id int, segment_id int"))
     assert [tuple(r) for r in cross.collect()] == [(7, 2)]
+
+
+def test_copies_and_archives(spark, tmp_path):
+    import zipfile
+
+    from kerbline.sources import transfer
+
+    source = tmp_path / "pack"
+    source.mkdir()
+    (source / "routes.csv").write_text("a\n1\n")
+    (source / "starts.csv").write_text("b\n2\n")
+    (source / "sub").mkdir()
+    assert transfer.children(spark, str(source)) == ["routes.csv", "starts.csv"] and transfer.children(spark, str(tmp_path / "none")) == []
+    assert transfer.publish(spark, str(source), str(tmp_path / "drive"), "2026-03-14") == ["routes.csv", "starts.csv"]
+    (source / "routes.csv").write_text("a\n9\n")
+    transfer.publish(spark, str(source), str(tmp_path / "drive"), "2026-03-14", "routes*")
+    assert (tmp_path / "drive/2026-03-14/routes.csv").read_text() == "a\n9\n" and (tmp_path / "drive/2026-03-14/starts.csv").exists()
+    (tmp_path / "drive/2026-03-15").write_text("a file in the way")
+    with pytest.raises(Exception):
+        transfer.publish(spark, str(source), str(tmp_path / "drive"), "2026-03-15")
+    with zipfile.ZipFile(source / "a.zip", "w") as z:
+        z.writestr("x/one.csv", "k\n1\n")
+        z.writestr("two.bin", b"\x00")
+    (source / "b.zip").write_bytes(b"broken")
+    got = transfer.archive_members(spark, str(source), (".csv",)).collect()
+    assert [(r["name"], bytes(r["content"])) for r in got] == [("x/one.csv", b"k\n1\n")]
+    assert [r["line"] for r in transfer.extract(spark, str(source), str(tmp_path / "lines"), (".csv",)).orderBy("at").collect()] == ["k", "1", ""]
+
+
+def test_map_page(spark, tmp_path):
+    lines = spark.createDataFrame([([{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 4.0}], "a<b"), ([{"x": 1.0, "y": 1.0}], "dot"), (None, "none")], "line array<struct<x:double,y:double>>, label string")
+    sinks.write_map({"streets": lines, "empty": lines.where("false")}, "Day", str(tmp_path / "map"))
+    page = next((tmp_path / "map").glob("part-*")).read_text()
+    assert page.count("<path") == 1 and "a&lt;b" in page and 'viewBox="0.0 -4.0 3.0 4.0"' in page
+    assert sinks.order_columns(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"), ["c", "z", "a"]).columns == ["c", "a", "b"]
