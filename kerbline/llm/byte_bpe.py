@@ -192,44 +192,48 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
+    """(keys, ids, decoded bytes) of runs of rows of (key, text)."""
+    coder, cache = codec(path), {}
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for start, end in groups(texts):
+            ids = coder.encode(texts[start:end], cache)
+            yield batch.column(0).slice(start, end - start), ids, coder.decode(ids)
+    coder.close()
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    size = np.append(0, np.cumsum([len(x) for x in ids]))
+    return pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(np.concatenate(ids).view(np.int32))).cast(pa.list_(pa.int32()))
+
+
 def encode_decode(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array<int>, decoded binary) of every row."""
     path = path or vocabulary(BYTE_BPE)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, cache = codec(path), {}
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in groups(texts):
-                ids = coder.encode(texts[start:end], cache)
-                data = coder.decode(ids)
-                size = np.append(0, np.cumsum([len(x) for x in ids]))
-                lists = pa.LargeListArray.from_arrays(pa.array(size, pa.int64()), pa.array(np.concatenate(ids).view(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), lists.cast(pa.list_(pa.int32())), pa.array(data, pa.binary())], [key, "ids", "decoded"]
-                )
-        coder.close()
+        for keys, ids, data in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([keys, _lists(ids), pa.array(data, pa.binary())], [key, "ids", "decoded"])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
-def digests(coded: DataFrame, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of the rows of :func:`encode_decode`, with their ids if asked for."""
-    kind = coded.schema[key].dataType.simpleString()
+def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row's ids and decoded bytes, with the ids if asked for; in one pass."""
+    path = path or vocabulary(BYTE_BPE)
+    kind = df.schema[key].dataType.simpleString()
     names = [key, *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, data = batch.column(1), batch.column(2)
-            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view("<u4")
-            spans = list(zip(bounds[:-1], bounds[1:]))
+        for keys, ids, data in _coded(batches, path):
             columns = [
-                pa.array([b - a for a, b in spans], pa.int64()),
-                pa.array([hashlib.sha256(flat[a:b]).hexdigest() for a, b in spans]),
-                pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in data]),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(np.ascontiguousarray(x, "<u4")).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in data]),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *([lists] if keep_ids else []), *columns], names)
+            yield pa.RecordBatch.from_arrays([keys, *([_lists(ids)] if keep_ids else []), *columns], names)
 
     ids = "ids array<int>, " if keep_ids else ""
-    return coded.select(key, "ids", "decoded").mapInArrow(run, f"`{key}` {kind}, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, {ids}n_tokens bigint, ids_sha256 string, decoded_sha256 string")

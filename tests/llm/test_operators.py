@@ -68,12 +68,13 @@ def test_byte_bpe(docs, none, texts):
     ranks = byte_ranks(vocab.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
     coded = byte_bpe.encode_decode(docs)
-    got, digests = by_id(coded), by_id(byte_bpe.digests(coded))
+    got, digests = by_id(coded), by_id(byte_bpe.digests(docs, keep_ids=True))
     for i, text in enumerate(texts):
         want = library.encode_ordinary(text or "")
         assert got[i]["ids"] == want and bytes(got[i]["decoded"]) == (text or "").encode()
+        assert digests[i]["ids"] == want and digests[i]["n_tokens"] == len(want) and digests[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
         assert digests[i]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
-    assert byte_bpe.digests(byte_bpe.encode_decode(none)).count() == 0
+    assert byte_bpe.digests(none).count() == byte_bpe.encode_decode(none).count() == 0
 
 
 def test_heap_equals_recursion():
