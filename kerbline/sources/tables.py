@@ -6,6 +6,7 @@ Paths may lie in any store that Spark reads; nothing here opens a file by itself
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -14,7 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions.calendar import any_date
 from kerbline.functions.text import clean, date_in_name
+from kerbline.runtime import materialise
 
 PLAN = "date date, interviewer string, task string, bundle_id bigint, bundle_type string, list_code int, sfh_bundle_total bigint"
 ACTIVITIES = "ACTIVITY_CODE_GROUP_TEXT string, ACTIVITY_CODE_TEXT string, NOTIFICATION_DATE string, COMPLETION_DATE string, CREATED_ON_DATE_FOR_ACTIVITY string, END_DATE_FOR_ACTIVITY string, FUNCTIONAL_LOCATION string"
@@ -60,8 +63,6 @@ def ensure_column(df: DataFrame, want: str, candidates: list[str], *order: str)
 
 def number_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
     """``df`` with dense numbers from 1 in the order of the columns ``order``, which should leave no ties."""
-    from kerbline.runtime import materialise
-
     placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     local = materialise(placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
     sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
@@ -152,8 +153,6 @@ def read_cached(spark: SparkSession, cache: str, fetch: Callable[[], DataFrame]
     try:
         if fetch is None:
             raise FileNotFoundError(f"{cache} is empty and nothing fetches it")
-        import time
-
         fetch().write.parquet(f"{cache}/copy={time.time_ns()}")
     except Exception:
         if held is None:
@@ -229,8 +228,6 @@ def roster(days: DataFrame, workers: DataFrame, day: Column) -> DataFrame:
 
     The date may be written in any usual way; of several rows the first in their text order counts.
     """
-    from kerbline.functions.calendar import any_date
-
     rows = days.where(any_date(F.col("Date").cast("string")) == day)
     slots = [s for s in SLOTS if s in days.columns]
     one = rows.orderBy(*slots).limit(1).unpivot([], slots, "slot", "name").where(clean(F.col("name")) != "")
