@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import mix, remainder, words
+from kerbline.llm.common import give_back, mix, remainder, words
 from kerbline.runtime import materialise, release, scratch
 
 MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK, RESERVE_FROM = 5, 3 << 19, 1 << 21, 4, 1000
@@ -142,6 +142,7 @@ def corpus_blocks(source: DataFrame, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, limit):
             yield _batch([block], **_BLOCK)
+        give_back()
 
     return source.mapInArrow(run, _BLOCK_SQL)
 
@@ -221,8 +222,10 @@ def _dealt(block: dict, parts: int, total: float, hot_from: int) -> Iterator[tup
     by_name = np.argsort(name)
     rank[by_name] = np.arange(size)
     outer, inner = part * size + rank[context], rank[token] * len(docs) + number
+    del place, spread, part, context, token, number, body, base
     order = np.lexsort((inner, outer))
     outer, inner = outer[order], inner[order]
+    del order
     new = np.flatnonzero(np.append(True, (outer[1:] != outer[:-1]) | (inner[1:] != inner[:-1])))
     n = np.diff(np.append(new, len(outer)))
     part, context = np.divmod(outer[new], size)
@@ -389,6 +392,7 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
             for at in range(batch.num_rows):
                 for dealt in _dealt(batch.slice(at, 1).to_pylist()[0], parts, total, max(part_tokens // 2, reserve_from)):
                     yield _batch([dealt], part=pa.int64(), first=pa.int64(), packed=pa.binary())
+        give_back()
 
     packed = blocks.drop("tokens", "words").join(told, "block").mapInArrow(deal, "part bigint, first bigint, packed binary")
 
@@ -409,6 +413,8 @@ def fit_and_share(df: DataFrame, target: str, folds: int = 7, held: int = 2, blo
         if held:
             yield from _evaluate(first, held, total, reserve_from, shares)
         yield from shares.flush()
+        del first, held
+        give_back()
 
     # A task goes through several parts and adds up its documents' shares over them.
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-parts // PARTS_PER_TASK))
