@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import give_back, mix, remainder, words
 from kerbline.runtime import materialise, release, scratch
 
-MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK, RESERVE_FROM = 5, 3 << 19, 1 << 21, 4, 1000
+MAX_DISCOUNT, BLOCK_TOKENS, PART_TOKENS, PARTS_PER_TASK, RESERVE_FROM = 5, 3 << 19, 5 << 18, 6, 1000
 _START, _END = np.uint64(11400714819323198485), np.uint64(17004003032668640649)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 NGRAM, CONTEXT, SHARE, UNSEEN, FACT, COUNTED = "ngram", "context", "share", "unseen", "fact", "counted"
