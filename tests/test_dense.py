@@ -54,3 +54,52 @@ def test_touching_lines(spark, long):
     if not long:
         # Pairs of short lines come once, without a shuffle of all pairs.
         assert "HashAggregate" not in plan(got) and "BroadcastHashJoin" not in plan(got)
+
+
+SQUARES = "zone_id bigint, zone_name string, ring array<struct<x:double,y:double>>"
+
+
+def random_rings(n, side, seed=2):
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        x, y, w = rng.randrange(side), rng.randrange(side), rng.randint(10, 40)
+        ring = [(x - w, y - w), (x + w, y - w / 2), (x + w / 2, y + w), (x - w, y + w / 2), (x - w / 2, y)][: rng.choice((4, 5))]
+        out.append((k, f"Z{k % 3}", [(float(a), float(b)) for a, b in ring]))
+    return out
+
+
+def within(px, py, ring):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_largest_overlap(spark):
+    # Lines wider than a tile take another path; both are held against fine steps along the lines.
+    lines = random_lines(60, 200, points=(2, 3)) + [(500, [(0.0, 0.5), (190.0, 170.5)])]
+    rings = random_rings(40, 200)
+    got_frame = spatial.largest_overlap(spark.createDataFrame(lines, LINE), spark.createDataFrame(rings, SQUARES), 40.0)
+    got = {r["segment_id"]: (r["zone_id"], r["overlap"]) for r in got_frame.collect()}
+    steps = 2000
+
+    def share(line, ring):
+        total = 0.0
+        for a, b in zip(line, line[1:]):
+            hits = sum(within(a[0] + (k + 0.5) / steps * (b[0] - a[0]), a[1] + (k + 0.5) / steps * (b[1] - a[1]), ring) for k in range(steps))
+            total += hits / steps * math.dist(a, b)
+        return total
+
+    for key, line in lines[::4]:
+        shares = {z: share(line, ring) for z, _, ring in rings}
+        most = max(shares.values())
+        if most > 0.5:
+            zone, overlap = got[key]
+            assert abs(overlap - most) < 0.2 and abs(shares[zone] - most) < 0.2
+        full = [z for z, s in shares.items() if s and abs(s - sum(map(math.dist, line, line[1:]))) < 1e-9]
+        if full:
+            assert got[key][0] == min(full)
+    # The kernel compares; lines and rings are not joined row by row and sorted by pair.
+    assert "tiles" in spatial.largest_overlap.__globals__ and "MapInArrow" in plan(got_frame)
