@@ -103,3 +103,29 @@ def test_largest_overlap(spark):
             assert got[key][0] == min(full)
     # The kernel compares; lines and rings are not joined row by row and sorted by pair.
     assert "tiles" in spatial.largest_overlap.__globals__ and "MapInArrow" in plan(got_frame)
+
+
+def test_nearest_line(spark):
+    lines = random_lines(400, 100, points=(2, 3)) + [(900, [(400.0, 0.0), (400.0, 50.0)])]
+    rng = random.Random(3)
+    points = [(k, float(rng.randrange(120)), float(rng.randrange(120))) for k in range(200)] + [(700, 430.0, 20.0), (701, 900.0, 900.0), (702, None, 1.0)]
+    want = []
+    for key, x, y in points:
+        far = [(min(to_edge(x, y, a, b) for a, b in zip(line, line[1:])), k) for k, line in lines] if x is not None else []
+        if far and min(far)[0] <= 40.0:
+            want.append((key, min(far)[1], min(far)[0]))
+    frame = spark.createDataFrame(points, "addr_id bigint, x double, y double")
+    got = spatial.nearest_line(frame, spark.createDataFrame(lines, LINE), 40.0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # Cells are never broadcast, and the first reach follows the density.
+    assert "BroadcastHashJoin" not in plan(got)
+    assert spatial._first_reach(spark.createDataFrame(lines, LINE), 40.0) < 40.0
+
+
+def test_nearest_line_names_ties(spark):
+    lines = [(k, [(0.0, 0.0), (10.0, 0.0)], "B" if k == 30 else "A") for k in range(40)]
+    frame = spark.createDataFrame([(1, 5.0, 1.0, "B"), (2, 5.0, 2.0, "C")], "addr_id bigint, x double, y double, name string")
+    streets = spark.createDataFrame(lines, LINE + ", name string")
+    got = spatial.nearest_line(frame, streets, 40.0, F.col("name") == F.col("line_name"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 30, 1.0), (2, 0, 2.0)]
+    assert spatial._first_reach(streets, 40.0) < 40.0
