@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 from kerbline.operators import network
 from kerbline.operators.graph import connected_components
-from kerbline.operators.spatial import neighbours, touching_lines
+from kerbline.operators.spatial import neighbours, touching_forest, touching_lines
 from kerbline.runtime import materialise
 
 _SEGMENT = "segment_id bigint, component_id bigint, n bigint, x double, y double, a string, b string, length double, nbrs array<bigint>"
@@ -26,8 +26,8 @@ def segment_facts(segments: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
 def network_components(segments: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
     """(segment_id, component_id) and the touching pairs of all segments; a segment that touches none is its own component."""
-    pairs = touching_lines(segments.select("segment_id", "line"), reach)
-    found = connected_components(pairs)
+    lines = segments.select("segment_id", "line")
+    pairs, found = touching_lines(lines, reach), connected_components(touching_forest(lines, reach))
     named = segments.select("segment_id").join(found.withColumnRenamed("node", "segment_id"), "segment_id", "left")
     return named.select("segment_id", F.coalesce("component", "segment_id").alias("component_id")), pairs
 

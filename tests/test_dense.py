@@ -166,3 +166,23 @@ def test_points_with_rings(spark):
         count.setdefault(k % 7, {}).setdefault(names[z], []).append(k)
     assert {r["g"]: r["zone_name"] for r in modal.collect()} == {g: min(c, key=lambda n: (-len(c[n]), n)) for g, c in count.items()}
     assert "Join" not in plan(modal)
+
+
+def test_touching_forest(spark):
+    # Few pairs connect what all pairs connect.
+    lines = spark.createDataFrame(random_lines(300, 100), LINE)
+    pairs, few = spatial.touching_lines(lines, 2.0), spatial.touching_forest(lines, 2.0)
+    label = {k: k for k in range(300)}
+
+    def find(k):
+        return k if label[k] == k else find(label[k])
+
+    def parts(rows):
+        label.update({k: k for k in label})
+        for a, b in rows:
+            label[max(find(a), find(b))] = min(find(a), find(b))
+        return {k: find(k) for k in label}
+
+    every, some = [tuple(r) for r in pairs.collect()], [tuple(r) for r in few.collect()]
+    assert {(min(p), max(p)) for p in some} <= set(every) and len(some) < len(every)
+    assert parts(some) == parts(every)
