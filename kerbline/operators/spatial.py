@@ -53,14 +53,17 @@ def _first_reach(lines: DataFrame, max_dist: float, crowd: int = 8) -> float:
     return reach
 
 
-def _nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str) -> DataFrame:
-    """(key, line_key, dist, several): the lines at the least distance of each point within ``reach``; points lie in one tile, edges in all that they reach."""
+def _nearest_within(points: DataFrame, lines: DataFrame, reach: float, key: str, line_key: str, rest: bool) -> DataFrame:
+    """(key, line_key, dist, several, x, y): the lines at the least distance of each point within ``reach``; points lie in one tile, edges in all that they reach.
+
+    With ``rest`` also the points that have none, told by a null distance, with their place.
+    """
     size, e = 4 * reach, F.col("e")
     edges = edge_cells(lines, line_key, "line", size, reach * 1.001).select("cx", "cy", F.lit(0).alias("side"), F.col(line_key).alias("line"), e["x1"].alias("_x"), e["y1"].alias("_y"), e["x2"].alias("_x2"), e["y2"].alias("_y2"))
     at = points.where("x is not null and y is not null").select(_cell(F.col("x"), size).alias("cx"), _cell(F.col("y"), size).alias("cy"), F.lit(1).alias("side"), F.col(key).alias("key"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
     types = dict(points.dtypes) | {f"line {c}": t for c, t in lines.dtypes}
-    got = tiles.stream(edges.unionByName(at, allowMissingColumns=True), ["side", "line"], tiles.nearest(reach), f"key {types[key]}, line {types[f'line {line_key}']}, dist double, several boolean")
-    return got.select(F.col("key").alias(key), F.col("line").alias(line_key), "dist", "several")
+    got = tiles.stream(edges.unionByName(at, allowMissingColumns=True), ["side", "line"], tiles.nearest(reach, rest), f"key {types[key]}, line {types[f'line {line_key}']}, dist double, several boolean, x double, y double")
+    return got.select(F.col("key").alias(key), F.col("line").alias(line_key), "dist", "several", "x", "y")
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, max_dist: float, match: Column | None = None, key: str = "addr_id", line_key: str = "segment_id") -> DataFrame:
@@ -70,19 +73,21 @@ def nearest_line(points: DataFrame, lines: DataFrame, max_dist: float, match: Co
     line key. Points with no line in reach are absent.
 
     The search starts with a reach that suits the lines' density, and doubles it for the points that have found nothing; what is found within
-    a reach is nearest. So work follows the number of points and lines, not of pairs within ``max_dist``.
+    a reach is nearest. So work follows the number of points and lines, not of pairs within ``max_dist``. A search's table names those points
+    itself, and tables are merged, never broadcast: keys in Parquet are far smaller than the rows that the driver would hold.
     """
     if match is not None:
         points, lines = points.where(F.col(key).isNotNull()), lines.where(F.col(line_key).isNotNull())
     reach, rest, found = _first_reach(lines, max_dist), points, []
     while True:
-        got = _nearest_within(rest, lines, reach, key, line_key)
-        if match is not None or reach < max_dist:
+        last = reach >= max_dist
+        got = _nearest_within(rest, lines, reach, key, line_key, not last)
+        if match is not None or not last:
             got = materialise(got, "nearest")
-        found.append(got)
-        if reach >= max_dist:
+        found.append(got.where("dist is not null").select(key, line_key, "dist", "several"))
+        if last:
             break
-        rest = materialise(rest.join(got.select(F.col(key).alias("_found")), F.col(key).eqNullSafe(F.col("_found")), "left_anti"), "nearest-rest")
+        rest = got.where("dist is null").select(key, "x", "y")
         if rest.isEmpty():
             break
         reach = min(2 * reach, max_dist)

@@ -175,13 +175,18 @@ def holding(outer: bool, points: list[str], rings: list[str], names: list[str])
     return kernel
 
 
-def nearest(reach: float) -> Callable:
-    """Kernel: the lines (edges, side 0, sorted by line) at the least distance of each point (side 1) within ``reach``, and whether there are several."""
+def nearest(reach: float, rest: bool = False) -> Callable:
+    """Kernel: the lines (edges, side 0, sorted by line) at the least distance of each point (side 1) within ``reach``, and whether there are several.
+
+    With ``rest`` also the points without any, with their place and a null distance.
+    """
 
     def kernel(table: pa.Table) -> Iterator[dict]:
         px, py, x2, y2 = (numbers(table, c) for c in ("_x", "_y", "_x2", "_y2"))
         rows, low, high = sides(table)
         keys, lines = table.column("key"), table.column("line")
+        alone = np.zeros(len(px), dtype=bool)
+        alone[rows] = True
         for i, j in blocks(rows, low, high):
             dist = point_to_edge(px[i], py[i], edge(px[j], py[j], x2[j], y2[j]))
             near = np.flatnonzero(dist <= reach)
@@ -194,7 +199,13 @@ def nearest(reach: float) -> Callable:
             i, j, dist = i[best], j[best], dist[best]
             several = np.concatenate([[False], i[1:] == i[:-1]])
             several |= np.append(several[1:], False)
-            yield {"key": keys.take(pa.array(i)), "line": lines.take(pa.array(j)), "dist": dist, "several": several}
+            alone[i] = False
+            place = pa.nulls(len(i), pa.float64())
+            yield {"key": keys.take(pa.array(i)), "line": lines.take(pa.array(j)), "dist": dist, "several": several, "x": place, "y": place}
+        i = np.flatnonzero(alone)
+        if rest and len(i):
+            none = pa.nulls(len(i), pa.float64())
+            yield {"key": keys.take(pa.array(i)), "line": lines.take(pa.nulls(len(i), pa.int64())), "dist": none, "several": np.zeros(len(i), dtype=bool), "x": px[i], "y": py[i]}
 
     return kernel
 

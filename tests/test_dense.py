@@ -3,10 +3,11 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import spatial
+from kerbline.operators import spatial, tiles
 
 LINE = "segment_id bigint, line array<struct<x:double,y:double>>"
 
@@ -186,3 +187,37 @@ def test_touching_forest(spark):
     every, some = [tuple(r) for r in pairs.collect()], [tuple(r) for r in few.collect()]
     assert {(min(p), max(p)) for p in some} <= set(every) and len(some) < len(every)
     assert parts(some) == parts(every)
+
+
+def test_nearest_rest_comes_from_the_search():
+    # What a search hasn't found it names itself, so that no table of found points is sent to all.
+    edge = {"cx": 0, "cy": 0, "side": 0, "key": None, "line": 5, "_x": 0.0, "_y": 0.0, "_x2": 10.0, "_y2": 0.0}
+    point = lambda key, x, y: {"cx": 0, "cy": 0, "side": 1, "key": key, "line": None, "_x": x, "_y": y, "_x2": None, "_y2": None}
+    alone = point(3, 1.0, 2.0) | {"cx": 1}
+    table = pa.Table.from_pylist([edge, point(1, 5.0, 1.0), point(2, 5.0, 7.0), alone])
+    rows = [tuple(r) for out in tiles.nearest(4.0, True)(table) for r in zip(*(v.to_pylist() if hasattr(v, "to_pylist") else v.tolist() for v in out.values()))]
+    assert sorted(rows) == [(1, 5, 1.0, False, None, None), (2, None, None, False, 5.0, 7.0), (3, None, None, False, 1.0, 2.0)]
+    assert len(list(tiles.nearest(4.0)(table))) == 1
+
+
+def test_nearest_line_searches_without_broadcasts(spark, monkeypatch, tmp_path):
+    # Lines lie dense in one place and far apart elsewhere, so several searches are needed.
+    seen, write = [], spatial.materialise
+    monkeypatch.setattr(spatial, "materialise", lambda df, name: seen.append(plan(df)) or write(df, name))
+    lines = random_lines(300, 60, points=(2, 3)) + [(900 + k, [(200.0 + 60 * k, 0.0), (200.0 + 60 * k, 50.0)]) for k in range(4)]
+    rng = random.Random(6)
+    points = [(k, float(rng.randrange(70)), float(rng.randrange(70))) for k in range(100)] + [(700 + k, 195.0 + 13 * k, 20.0) for k in range(15)] + [(715, 700.0, 700.0)]
+    want = []
+    for key, x, y in points:
+        far = min((min(to_edge(x, y, a, b) for a, b in zip(line, line[1:])), k) for k, line in lines)
+        want += [(key, far[1], far[0])] if far[0] <= 40.0 else []
+    # Tables of Parquet, whose size Spark knows, would be broadcast.
+    spark.createDataFrame(points, "addr_id bigint, x double, y double").withColumn("name", F.lit("A")).write.parquet(f"{tmp_path}/points")
+    spark.createDataFrame(lines, LINE).withColumn("name", F.lit("A")).write.parquet(f"{tmp_path}/lines")
+    frame, streets = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/lines")
+    for match in (None,):
+        seen.clear()
+        got = spatial.nearest_line(frame, streets, 40.0, match)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        assert len(seen) > 1 and not any("Join" in p for p in seen)
+        assert "Broadcast" not in plan(got)
