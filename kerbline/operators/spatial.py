@@ -95,7 +95,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, max_dist: float, match: Co
     if match is not None:
         # Only points with several nearest lines need the names.
         named = lines.select(*(F.col(c).alias(c if c == line_key else f"line_{c}") for c in lines.columns if c != "line"))
-        tied = near.where("several").select(key, line_key, "dist").join(points.drop("x", "y"), key).join(named, line_key)
+        tied = near.where("several").select(key, line_key, "dist").join(points.drop("x", "y").hint("merge"), key).join(named.hint("merge"), line_key)
         near = near.where("not several").select(key, line_key, "dist", "other").union(tied.select(key, line_key, "dist", (~F.coalesce(match, F.lit(False))).alias("other")))
     best = F.min(F.struct("dist", "other", line_key))
     return near.groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{line_key}").alias(line_key), F.col("b.dist").alias("dist"))

@@ -215,7 +215,7 @@ def test_nearest_line_searches_without_broadcasts(spark, monkeypatch, tmp_path):
     spark.createDataFrame(points, "addr_id bigint, x double, y double").withColumn("name", F.lit("A")).write.parquet(f"{tmp_path}/points")
     spark.createDataFrame(lines, LINE).withColumn("name", F.lit("A")).write.parquet(f"{tmp_path}/lines")
     frame, streets = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/lines")
-    for match in (None,):
+    for match in (None, F.col("name") == F.col("line_name")):
         seen.clear()
         got = spatial.nearest_line(frame, streets, 40.0, match)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
