@@ -254,7 +254,8 @@ def scenario_summary(near: DataFrame, lines: DataFrame, buffers: list[float], mi
     """
     counts = near.groupBy(key).agg(*(F.count_if(F.col("dist") <= b).alias(f"n{i}") for i, b in enumerate(buffers)))
     grid = F.explode(F.array(*[F.struct(F.lit(f"b{b:g}_m{m}").alias("scenario"), F.col(f"n{i}").alias("n"), F.lit(m).alias("least")) for i, b in enumerate(buffers) for m in minima]))
-    rows = counts.join(lines.select(key, "length"), key).select("length", grid.alias("g")).select("length", "g.*").where("n >= least")
+    # A table of all segments is small as Parquet, but not as rows in the driver.
+    rows = counts.join(lines.select(key, "length").hint("merge"), key).select("length", grid.alias("g")).select("length", "g.*").where("n >= least")
     return rows.groupBy("scenario").agg(F.count("*").alias("n_segments"), F.sum("n").alias("sum_addresses"), F.median("length").alias("median_length"), F.median(density("n", "length")).alias("median_density"))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import spatial, tiles
+from kerbline.operators import panel, spatial, tiles
 
 LINE = "segment_id bigint, line array<struct<x:double,y:double>>"
 
@@ -221,3 +221,12 @@ def test_nearest_line_searches_without_broadcasts(spark, monkeypatch, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
         assert len(seen) > 1 and not any("Join" in p for p in seen)
         assert "Broadcast" not in plan(got)
+
+
+def test_scenario_summary_merges_its_lines(spark, tmp_path):
+    near = spark.createDataFrame([(1, 10, 5.0), (2, 10, 50.0), (3, 11, 7.0)], "addr_id bigint, segment_id bigint, dist double")
+    spark.createDataFrame([(10, 100.0), (11, 50.0)], "segment_id bigint, length double").write.parquet(f"{tmp_path}/lengths")
+    lengths = spark.read.parquet(f"{tmp_path}/lengths")
+    got = panel.scenario_summary(near, lengths, [10.0, 60.0], [1, 2])
+    assert "Broadcast" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [("b10_m1", 2, 2, 75.0, 1.5), ("b60_m1", 2, 3, 75.0, 2.0), ("b60_m2", 1, 2, 100.0, 2.0)]
