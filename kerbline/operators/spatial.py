@@ -185,7 +185,10 @@ def largest_overlap(lines: DataFrame, rings: DataFrame, size: float, line_key: s
     schema = f"line {types['line']}, ring {types['ring']}, overlap double"
     compact = tiles.stream(cells.unionByName(at, allowMissingColumns=True), ["side", "key"], tiles.overlap, schema)
     best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("ring")))
-    found = compact.union(_wide_overlaps(boxed.where(wide).select("line", F.col("pts")), rings.select(F.col(ring_key).alias("key"), F.col("ring").alias("shape")), size))
+    found, broad = compact, boxed.where(wide).select("line", "pts")
+    # Without wide lines their rings needn't be dealt out.
+    if not broad.isEmpty():
+        found = found.union(_wide_overlaps(broad, rings.select(F.col(ring_key).alias("key"), F.col("ring").alias("shape")), size))
     return found.groupBy("line").agg(best.alias("b")).select(F.col("line").alias(line_key), F.col("b.ring").alias(ring_key), (-F.col("b.o")).alias("overlap"))
 
 

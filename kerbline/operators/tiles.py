@@ -306,8 +306,11 @@ def forest(most: float, ahead: int = 8) -> Callable:
     return kernel
 
 
-def overlap(table: pa.Table) -> Iterator[dict]:
-    """Kernel: of each line (side 1) the first ring (side 0, sorted by key) that holds most of its length, and that length."""
+def overlap(table: pa.Table, ahead: int = 8) -> Iterator[dict]:
+    """Kernel: of each line (side 1) the first ring (side 0, sorted by key) that holds most of its length, and that length.
+
+    A line meets its tile's rings by key, a few and then twice as many each time, until one holds it whole: no later ring beats that.
+    """
     rings, lines = Lists(table, "ring"), Lists(table, "pts")
     rb, lb = boxes(rings), boxes(lines)
     edges = np.maximum(lines.n - 1, 0)
@@ -316,40 +319,56 @@ def overlap(table: pa.Table) -> Iterator[dict]:
     a = expand(lines.at[rows], edges[rows])
     total = np.zeros(len(edges))
     total[rows] = np.add.reduceat(np.hypot(lines.x[a + 1] - lines.x[a], lines.y[a + 1] - lines.y[a]), np.cumsum(edges[rows]) - edges[rows]) if len(rows) else 0.0
-    for i, j in blocks(rows, low, high):
-        here = np.flatnonzero((lb[0][i] <= rb[2][j]) & (rb[0][j] <= lb[2][i]) & (lb[1][i] <= rb[3][j]) & (rb[1][j] <= lb[3][i]))
-        i, j = i[here], j[here]
-        if not len(i):
-            continue
-        # Where no edge of the ring comes near the line, the line is inside or outside as a whole.
-        crossed = np.zeros(len(i), dtype=bool)
-        x0, y0, x1, y1 = (v[i] for v in lb)
-        for k in range(int(rings.n[j].max())):
-            has = rings.n[j] > k
-            p = np.where(has, rings.at[j] + k, rings.at[j])
-            q = np.where(k + 1 < rings.n[j], p + 1, rings.at[j])
-            ax, ay, bx, by = rings.x[p], rings.y[p], rings.x[q], rings.y[q]
-            crossed |= has & (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
-        first = lines.at[i]
-        free = np.flatnonzero(~crossed)
-        free = free[inside((lines.x[first[free]] + lines.x[first[free] + 1]) / 2, (lines.y[first[free]] + lines.y[first[free] + 1]) / 2, rings, j[free])]
-        got = np.zeros(len(i))
-        got[free] = total[i[free]]
-        # A ring that holds the whole line is beaten by none, and equalled only by rings before it.
-        full = np.full(len(edges), len(edges))
-        np.minimum.at(full, i[free], j[free])
-        rest = np.flatnonzero(crossed & (j < full[i]))
-        if len(rest):
-            n = edges[i[rest]]
-            e = expand(lines.at[i[rest]], n)
-            parts = _inside_length(lines.x[e], lines.y[e], lines.x[e + 1], lines.y[e + 1], rings, np.repeat(j[rest], n))
-            got[rest] = np.add.reduceat(parts, np.cumsum(n) - n)
-        start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-        most = np.maximum.reduceat(got, start)
-        top = np.flatnonzero((got == np.repeat(most, np.diff(np.append(start, len(i))))) & (got > 0))
-        top = top[np.concatenate([[True], i[top][1:] != i[top][:-1]])] if len(top) else top
-        if len(top):
-            yield {"line": table.column("line").take(pa.array(i[top])), "ring": table.column("key").take(pa.array(j[top])), "overlap": got[top]}
+    best, ring, whole = np.zeros(len(edges)), np.zeros(len(edges), dtype=np.int64), np.zeros(len(edges), dtype=bool)
+    every = rows
+    while len(rows):
+        to = np.minimum(low + ahead, high)
+        for i, j in blocks(rows, low, to):
+            _meet(i, j, rings, lines, rb, lb, edges, total, best, ring, whole)
+        left = ~whole[rows] & (to < high)
+        rows, low, high = rows[left], to[left], high[left]
+        ahead *= 2
+    top = every[best[every] > 0]
+    if len(top):
+        yield {"line": table.column("line").take(pa.array(top)), "ring": table.column("key").take(pa.array(ring[top])), "overlap": best[top]}
+
+
+def _meet(i, j, rings: Lists, lines: Lists, rb, lb, edges, total, best, ring, whole) -> None:
+    """Compare lines i with rings j: where one holds more than ``best``, it goes there and to ``ring``; ``whole`` marks the lines that lie in a ring."""
+    here = np.flatnonzero((lb[0][i] <= rb[2][j]) & (rb[0][j] <= lb[2][i]) & (lb[1][i] <= rb[3][j]) & (rb[1][j] <= lb[3][i]))
+    i, j = i[here], j[here]
+    if not len(i):
+        return
+    # Where no edge of the ring comes near the line, the line is inside or outside as a whole.
+    crossed = np.zeros(len(i), dtype=bool)
+    x0, y0, x1, y1 = (v[i] for v in lb)
+    for k in range(int(rings.n[j].max())):
+        has = rings.n[j] > k
+        p = np.where(has, rings.at[j] + k, rings.at[j])
+        q = np.where(k + 1 < rings.n[j], p + 1, rings.at[j])
+        ax, ay, bx, by = rings.x[p], rings.y[p], rings.x[q], rings.y[q]
+        crossed |= has & (np.minimum(ax, bx) <= x1) & (np.maximum(ax, bx) >= x0) & (np.minimum(ay, by) <= y1) & (np.maximum(ay, by) >= y0)
+    first = lines.at[i]
+    free = np.flatnonzero(~crossed)
+    free = free[inside((lines.x[first[free]] + lines.x[first[free] + 1]) / 2, (lines.y[first[free]] + lines.y[first[free] + 1]) / 2, rings, j[free])]
+    got = np.zeros(len(i))
+    got[free] = total[i[free]]
+    whole[i[free]] = True
+    # A ring that holds the whole line is beaten by none, and equalled only by rings before it.
+    full = np.full(len(edges), len(edges))
+    np.minimum.at(full, i[free], j[free])
+    rest = np.flatnonzero(crossed & (j < full[i]))
+    if len(rest):
+        n = edges[i[rest]]
+        e = expand(lines.at[i[rest]], n)
+        parts = _inside_length(lines.x[e], lines.y[e], lines.x[e + 1], lines.y[e + 1], rings, np.repeat(j[rest], n))
+        got[rest] = np.add.reduceat(parts, np.cumsum(n) - n)
+    start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    most = np.maximum.reduceat(got, start)
+    top = np.flatnonzero((got == np.repeat(most, np.diff(np.append(start, len(i))))) & (got > 0))
+    top = top[np.concatenate([[True], i[top][1:] != i[top][:-1]])] if len(top) else top
+    top = top[got[top] > best[i[top]]]
+    best[i[top]], ring[i[top]] = got[top], j[top]
 
 
 def _inside_length(x1, y1, x2, y2, rings: Lists, j: np.ndarray) -> np.ndarray:

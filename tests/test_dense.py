@@ -230,3 +230,22 @@ def test_scenario_summary_merges_its_lines(spark, tmp_path):
     got = panel.scenario_summary(near, lengths, [10.0, 60.0], [1, 2])
     assert "Broadcast" not in plan(got)
     assert sorted(tuple(r) for r in got.collect()) == [("b10_m1", 2, 2, 75.0, 1.5), ("b60_m1", 2, 3, 75.0, 2.0), ("b60_m2", 1, 2, 100.0, 2.0)]
+
+
+def test_overlap_stops_at_the_first_ring_that_holds_the_line(monkeypatch):
+    # Many rings over one line: those after the first that holds it whole aren't looked at; a line that none holds whole meets them all.
+    square = lambda x, y, w: [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+    ring = lambda k, shape: {"cx": 0, "cy": 0, "side": 0, "key": k, "ring": shape, "line": None, "pts": None}
+    line = lambda k, *pts: {"cx": 0, "cy": 0, "side": 1, "key": None, "ring": None, "line": k, "pts": [{"x": x, "y": y} for x, y in pts]}
+    rings = [ring(k, square(-5.0, -5.0, 8.0 if k < 20 else 20.0)) for k in range(2000)]
+    seen, blocks = [], tiles.blocks
+    monkeypatch.setattr(tiles, "blocks", lambda *a: (seen.append(len(p[0])) or p for p in blocks(*a)))
+
+    def run(*lines):
+        seen.clear()
+        out = list(tiles.overlap(pa.Table.from_pylist([*rings, *lines])))
+        return [r for o in out for r in zip(o["line"].to_pylist(), o["ring"].to_pylist(), o["overlap"].tolist())], sum(seen)
+
+    assert run(line(1, (0.0, 0.0), (8.0, 0.0))) == ([(1, 20, 8.0)], 24)
+    got, pairs = run(line(2, (14.0, 0.0), (24.0, 0.0)), line(3, (50.0, 50.0), (51.0, 50.0)), line(4, (0.0, 0.0), (1.0, 0.0)))
+    assert got == [(2, 20, 1.0), (4, 0, 1.0)] and pairs == 4008
