@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from kerbline.runtime import materialise, release
 
+#: Edges that one task contracts to the end; more go through rounds.
+TOGETHER = 1 << 18
+
 
 def _contract(edges: DataFrame) -> DataFrame:
     """Each partition's edges as stars: connected as before, with at most one edge for each vertex that the partition holds."""
@@ -58,21 +61,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): each vertex of ``edges(src, dst)`` with the smallest vertex of its component.
 
     A round contracts the edges inside each partition and then applies the large-star and small-star rewrites, until the edge
-    set is a forest of stars. No vertex list or component is ever gathered in one place, and the number of rounds grows with the
-    logarithm of the longest path between partitions. Each round is written to the shared scratch folder.
+    set is a forest of stars, or ``TOGETHER`` edges at most are left, which one task contracts to stars. So no task ever holds more, however
+    many vertices a component has, and the number of rounds grows with the logarithm of the longest path between partitions. Each round is
+    written to the shared scratch folder.
     Self loops and edges with a null end are ignored; vertices without an edge do not occur in the result.
     """
     cur = edges.select(F.greatest("src", "dst").cast("bigint").alias("src"), F.least("src", "dst").cast("bigint").alias("dst"))
-    cur = cur.where(edges["src"].isNotNull() & edges["dst"].isNotNull()).where("src != dst").distinct()
-    seen = None
+    cur = cur.where(edges["src"].isNotNull() & edges["dst"].isNotNull()).where("src != dst")
+    cur, seen = materialise(_contract(cur), "components"), None
     for _ in range(max_rounds):
-        # Small-star wants the larger end first, as contraction and large-star leave it.
-        last, cur = cur, materialise(_small_star(_large_star(_contract(cur))), "components")
-        release(last)
-        now = _state(cur)
-        if now == seen or not now[0]:
+        now, last = _state(cur), cur
+        if now[0] <= TOGETHER:
+            cur = materialise(_contract(cur.coalesce(1)), "components")
+            release(last)
+            break
+        if now == seen:
             break
         seen = now
+        # Small-star wants the larger end first, as contraction and large-star leave it.
+        cur = materialise(_small_star(_large_star(_contract(cur))), "components")
+        release(last)
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()

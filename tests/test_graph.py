@@ -22,3 +22,18 @@ def test_components(spark, partitions):
     assert {r["node"]: r["component"] for r in got.collect()} == label
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert graph.connected_components(frame.where("false")).count() == 0
+
+
+def test_few_edges_are_contracted_together(spark, monkeypatch):
+    # Few edges in many partitions need no rounds; with no room for them the rounds give the same.
+    rng = random.Random(8)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    want = {k: min(ids[:200] if k in ids[:200] else ids[200:]) for k in ids}
+    edges = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(299) if i != 199], "src bigint, dst bigint").repartition(20)
+    seen, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: seen.append(name) or write(df, name))
+    found = lambda: {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
+    assert found() == want and len(seen) == 2
+    monkeypatch.setattr(graph, "TOGETHER", 0)
+    assert found() == want and len(seen) > 4
